@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmap.llm import bpe, line_dedup, quality, warc
+from linkmap.llm import ann, bpe, line_dedup, near_dup, packing, quality, suffix_dedup, warc
 from linkmap.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -37,12 +42,30 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.DEFAULT).alias("kept"), "failed_bits")
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "documents").select("doc_id", packing.word_tokens(F.col("text")).alias("doc_tokens"))
+    return packing.pack(items, "doc_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_bpe": op4_bpe,
         "op5_warc": op5_warc,
         "op7_quality_rules": op7_quality_rules,
+        "op8_near_dup": op8_near_dup,
+        "op9_ann": op9_ann,
+        "op10_packing": op10_packing,
     }
 
 
