@@ -1,10 +1,67 @@
-"""The corpus pipeline: stages that each call one operator of linkmap.llm."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, suffix dedup, packing.
+
+Each stage takes the documents that its predecessor kept, and calls one
+operator of ``linkmap.llm``.  All stages but the last return the columns of
+``documents``, with ``n_chars`` brought up to date where texts change.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkmap.llm import line_dedup, near_dup, packing, quality, suffix_dedup
+from linkmap.llm.common import materialise, read
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the default policy."""
+    return quality.ledger(docs).where(quality.passes(quality.DEFAULT)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that too many documents have; texts that lose all of their lines go."""
+    out = line_dedup.line_dedup(docs)
+    return _columns(out.where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(line_dedup.SPACE)) != "")), docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one whose doc_id names the class; documents without id stay."""
+    out = near_dup.near_duplicates(docs)
+    return out.where(F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 100 bytes and more that occur earlier; texts that lose all go."""
+    out = suffix_dedup.suffix_dedup(docs, length=100)
+    return _columns(out.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(line_dedup.SPACE)) != "")), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each segment of each document with its place in a bin."""
+    return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("doc_tokens")), "doc_tokens")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dup", near_stage),
+    ("suffix_dedup", suffix_stage),
+    ("packing", packing_stage),
+]
+
+#: Weighted sampling and best-fit packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{name}")
+    return docs
