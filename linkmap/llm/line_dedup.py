@@ -18,33 +18,48 @@ pass through, and ``n_lines`` and ``n_dropped`` replace columns of that name.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmap.llm.common import SPACE, tune
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE = SPACE.encode()
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, UPPER.lower())
+def line_keys(text: str, min_chars: int) -> Iterator[tuple[int, bytes]]:
+    """(position, digest of the key) of a text's lines whose key is long enough.
+
+    The key is the line without white space at its ends, A-Z in lower case.
+    """
+    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        line = line.strip(_SPACE)
+        if len(line) >= min_chars and (line.isascii() or len(line.decode("utf-8", "replace")) >= min_chars):
+            yield i, hashlib.md5(line.lower()).digest()  # of bytes, so only A-Z change
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with ``text`` reduced to the lines that stay, ``n_lines`` and ``n_dropped``."""
     tune(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    lines = (
-        docs.select(F.col(id_column).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line"))
-        .withColumn("__line", line_key(F.col("__line")))
-        .where(F.length("__line") >= min_chars)
-        .select("__id", "__text", "__pos", F.unhex(F.md5("__line")).alias("__key"))
-    )
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, pos, key = [], [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
+                for i, digest in line_keys(t, min_chars):
+                    at.append(k)
+                    pos.append(i)
+                    key.append(digest)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pos, pa.int32()), pa.array(key, pa.binary())], names=["__id", "__text", "__pos", "__key"])
+
+    id_type = docs.select(F.col(id_column).alias("__id")).schema[0]
+    fields = [id_type, T.StructField("__text", T.LongType()), T.StructField("__pos", T.IntegerType()), T.StructField("__key", T.BinaryType())]
+    lines = docs.select(F.col(id_column).alias("__id"), F.xxhash64(text).alias("__text"), text).mapInArrow(keys, T.StructType(fields))
     frequent = (
         lines.groupBy("__key", "__id").agg(F.lit(1).alias("__one"))
         .groupBy("__key").agg(F.count("__one").alias("__n"), F.max("__id").alias("__last"))
