@@ -6,6 +6,11 @@ document such that two documents draw the same one with a probability equal to
 their weighted Jaccard similarity.  Documents that agree on all rows of a band
 meet in a bucket; what meets is verified with the true similarity.
 
+* IDF is the smoothed kind, ``1 + gain * ln(1 + N / df) / ln(1 + N)``: a rare
+  shingle counts up to half as much again as a common one.  With plain IDF the
+  shingles that a thousand near copies share would weigh so little beside each
+  copy's own edits that copies with nine tenths of their shingles in common
+  would fall below the threshold.
 * Document frequencies are counted over all documents in a table of fixed
   size, ``2**df_bits`` hashed counters, less the load expected from other
   shingles, so that neither the counts nor what is broadcast grows.
@@ -43,6 +48,7 @@ from linkmap.operators.components import connected_components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
+IDF_GAIN = 0.5
 DF_BITS = 18
 #: Samples that a pair must share to be verified: a pair at the threshold has fewer about once in 20,000.
 LEAST_SHARED = 0.5
@@ -118,7 +124,7 @@ def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.diff(np.append(first, len(h)))
 
 
-def idf_table(rows: DataFrame, bits: int = DF_BITS) -> np.ndarray:
+def idf_table(rows: DataFrame, bits: int = DF_BITS, gain: float = IDF_GAIN) -> np.ndarray:
     """IDF by the leading bits of a shingle's hash, from all rows of ``__text``."""
     parts = 64
     width = (1 << bits) // parts
@@ -136,10 +142,10 @@ def idf_table(rows: DataFrame, bits: int = DF_BITS) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "counts": [np.sum([np.frombuffer(x, "<i8") for x in pdf["counts"]], axis=0).tobytes()]})
 
     found = {r: np.frombuffer(bytes(c), "<i8") for r, c in rows.select("__text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()}
-    n = int(found[-1][0]) if found else 0
+    n = max(1, int(found[-1][0]) if found else 0)
     counts = np.concatenate([found.get(k, np.zeros(width, np.int64)) for k in range(parts)]).astype(np.float64)
     own = np.maximum(1.0, counts - (counts.sum() - counts) / ((1 << bits) - 1))
-    return np.log(1 + max(n, 1) / np.minimum(own, max(n, 1))).astype(np.float32)
+    return (1 + gain * np.log(1 + n / np.minimum(own, n)) / np.log(1 + n)).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
