@@ -21,17 +21,33 @@ def bridges(t: T.Tree, length: int) -> set[str]:
     return out | {x for x in junction if any(y in junction for y in t[x])}
 
 
-def remove_bridges(edges: DataFrame, length: int, branch: int) -> DataFrame:
+def _without_bridges(rows: list[tuple], length: int, branch: int) -> list[tuple]:
+    """The same for one component's edges in memory."""
+    while True:
+        t = T.tree_of(T.kruskal(rows))
+        T.prune(t, branch)
+        gone = bridges(t, length)
+        if not gone:
+            return rows
+        rows = [r for r in rows if r[0] not in gone and r[1] not in gone]
+
+
+def remove_bridges(edges: DataFrame, length: int, branch: int, local_edges: int = T.LOCAL_EDGES) -> DataFrame:
     """Edges of the graph without bridge vertices, found and taken out in the pruned forest until it has none."""
+    small, edges = T.by_size(cut_lineage(T.simple(edges), "edges"), local_edges)
+    done = T.per_group(small.select("component", "u", "v", F.col("m").cast("long").alias("m")), lambda rows: _without_bridges(rows, length, branch), "u string, v string, m long")
+    edges = edges.select("u", "v", "m")
+    if edges.isEmpty():
+        return done
     while True:
 
         def run(t: T.Tree) -> list[tuple]:
             T.prune(t, branch)
             return [(x,) for x in bridges(t, length)]
 
-        found = cut_lineage(T.per_tree(T.spanning_forest(edges), run, "id string"), "bridges")
+        found = cut_lineage(T.per_tree(T.spanning_forest(edges, local_edges), run, "id string"), "bridges")
         if found.isEmpty():
-            return edges
+            return done.unionByName(edges)
         edges = cut_lineage(edges.join(found.withColumnRenamed("id", "u"), "u", "left_anti").join(found.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "m"), "edges")
 
 

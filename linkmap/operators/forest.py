@@ -3,16 +3,19 @@
 The forest is Borůvka's: in each round every component takes its heaviest
 edge out, by joins and aggregates, and components meet.  Edges are in a total
 order (weight down, then names up), so the forest is the one Kruskal's
-algorithm finds in that order.  What follows works on trees, whose edges are
-one fewer than their vertices; each tree is one group.
+algorithm finds in that order.  Components with few edges are left to Kruskal's
+algorithm, each in one task; the rounds are for those that are too large for
+that.  What follows works on trees, whose edges are one fewer than their
+vertices; each tree is one group.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,80 @@ from linkmap.operators.components import connected_components, cut_lineage
 Tree = dict[str, dict[str, int]]
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+#: Components with more edges than this are not given to one task.
+LOCAL_EDGES = 200_000
+
+
+def per_group(rows: DataFrame, run: Callable[[list[tuple]], list[tuple]], schema: str, key: str = "component") -> DataFrame:
+    """run(rows of a group, without the key) for each group; groups stream through tasks, so many small ones cost little."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    other = [c for c in rows.columns if c != key]
+    empty = spark.createDataFrame([], schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(empty.schema)
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        found: list[tuple] = []
+        for _, group in groupby(flat, key=lambda r: r[0]):
+            found += run([r[1:] for r in group])
+            if len(found) > 10_000:
+                yield batch(found)
+                found = []
+        yield batch(found)
+
+    return rows.select(key, *other).repartition(n, key).sortWithinPartitions(key).mapInArrow(stream, schema)
+
+
+def kruskal(rows: list[tuple]) -> list[tuple]:
+    """The maximum spanning forest of (u, v, m) rows, in the order of weight and names."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for u, v, m in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        a, b = find(u), find(v)
+        if a != b:
+            root[a] = b
+            out.append((u, v, m))
+    return out
+
+
+def by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with their component: those of components with at most so many edges, and the others."""
+    comp = connected_components(edges).withColumnRenamed("id", "u")
+    tagged = cut_lineage(edges.select("u", "v", "m").join(comp, "u").select("u", "v", "m", "component"), "components")
+    large = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component")
+    return tagged.join(large, "component", "left_anti"), tagged.join(large, "component", "left_semi")
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """u < v, no loops, the heaviest of parallel edges."""
+    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "m").where("u <> v").groupBy("u", "v").agg(F.max("m").alias("m"))
+
+
+def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(u, v, m) of the maximum spanning forest; of parallel edges the heaviest counts."""
-    best = cut_lineage(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "m").where("u <> v").groupBy("u", "v").agg(F.max("m").alias("m")), "forest")
+    small, large = by_size(cut_lineage(simple(edges), "forest"), local_edges)
+    done = per_group(small.select("component", F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"), F.col("m").cast("long").alias("m")), kruskal, "u string, v string, m long")
+    if large.isEmpty():
+        return done
+    return done.unionByName(boruvka(large.select("u", "v", "m")))
+
+
+def boruvka(edges: DataFrame) -> DataFrame:
+    """The forest of simple edges, in rounds."""
+    best = cut_lineage(edges, "forest")
     open_ = best.select("u", "v", "m", F.col("u").alias("cu"), F.col("v").alias("cv"))
     forest = best.limit(0)
     while True:
@@ -135,12 +209,7 @@ def diameter(t: Tree, nodes) -> list[str]:
 def per_tree(forest: DataFrame, run: Callable[[Tree], list[tuple]], schema: str) -> DataFrame:
     """run(tree) for each tree of a forest."""
     comp = connected_components(forest).withColumnsRenamed({"id": "u", "component": "tree"})
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run(tree_of(pdf[["u", "v", "m"]].itertuples(index=False))), columns=names)
-
-    return forest.join(comp, "u").groupBy("tree").applyInPandas(one, schema)
+    return per_group(forest.join(comp, "u").select("tree", "u", "v", "m"), lambda rows: run(tree_of(rows)), schema, "tree")
 
 
 def pruned_forest(edges: DataFrame, least: int) -> DataFrame:

@@ -102,7 +102,9 @@ def compressed_reads(reads: DataFrame) -> DataFrame:
     starts = C.run_starts(F.col("seq"))
     kept = F.array_join(F.transform(starts, lambda i: F.substring(F.col("qual"), i + 1, F.lit(1))), "")
     short = C.compress_runs(F.col("seq"))
-    return reads.withColumns({"seq": short, "qual": F.when(F.col("qual").isNotNull(), kept).otherwise(F.repeat(F.lit("I"), F.length(short)))})
+    # two steps: beside an alias of the same name the lambdas would see the new sequence
+    out = reads.withColumn("qual", F.when(F.col("qual").isNotNull(), kept).otherwise(F.repeat(F.lit("I"), F.length(short))))
+    return out.withColumn("seq", short)
 
 
 def index_ordered(named: DataFrame, k: int, w: int) -> DataFrame:

@@ -207,7 +207,7 @@ def index_reads_filtered(s, d):
 
 
 def homopolymer(s, d):
-    return X.reads(s, d).select("rec_no", C.compress_runs(F.col("seq")).alias("seq"), F.array_join(C.run_starts(F.col("seq")), ",").alias("starts"))
+    return X.reads(s, d).select("rec_no", C.compress_runs(F.col("seq")).alias("short"), F.array_join(C.run_starts(F.col("seq")), ",").alias("starts")).withColumnRenamed("short", "seq")
 
 
 def compressed_reads(s, d):
@@ -642,9 +642,9 @@ _POSITIONS = _POSITIONS.replace(" positions AS", ", positions AS", 1) + ")"
 MAP_SQL = {
     "backbone_index": f"WITH {X.TILES_SQL}, {_MP} SELECT mx, tid, tpos FROM idx",
     "map_bed": f"WITH {X.TILES_SQL}, {_MP}, {_Q}, {_BED} SELECT * FROM bed",
-    "bed_to_path": f"""WITH {X.TILES_SQL}, {_MP}, {_Q}, {_BED}, per AS (SELECT qname, tname, count(*) n, quantile_disc(tstart, 0.5) at FROM bed GROUP BY 1, 2), best AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY qname ORDER BY n DESC, tname) = 1),
+    "bed_to_path": f"""WITH {X.TILES_SQL}, {_MP}, {_Q}, {_BED}, per AS (SELECT qname, tname, count(*) n, quantile_disc(tstart, 0.5) mid FROM bed GROUP BY 1, 2), best AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY qname ORDER BY n DESC, tname) = 1),
  votes AS (SELECT qname, tname, orientation, count(*) c FROM bed GROUP BY 1, 2, 3), tops AS (SELECT *, rank() OVER (PARTITION BY qname, tname ORDER BY c DESC) k FROM votes), vote AS (SELECT qname, tname, CASE WHEN count(*) = 1 THEN min(orientation) ELSE '.' END orientation FROM tops WHERE k = 1 GROUP BY 1, 2)
- SELECT tname tid, row_number() OVER (PARTITION BY tname ORDER BY at, qname) - 1 ord, qname name, orientation FROM best JOIN vote USING (qname, tname)""",
+ SELECT tname tid, row_number() OVER (PARTITION BY tname ORDER BY mid, qname) - 1 ord, qname name, orientation FROM best JOIN vote USING (qname, tname)""",
     "map_paf": f"WITH {X.TILES_SQL}, {_MP}, {_Q}, {_PAF} SELECT * FROM paf",
     "paf_top_n": f"WITH {X.TILES_SQL}, {_MP}, {_Q}, {_PAF}, top AS (SELECT tname FROM paf GROUP BY tname ORDER BY sum(score) DESC, tname LIMIT 3) SELECT * FROM paf SEMI JOIN top USING (tname)",
     "scaffolds": f"""WITH {X.CONTIGS_SQL}, {_SP}, ok AS (SELECT tid FROM spaths GROUP BY tid HAVING bool_or(orientation <> '.')), used AS (SELECT s.*, CASE WHEN orientation = '-' THEN reverse(translate(seq, 'ACGTacgtNn', 'TGCAtgcaNn')) ELSE seq END part FROM spaths s SEMI JOIN ok USING (tid) JOIN contigs USING (name)),
