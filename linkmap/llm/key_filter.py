@@ -8,7 +8,7 @@ rows out of a shuffle, never to decide a result, so its size need not grow.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,15 +37,19 @@ def has(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITS) -> np.ndarray:
     return (bitmap[s >> np.uint64(3)] >> (np.uint8(7) - (s & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-def key_filter(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The bitmap of the long keys in the first column, as packed bits; at most 2**bits bits reach the driver."""
+def _first_column(b: pa.RecordBatch) -> np.ndarray:
+    return np.array(b.column(0).drop_null())
+
+
+def key_filter(keys: DataFrame, bits: int = BITS, of: Callable[[pa.RecordBatch], np.ndarray] = _first_column) -> np.ndarray:
+    """The bitmap of the long keys that ``of`` gives (the first column), as packed bits; at most 2**bits bits reach the driver."""
     n_ranges = 1 << min(bits - 10, 6)
     down = np.uint64(bits - int(math.log2(n_ranges)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(1 << bits, bool)
         for b in batches:
-            mark[slots(np.array(b.column(0).drop_null()), bits)] = True
+            mark[slots(of(b), bits)] = True
         s = np.flatnonzero(mark)
         cut = np.searchsorted(s.astype(np.uint64) >> down, np.arange(n_ranges + 1, dtype=np.uint64))
         some = [r for r in range(n_ranges) if cut[r] < cut[r + 1]]

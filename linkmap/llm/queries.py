@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmap.llm import ann, bpe, chat, line_dedup, lm, near_dup, packing, quality, suffix_dedup, warc
+from linkmap.llm import ann, bpe, chat, line_dedup, lm, near_dup, oracles, packing, quality, suffix_dedup, warc
 from linkmap.llm.common import materialise, read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -88,4 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Encoding, weighted sampling, a trained model, an approximate index and best fit have no SQL form; tests hold them against brute force."""
+    return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op2_chat": oracles.chat_sql(ODD_TEXT),
+        "op3_line_dedup": oracles.LINE_DEDUP,
+        "op5_warc": oracles.WARC,
+        "op7_quality_rules": oracles.QUALITY,
+    }

@@ -5,7 +5,12 @@ as it takes to tell which suffixes share all of them.  The sort goes by
 most-significant digits; after each pass the suffixes that stand alone are
 done and move no further:
 
-1. *Anchor digit.*  Of the 16-byte strings inside a suffix's first ``length``
+0. *Sections.*  Runs of suffixes are first taken together in sections of about
+   thirty anchors, cut where the content says so.  A section that occurred before
+   as a whole loses all of its windows there and then, and its suffixes need
+   no order; only each section's first occurrence goes on.  Whole copies end
+   here, at the price of one row for some 1,000 bytes.
+1. *Anchor digit.*  Of the 40-byte strings inside a suffix's first ``length``
    bytes the one with the least hash is its anchor.  Equal windows have equal
    anchors at equal places, so the anchor is a digit that any two equal
    suffixes share; neighbouring suffixes mostly have one anchor, so one row
@@ -13,7 +18,8 @@ done and move no further:
    arrays per hash range; a range's task finds those met twice and sets their
    bits in a filter of fixed size.
 2. *Offset and content digits.*  Runs whose anchor's bit is set are dealt out
-   by anchor with the bytes they span.  Within an anchor, suffixes are ordered
+   by anchor with the bytes they span, after each task has settled those that
+   are equal among its own.  Within an anchor, suffixes are ordered
    by the anchor's offset and their content and each group's members are
    compared byte by byte with its earliest one.
 
@@ -32,25 +38,36 @@ doc_id is below all others; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmap.llm.common import tune
+from linkmap.llm.common import materialise, tune
+from linkmap.llm.key_filter import has, key_filter
 
-GRAM = 16
+GRAM = 40
 #: Texts are hashed in pieces of so many bytes.
 PIECE = 1 << 18
 PLACE = np.uint64((1 << 20) - 1)
 #: Bits of the filter of repeated anchors, 16 MB: a bound that doesn't grow with the data.
 FILTER_BITS = 27
-HOT = 20_000
+HOT = 200_000
+#: Different runs that a task holds to find equal ones among its own.
+HELD = 150_000
+#: Windows that are compared at a time within one anchor.
+WINDOWS = 1 << 20
+#: Bits of the filter of sections' first occurrences, 8 MB.
+FIRST_BITS = 26
+#: An anchor begins a section if its hash is a multiple of this.
+SECTION = np.uint64(32)
 #: Bytes of runs that a task compares at a time, beside the rest of one anchor.
 BUFFER = 1 << 20
 
@@ -76,7 +93,10 @@ class Runs:
 
     def __init__(self, buf: bytes, spans: list[tuple[int, int]], length: int):
         e = _eights(buf)
-        g = _mix(e[:-8] * _M3 + e[8:])
+        g = e
+        for k in range(8, GRAM, 8):
+            g = g[: len(e) - k] * _M3 + e[k:]
+        g = _mix(g)
         width = length - GRAM + 1
         least = (g & ~PLACE) | np.arange(len(g), dtype=np.uint64)
         have = 1
@@ -122,11 +142,58 @@ def runs_of(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray
         yield piece()
 
 
+def _column(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
 def _texts(b: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in b.column(b.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in _column(b, "__text").cast(pa.binary()).to_pylist()]
+
+
+def _place_keys(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of a place: id (0 if null), the text's hash, the offset."""
+    return _mix(_mix(ids.astype(np.int64).view(np.uint64) * _M3 + tags.astype(np.int64).view(np.uint64)) + lo.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def _places(b: pa.RecordBatch) -> np.ndarray:
+    return _place_keys(np.array(_column(b, "__id").fill_null(0)), np.array(_column(b, "__tag")), np.array(_column(b, "lo")))
+
+
+def _sections(r: Runs) -> np.ndarray:
+    """The first run of each section."""
+    return np.flatnonzero((r.key % SECTION == 0) | np.concatenate([[True], r.span[1:] != r.span[:-1]]))
+
+
+def _first_runs(b: pa.RecordBatch, length: int, firsts: np.ndarray) -> Iterator[tuple]:
+    """Pieces of a batch's texts, and the runs in them that lie in the first occurrence of their section."""
+    ids, tags = np.array(_column(b, "__id").fill_null(0)), np.array(_column(b, "__tag"))
+    for buf, which, shift, r in runs_of(_texts(b), length):
+        begin = _sections(r)
+        doc = which[r.span[begin]]
+        first = has(firsts, _place_keys(ids[doc], tags[doc], r.lo[begin] + shift[r.span[begin]]), FIRST_BITS)
+        yield buf, which, shift, r, np.flatnonzero(np.repeat(first, np.diff(np.append(begin, len(r.lo)))))
+
+
+SECTIONS = "h long, g long, __id long, __tag int, lo long, n long"
+
+
+def section_rows(rows: DataFrame, length: int) -> DataFrame:
+    """Each section's digest and place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tags = _column(b, "__id"), _column(b, "__tag")
+            for buf, which, shift, r in runs_of(_texts(b), length):
+                begin = _sections(r)
+                lo, end = r.lo[begin], r.hi[np.append(begin[1:], len(r.lo)) - 1] + length
+                digests = np.frombuffer(b"".join([hashlib.blake2b(buf[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                doc = pa.array(which[r.span[begin]])
+                yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), ids.take(doc), tags.take(doc), pa.array(lo + shift[r.span[begin]]), pa.array(end - lo)], names=["h", "g", "__id", "__tag", "lo", "n"])
+
+    return rows.mapInArrow(run, SECTIONS)
 
-def repeated_filter(rows: DataFrame, length: int, hot: int, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+
+def repeated_filter(rows: DataFrame, length: int, hot: int, firsts, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Two bit filters over the leading bits of an anchor's hash: met twice or more, and more than ``hot`` times."""
     spark = rows.sparkSession
     n_ranges = 1 << min(bits - 3, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
@@ -145,9 +212,11 @@ def repeated_filter(rows: DataFrame, length: int, hot: int, bits: int = FILTER_B
             )
 
         for b in batches:
-            for *_, r in runs_of(_texts(b), length):
-                held.append(r.key)
-                size += len(r.key)
+            for *_, r, k in _first_runs(b, length, firsts.value):
+                if not len(k):
+                    continue
+                held.append(r.key[k])
+                size += len(k)
                 if size >= 1 << 21:
                     yield packed()
                     held, size = [], 0
@@ -171,7 +240,7 @@ def repeated_filter(rows: DataFrame, length: int, hot: int, bits: int = FILTER_B
             out[name] = [np.packbits(mark).tobytes() if met.any() else b""]
         return pd.DataFrame(out)
 
-    parts = rows.select("__text").mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary, often binary")
+    parts = rows.mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary, often binary")
     found = [np.zeros(1 << bits - 3, np.uint8) for _ in range(2)]
     n = slots // 8
     for r, *marks in parts.collect():  # at most 2**bits bits in all, however large the input
@@ -186,28 +255,74 @@ def _has(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-RUN = "anchor long, __id long, __tag int, lo long, off int, body binary"
+RUN = "anchor long, __id long, __tag int, lo long, end long, off int, body binary"
 
 
-def _emit(rows: DataFrame, length: int, wanted, bits: int) -> DataFrame:
-    """Runs whose anchor's bit is set in the filter that wanted() gives: their bytes, first start, and the anchor's offset."""
+class _Own:
+    """Runs that a task has met: of equal ones the earliest stays to be dealt out, the others lose their windows at once."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.first: dict[tuple, tuple] = {}
+        self.lost: list[tuple] = []
+
+    def add(self, anchors: list[int], offs: list[int], bodies: list[bytes], places: list[tuple]) -> None:
+        first, lost = self.first, self.lost
+        for key, place in zip(zip(anchors, offs, bodies, strict=True), places, strict=True):
+            have = first.setdefault(key, place)
+            if have is not place:
+                if place == have:
+                    continue
+                if place < have:
+                    first[key], place = place, have
+                lost.append((*place, place[3] + len(key[2])))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """What is held: lost stretches of one text that touch are one row without a body, dealt out by their place."""
+        if self.first:
+            # in the order of anchors: runs of one anchor have most bytes in common, which the shuffle's compression finds
+            (anchors, offs, bodies), places = zip(*sorted(self.first), strict=True), [self.first[k] for k in sorted(self.first)]
+            yield self._batch(anchors, [(*p, None) for p in places], offs, bodies)
+        joined: list[list] = []
+        for x in sorted(self.lost):
+            if joined and joined[-1][:3] == list(x[:3]) and x[3] <= joined[-1][4]:
+                joined[-1][4] = max(joined[-1][4], x[4])
+            else:
+                joined.append(list(x))
+        if joined:
+            spread = _place_keys(np.array([x[1] for x in joined]), np.array([x[2] for x in joined]), np.array([x[3] for x in joined]))
+            yield self._batch(spread & 0xFFFF, joined, [0] * len(joined), [None] * len(joined))
+        self.first, self.lost = {}, []
+
+    @staticmethod
+    def _batch(anchors, places, offs, bodies) -> pa.RecordBatch:
+        known, ids, tags, lo, end = zip(*places, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchors, pa.int64()), pa.array([i if k else None for k, i in zip(known, ids, strict=True)], pa.int64()), pa.array(tags, pa.int32()), pa.array(lo, pa.int64()), pa.array(end, pa.int64()), pa.array(offs, pa.int32()), pa.array(bodies, pa.binary())],
+            names=["anchor", "__id", "__tag", "lo", "end", "off", "body"],
+        )
+
+
+def _emit(rows: DataFrame, length: int, wanted, firsts, bits: int) -> DataFrame:
+    """Runs whose anchor's bit is set in the filter that wanted() gives: their bytes, first start, and the anchor's offset; rows without bytes are stretches that are lost already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Own(length)
         for b in batches:
-            ids = b.column(b.schema.get_field_index("__id")).to_pylist()
-            tags = np.array(b.column(b.schema.get_field_index("__tag")))
-            for buf, which, shift, r in runs_of(_texts(b), length):
-                k = np.flatnonzero(wanted(r.key, bits))
+            known = [x is not None for x in _column(b, "__id").to_pylist()]
+            ids = _column(b, "__id").fill_null(0).to_pylist()
+            tags = _column(b, "__tag").to_pylist()
+            for buf, which, shift, r, k in _first_runs(b, length, firsts.value):
+                k = k[wanted(r.key[k], bits)]
                 if not len(k):
                     continue
-                doc, lo, hi = which[r.span[k]], r.lo[k], r.hi[k] + length
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r.key[k].view(np.int64)), pa.array([ids[d] for d in doc], pa.int64()), pa.array(tags[doc], pa.int32()), pa.array(lo + shift[r.span[k]], pa.int64()), pa.array(r.at[k] - lo, pa.int32()),
-                        pa.array([buf[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["anchor", "__id", "__tag", "lo", "off", "body"],
-                )
+                doc, lo, hi = which[r.span[k]].tolist(), r.lo[k], r.hi[k] + length
+                at = (lo + shift[r.span[k]]).tolist()
+                places = [(known[d], ids[d], tags[d], x) for d, x in zip(doc, at, strict=True)]
+                own.add(r.key[k].view(np.int64).tolist(), (r.at[k] - lo).tolist(), [buf[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], places)
+                if len(own.first) > HELD or len(own.lost) > 4 * HELD:
+                    yield from own.batches()
+        yield from own.batches()
 
     return rows.mapInArrow(run, RUN)
 
@@ -234,6 +349,9 @@ def _windows(bodies: list[bytes], offs: np.ndarray, length: int) -> tuple[np.nda
 
 def later_windows(anchor: np.ndarray, offs: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(run, window's number in it) of all windows that an earlier run of the same anchor has at the same offset; runs come in order of place."""
+    total = sum(map(len, bodies)) - (length - 1) * len(bodies)
+    if total > WINDOWS and (anchor == anchor[0]).all() and len(np.unique(offs)) + max(map(len, bodies)) > 1:
+        return _by_offset(offs, bodies, length)
     run, place, off, buf = _windows(bodies, offs, length)
     key = _mix(_window_hash(buf, length)[place] ^ _mix(anchor.view(np.uint64)[run] * _M3 + off.astype(np.uint64)))
     order = np.argsort(key)
@@ -262,13 +380,30 @@ def later_windows(anchor: np.ndarray, offs: np.ndarray, bodies: list[bytes], len
     return run[later], place[later] - (np.cumsum([len(x) for x in bodies]) - np.array([len(x) for x in bodies]))[run[later]]
 
 
+def _by_offset(offs: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for very many runs of one anchor: the windows of one offset at a time."""
+    count = np.array([len(x) for x in bodies]) - length + 1
+    runs, steps = [], []
+    for off in range(int((offs - count).min()) + 1, int(offs.max()) + 1):
+        step = offs - off
+        seen: set[bytes] = set()
+        for i in np.flatnonzero((step >= 0) & (step < count)).tolist():
+            w = bodies[i][step[i] : step[i] + length]
+            if w in seen:
+                runs.append(i)
+                steps.append(int(step[i]))
+            seen.add(w)
+    order = np.lexsort((steps, runs)) if runs else np.zeros(0, np.int64)
+    return np.array(runs, np.int64)[order], np.array(steps, np.int64)[order]
+
+
 LOST = "__id long, __tag int, a long, b long"
 
 
 def _lost(ids: list, tags: np.ndarray, lo: np.ndarray, run: np.ndarray, step: np.ndarray, length: int) -> pa.RecordBatch:
     """Stretches of lost bytes from lost windows, which are sorted by run and step."""
-    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)])) if len(run) else np.array([], np.int64)
-    end = np.append(new[1:], len(run)) - 1
+    new = np.flatnonzero(np.concatenate([[len(run) > 0], (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)]))
+    end = (np.append(new[1:], len(run)) - 1)[: len(new)]
     r = run[new]
     return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r], pa.int64()), pa.array(tags[r], pa.int32()), pa.array(lo[r] + step[new]), pa.array(lo[r] + step[end] + length)], names=["__id", "__tag", "a", "b"])
 
@@ -280,11 +415,17 @@ def _compare(length: int):
         size = 0
 
         def done(t: pa.Table) -> pa.RecordBatch:
+            t = t.filter(pa.compute.is_valid(t.column("body")))
+            if not t.num_rows:
+                return _lost([], np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), length)
             c = {n: t.column(n).combine_chunks() for n in t.column_names}
             found = later_windows(np.array(c["anchor"]), np.array(c["off"]).astype(np.int64), c["body"].to_pylist(), length)
             return _lost(c["__id"].to_pylist(), np.array(c["__tag"]), np.array(c["lo"]), *found, length)
 
         for b in batches:
+            settled = b.filter(pa.compute.is_null(_column(b, "body")))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([_column(settled, n) for n in ("__id", "__tag", "lo", "end")], names=["__id", "__tag", "a", "b"])
             held.append(b)
             size += b.nbytes
             if size < BUFFER:
@@ -305,6 +446,8 @@ def _compare(length: int):
 def _hot_lost(runs: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many members, as rows that spread over all tasks."""
     place = F.struct("__id", "__tag", "lo")
+    settled = runs.where("body is null").select("__id", "__tag", F.col("lo").alias("a"), F.col("end").alias("b"))
+    runs = runs.where("body is not null")
     kinds = runs.groupBy("anchor", "off", "body").agg(F.min(place).alias("first"))
     n = F.octet_length("body")
     copies = (
@@ -332,7 +475,7 @@ def _hot_lost(runs: DataFrame, length: int) -> DataFrame:
     key, at = ["anchor", "off", "h", "g"], F.struct("__id", "__tag", "s")
     firsts = windows.groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rest = windows.join(firsts, key).where(~at.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    return copies.unionByName(rest)
+    return copies.unionByName(rest).unionByName(settled)
 
 
 def _joined(spans: list) -> list[tuple[int, int]]:
@@ -347,12 +490,17 @@ def _joined(spans: list) -> list[tuple[int, int]]:
 
 def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = HOT, bits: int = FILTER_BITS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary) and text without the removed spans, which are narrowed to whole characters there."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
+    if length < GRAM + 8:
+        raise ValueError(f"length must be {GRAM + 8} at least")
     spark = tune(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.hash(text).alias("__tag"), text.alias("__text"))
-    twice, often = repeated_filter(rows, length, hot, bits)
+    sections = materialise(section_rows(rows, length), "sections")
+    place = F.struct("__id", "__tag", "lo")
+    kinds = materialise(sections.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "kinds")
+    firsts = spark.sparkContext.broadcast(key_filter(kinds.select("first.*"), FIRST_BITS, _places))
+    copied = sections.join(kinds.where("times > 1").drop("times"), ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
+    twice, often = repeated_filter(rows, length, hot, firsts, bits)
     twice_b, often_b = spark.sparkContext.broadcast(twice), spark.sparkContext.broadcast(often)
     any_hot = bool(often.any())
 
@@ -361,13 +509,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = HOT, bits: int =
         return found & ~_has(often_b.value, key, bits) if any_hot else found
 
     lost = (
-        _emit(rows, length, ordinary, bits)
+        _emit(rows, length, ordinary, firsts, bits)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
         .sortWithinPartitions("anchor", F.col("__id").asc_nulls_first(), "__tag", "lo")
         .mapInArrow(_compare(length), LOST)
     )
     if any_hot:
-        lost = lost.unionByName(_hot_lost(_emit(rows, length, lambda key, bits: _has(often_b.value, key, bits), bits), length))
+        lost = lost.unionByName(_hot_lost(materialise(_emit(rows, length, lambda key, bits: _has(often_b.value, key, bits), firsts, bits), "hot"), length))
+    lost = lost.unionByName(copied)
     # a copy of an equal row would give its stretches twice; they are joined below in any case
     lost = lost.groupBy("__id", "__tag").agg(F.collect_list(F.struct("a", "b")).alias("__lost")).withColumnRenamed("__id", "__lid").withColumnRenamed("__tag", "__ltag")
     names = ("n_bytes", "n_removed", "n_spans", "kept")
