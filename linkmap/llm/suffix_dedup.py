@@ -10,23 +10,26 @@ done and move no further:
    as a whole loses all of its windows there and then, and its suffixes need
    no order; only each section's first occurrence goes on.  Whole copies end
    here, at the price of one row for some 1,000 bytes.
-1. *Anchor digit.*  Of the 40-byte strings inside a suffix's first ``length``
+1. *Anchor digit.*  Of the 32-byte strings inside a suffix's first ``length``
    bytes the one with the least hash is its anchor.  Equal windows have equal
    anchors at equal places, so the anchor is a digit that any two equal
    suffixes share; neighbouring suffixes mostly have one anchor, so one row
    stands for a run of them.  Tasks pre-aggregate anchors into sorted packed
    arrays per hash range; a range's task finds those met twice and sets their
    bits in a filter of fixed size.
-2. *Offset and content digits.*  Runs whose anchor's bit is set are dealt out
-   by anchor with the bytes they span, after each task has settled those that
-   are equal among its own.  Within an anchor, suffixes are ordered
-   by the anchor's offset and their content and each group's members are
-   compared byte by byte with its earliest one.
+2. *Run digit.*  Runs whose anchor's bit is set are dealt out by anchor with a
+   digest of the bytes they span, after each task has settled those that are
+   equal among its own.  Of equal runs all but the earliest lose all of their
+   windows; an anchor with one digest left is done.
+3. *Offset and content digits.*  The runs that are left, one of each kind, are
+   dealt out by anchor with their bytes.  Within an anchor, suffixes are
+   ordered by the anchor's offset and their content, and each group's members
+   are compared byte by byte with its earliest one.
 
 Groups of equal digits at the end are exactly the repeated windows; all but
 the earliest of a group lose their bytes.  The filter only saves work: a bit
-set by chance adds a row that ends alone.  Anchors with more than ``hot``
-members never meet in one task: equal runs are first reduced to their earliest
+set by chance adds a row that ends alone.  Anchors with more than ``hot`` kinds
+of runs never meet in one task: equal runs are first reduced to their earliest
 by an aggregate that combines before it shuffles, and the windows of the runs
 that stay are grouped by hash as rows of their own.
 
@@ -45,7 +48,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +55,7 @@ from pyspark.sql import types as T
 from linkmap.llm.common import materialise, tune
 from linkmap.llm.key_filter import has, key_filter
 
-GRAM = 40
+GRAM = 32
 #: Texts are hashed in pieces of so many bytes.
 PIECE = 1 << 18
 PLACE = np.uint64((1 << 20) - 1)
@@ -193,8 +195,8 @@ def section_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, SECTIONS)
 
 
-def repeated_filter(rows: DataFrame, length: int, hot: int, firsts, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit filters over the leading bits of an anchor's hash: met twice or more, and more than ``hot`` times."""
+def repeated_filter(rows: DataFrame, length: int, firsts, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit filter over the leading bits of the hashes of anchors that are met twice or more."""
     spark = rows.sparkSession
     n_ranges = 1 << min(bits - 3, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     down = np.uint64(64 - int(math.log2(n_ranges)))
@@ -205,7 +207,7 @@ def repeated_filter(rows: DataFrame, length: int, hot: int, firsts, bits: int =
         def packed() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(key >> down, np.arange(n_ranges + 1, dtype=np.uint64))
-            n = np.minimum(n, 65535).astype("<u2")
+            n = np.minimum(n, 2).astype("u1")
             some = [r for r in range(n_ranges) if cut[r] < cut[r + 1]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()), pa.array([key[cut[r] : cut[r + 1]].astype("<u8").tobytes() for r in some], pa.binary()), pa.array([n[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], names=["range", "keys", "counts"]
@@ -227,27 +229,22 @@ def repeated_filter(rows: DataFrame, length: int, hot: int, firsts, bits: int =
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["keys"]])
-        n = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["counts"]]).astype(np.int64)
+        n = np.concatenate([np.frombuffer(x, "u1") for x in pdf["counts"]]).astype(np.int64)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.add.reduceat(n, first)
         slot = (keys[first] >> np.uint64(64 - bits)) & np.uint64(slots - 1)
-        out = {"range": [key[0]]}
-        for name, met in (("twice", n > 1), ("often", n > hot)):
-            mark = np.zeros(slots, np.uint8)
-            mark[slot[met]] = 1
-            out[name] = [np.packbits(mark).tobytes() if met.any() else b""]
-        return pd.DataFrame(out)
-
-    parts = rows.mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary, often binary")
-    found = [np.zeros(1 << bits - 3, np.uint8) for _ in range(2)]
+        mark = np.zeros(slots, np.uint8)
+        mark[slot[n > 1]] = 1
+        return pd.DataFrame({"range": [key[0]], "twice": [np.packbits(mark).tobytes()]})
+
+    parts = rows.mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary")
+    found = np.zeros(1 << bits - 3, np.uint8)
     n = slots // 8
-    for r, *marks in parts.collect():  # at most 2**bits bits in all, however large the input
-        for bitmap, x in zip(found, marks, strict=True):
-            if x:
-                bitmap[r * n : (r + 1) * n] = np.frombuffer(bytes(x), np.uint8)
-    return found[0], found[1]
+    for r, x in parts.collect():  # at most 2**bits bits in all, however large the input
+        found[r * n : (r + 1) * n] = np.frombuffer(bytes(x), np.uint8)
+    return found
 
 
 def _has(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
@@ -255,34 +252,33 @@ def _has(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-RUN = "anchor long, __id long, __tag int, lo long, end long, off int, body binary"
+DIGEST = "anchor long, off int, h long, g long, __id long, __tag int, lo long, end long"
+RUN = "anchor long, __id long, __tag int, lo long, off int, body binary"
 
 
 class _Own:
-    """Runs that a task has met: of equal ones the earliest stays to be dealt out, the others lose their windows at once."""
+    """Runs that a task has met, by digest: of equal ones the earliest is dealt out, the others lose their windows at once."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self):
         self.first: dict[tuple, tuple] = {}
         self.lost: list[tuple] = []
 
-    def add(self, anchors: list[int], offs: list[int], bodies: list[bytes], places: list[tuple]) -> None:
+    def add(self, keys: list[tuple], places: list[tuple]) -> None:
         first, lost = self.first, self.lost
-        for key, place in zip(zip(anchors, offs, bodies, strict=True), places, strict=True):
+        for key, place in zip(keys, places, strict=True):
             have = first.setdefault(key, place)
             if have is not place:
                 if place == have:
                     continue
                 if place < have:
                     first[key], place = place, have
-                lost.append((*place, place[3] + len(key[2])))
+                lost.append(place)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """What is held: lost stretches of one text that touch are one row without a body, dealt out by their place."""
+        """What is held: lost stretches of one text that touch are one row, of anchor 0 and no digest."""
         if self.first:
-            # in the order of anchors: runs of one anchor have most bytes in common, which the shuffle's compression finds
-            (anchors, offs, bodies), places = zip(*sorted(self.first), strict=True), [self.first[k] for k in sorted(self.first)]
-            yield self._batch(anchors, [(*p, None) for p in places], offs, bodies)
+            keys = sorted(self.first)
+            yield self._batch([(k[0], k[1], *np.frombuffer(k[2], "<i8").tolist()) for k in keys], [self.first[k] for k in keys])
         joined: list[list] = []
         for x in sorted(self.lost):
             if joined and joined[-1][:3] == list(x[:3]) and x[3] <= joined[-1][4]:
@@ -290,40 +286,107 @@ class _Own:
             else:
                 joined.append(list(x))
         if joined:
-            spread = _place_keys(np.array([x[1] for x in joined]), np.array([x[2] for x in joined]), np.array([x[3] for x in joined]))
-            yield self._batch(spread & 0xFFFF, joined, [0] * len(joined), [None] * len(joined))
+            yield self._batch([(x[3] & 0xFF, 0, None, None) for x in joined], joined)
         self.first, self.lost = {}, []
 
     @staticmethod
-    def _batch(anchors, places, offs, bodies) -> pa.RecordBatch:
+    def _batch(keys: list[tuple], places: list) -> pa.RecordBatch:
+        anchors, offs, h, g = zip(*keys, strict=True)
         known, ids, tags, lo, end = zip(*places, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchors, pa.int64()), pa.array([i if k else None for k, i in zip(known, ids, strict=True)], pa.int64()), pa.array(tags, pa.int32()), pa.array(lo, pa.int64()), pa.array(end, pa.int64()), pa.array(offs, pa.int32()), pa.array(bodies, pa.binary())],
-            names=["anchor", "__id", "__tag", "lo", "end", "off", "body"],
+            [pa.array(anchors, pa.int64()), pa.array(offs, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array([i if k else None for k, i in zip(known, ids, strict=True)], pa.int64()), pa.array(tags, pa.int32()), pa.array(lo, pa.int64()), pa.array(end, pa.int64())],
+            names=["anchor", "off", "h", "g", "__id", "__tag", "lo", "end"],
         )
 
 
-def _emit(rows: DataFrame, length: int, wanted, firsts, bits: int) -> DataFrame:
-    """Runs whose anchor's bit is set in the filter that wanted() gives: their bytes, first start, and the anchor's offset; rows without bytes are stretches that are lost already."""
+def _digests(rows: DataFrame, length: int, twice, firsts, bits: int) -> DataFrame:
+    """Runs whose anchor's bit is set: the anchor, its offset, a digest of the run's bytes, the place; rows without a digest are stretches that are lost already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Own(length)
+        own = _Own()
         for b in batches:
             known = [x is not None for x in _column(b, "__id").to_pylist()]
-            ids = _column(b, "__id").fill_null(0).to_pylist()
-            tags = _column(b, "__tag").to_pylist()
+            ids, tags = _column(b, "__id").fill_null(0).to_pylist(), _column(b, "__tag").to_pylist()
             for buf, which, shift, r, k in _first_runs(b, length, firsts.value):
-                k = k[wanted(r.key[k], bits)]
+                k = k[_has(twice.value, r.key[k], bits)]
                 if not len(k):
                     continue
                 doc, lo, hi = which[r.span[k]].tolist(), r.lo[k], r.hi[k] + length
-                at = (lo + shift[r.span[k]]).tolist()
-                places = [(known[d], ids[d], tags[d], x) for d, x in zip(doc, at, strict=True)]
-                own.add(r.key[k].view(np.int64).tolist(), (r.at[k] - lo).tolist(), [buf[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], places)
+                digest = [hashlib.blake2b(buf[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                move = shift[r.span[k]]
+                places = [(known[d], ids[d], tags[d], x, y) for d, x, y in zip(doc, (lo + move).tolist(), (hi + move).tolist(), strict=True)]
+                own.add(list(zip(r.key[k].view(np.int64).tolist(), (r.at[k] - lo).tolist(), digest, strict=True)), places)
                 if len(own.first) > HELD or len(own.lost) > 4 * HELD:
                     yield from own.batches()
         yield from own.batches()
 
+    return rows.mapInArrow(run, DIGEST)
+
+
+SETTLED = "hot boolean, __id long, __tag int, a long, b long"
+
+
+def _classes(hot: int):
+    """Rows sorted by anchor, digest and place: equal runs but the earliest are lost; where an anchor has several digests, the earliest of each needs its bytes compared.
+
+    Gives lost stretches (hot is null) and the starts of runs whose bytes are
+    needed (b is null), hot if the anchor has more than so many digests.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            c = {n: t.column(n).combine_chunks() for n in t.column_names}
+            settled = np.array(c["h"].is_null())
+            key = np.stack([np.array(c[n].fill_null(0)).astype(np.int64) for n in ("anchor", "off", "h", "g")])
+            new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
+            first = np.concatenate([[True], key[0, 1:] != key[0, :-1]])
+            start = np.flatnonzero(first)
+            count = np.add.reduceat((new & ~settled).astype(np.int64), start)
+            several = np.repeat(count, np.diff(np.append(start, len(first))))
+            need = new & ~settled & (several > 1)
+            for mask, flag in ((settled | ~new, None), (need & (several <= hot), False), (need & (several > hot), True)):
+                if mask.any():
+                    m = pa.array(mask)
+                    part = {n: c[n].filter(m) for n in ("__id", "__tag", "lo", "end")}
+                    n = len(part["lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array([flag] * n, pa.bool_()), part["__id"], part["__tag"], part["lo"], part["end"] if flag is None else pa.nulls(n, pa.int64())], names=["hot", "__id", "__tag", "a", "b"])
+
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size < 8 * BUFFER:
+                continue
+            t = pa.Table.from_batches(held)
+            anchor = np.array(t.column("anchor").combine_chunks())
+            cut = int(np.argmax(anchor == anchor[-1]))
+            if cut:
+                yield from done(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return run
+
+
+def _bodies(rows: DataFrame, length: int, needed, firsts) -> DataFrame:
+    """The bytes of the runs whose place is in a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tags = _column(b, "__id"), _column(b, "__tag")
+            id0, tag0 = np.array(ids.fill_null(0)), np.array(tags)
+            for buf, which, shift, r, k in _first_runs(b, length, firsts.value):
+                doc, at = which[r.span[k]], r.lo[k] + shift[r.span[k]]
+                hit = has(needed.value, _place_keys(id0[doc], tag0[doc], at), FIRST_BITS)
+                k, doc, at = k[hit], pa.array(doc[hit]), at[hit]
+                if len(k):
+                    body = [buf[x:y] for x, y in zip(r.lo[k].tolist(), (r.hi[k] + length).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(r.key[k].view(np.int64)), ids.take(doc), tags.take(doc), pa.array(at), pa.array((r.at[k] - r.lo[k]).astype(np.int32)), pa.array(body, pa.binary())], names=["anchor", "__id", "__tag", "lo", "off", "body"])
+
     return rows.mapInArrow(run, RUN)
 
 
@@ -415,17 +478,11 @@ def _compare(length: int):
         size = 0
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            t = t.filter(pa.compute.is_valid(t.column("body")))
-            if not t.num_rows:
-                return _lost([], np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), length)
             c = {n: t.column(n).combine_chunks() for n in t.column_names}
             found = later_windows(np.array(c["anchor"]), np.array(c["off"]).astype(np.int64), c["body"].to_pylist(), length)
             return _lost(c["__id"].to_pylist(), np.array(c["__tag"]), np.array(c["lo"]), *found, length)
 
         for b in batches:
-            settled = b.filter(pa.compute.is_null(_column(b, "body")))
-            if settled.num_rows:
-                yield pa.RecordBatch.from_arrays([_column(settled, n) for n in ("__id", "__tag", "lo", "end")], names=["__id", "__tag", "a", "b"])
             held.append(b)
             size += b.nbytes
             if size < BUFFER:
@@ -446,8 +503,6 @@ def _compare(length: int):
 def _hot_lost(runs: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many members, as rows that spread over all tasks."""
     place = F.struct("__id", "__tag", "lo")
-    settled = runs.where("body is null").select("__id", "__tag", F.col("lo").alias("a"), F.col("end").alias("b"))
-    runs = runs.where("body is not null")
     kinds = runs.groupBy("anchor", "off", "body").agg(F.min(place).alias("first"))
     n = F.octet_length("body")
     copies = (
@@ -475,7 +530,7 @@ def _hot_lost(runs: DataFrame, length: int) -> DataFrame:
     key, at = ["anchor", "off", "h", "g"], F.struct("__id", "__tag", "s")
     firsts = windows.groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rest = windows.join(firsts, key).where(~at.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    return copies.unionByName(rest).unionByName(settled)
+    return copies.unionByName(rest)
 
 
 def _joined(spans: list) -> list[tuple[int, int]]:
@@ -500,22 +555,17 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = HOT, bits: int =
     kinds = materialise(sections.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "kinds")
     firsts = spark.sparkContext.broadcast(key_filter(kinds.select("first.*"), FIRST_BITS, _places))
     copied = sections.join(kinds.where("times > 1").drop("times"), ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    twice, often = repeated_filter(rows, length, hot, firsts, bits)
-    twice_b, often_b = spark.sparkContext.broadcast(twice), spark.sparkContext.broadcast(often)
-    any_hot = bool(often.any())
-
-    def ordinary(key: np.ndarray, bits: int) -> np.ndarray:
-        found = _has(twice_b.value, key, bits)
-        return found & ~_has(often_b.value, key, bits) if any_hot else found
-
-    lost = (
-        _emit(rows, length, ordinary, firsts, bits)
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-        .sortWithinPartitions("anchor", F.col("__id").asc_nulls_first(), "__tag", "lo")
-        .mapInArrow(_compare(length), LOST)
-    )
-    if any_hot:
-        lost = lost.unionByName(_hot_lost(materialise(_emit(rows, length, lambda key, bits: _has(often_b.value, key, bits), firsts, bits), "hot"), length))
+    twice = spark.sparkContext.broadcast(repeated_filter(rows, length, firsts, bits))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("__id").asc_nulls_first(), F.col("__tag"), F.col("lo")
+    settled = materialise(_digests(rows, length, twice, firsts, bits).repartition(parts, "anchor").sortWithinPartitions("anchor", "off", "h", "g", *by).mapInArrow(_classes(hot), SETTLED), "settled")
+    lost = settled.where("b is not null").select("__id", "__tag", "a", "b")
+    needed = settled.where("b is null").withColumnRenamed("a", "lo")
+    filters = {x: key_filter(needed.where("hot" if x else "not hot").select("__id", "__tag", "lo"), FIRST_BITS, _places) for x in (False, True)}
+    for is_hot, f in filters.items():
+        if f.any():
+            found = _bodies(rows, length, spark.sparkContext.broadcast(f), firsts)
+            lost = lost.unionByName(_hot_lost(materialise(found, "hot"), length) if is_hot else found.repartition(parts, "anchor").sortWithinPartitions("anchor", *by).mapInArrow(_compare(length), LOST))
     lost = lost.unionByName(copied)
     # a copy of an equal row would give its stretches twice; they are joined below in any case
     lost = lost.groupBy("__id", "__tag").agg(F.collect_list(F.struct("a", "b")).alias("__lost")).withColumnRenamed("__id", "__lid").withColumnRenamed("__tag", "__ltag")
