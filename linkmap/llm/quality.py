@@ -43,7 +43,7 @@ class Thresholds:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 30
-    max_dup_line_percent: int = 30
+    max_dup_line_percent: int = 60
     min_mean_word: float = 2.0
     max_mean_word: float = 12.0
     max_capital_percent: int = 40
