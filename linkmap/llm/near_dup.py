@@ -15,10 +15,10 @@ meet in a bucket; what meets is verified with the true similarity.
   size, ``2**df_bits`` hashed counters, less the load expected from other
   shingles, so that neither the counts nor what is broadcast grows.
 * Equal texts are one text from the start; copies only get their class.
-* A bucket never emits all pairs.  Each text is paired with its bucket's hub,
-  the member that meets most others over all bands.  Texts that turn out to be
-  unlike their hub are paired with the member of the bucket whose samples they
-  share most; large buckets are dealt into blocks by further samples for that.
+* Each text is paired with its bucket's hub, the member that meets most others
+  over all bands.  Where that leaves several classes in a bucket, all pairs of
+  texts of different classes are tried: finer samples tell which to verify,
+  the nearest few of each text come first, and what they join needs no more.
 * Only texts that have a pair are shuffled for verification; a bitmap of fixed
   size keeps the others out.
 * Links are joined into classes by distributed connected components.
@@ -52,6 +52,10 @@ IDF_GAIN = 0.5
 DF_BITS = 18
 #: Samples that a pair must share to be verified: a pair at the threshold has fewer about once in 20,000.
 LEAST_SHARED = 0.5
+#: Samples of texts that their hub leaves open, and how many a pair must share to be verified: at the threshold fewer about once in 20,000.
+FINE, FINE_SHARED = 128, 84
+#: Nearest members that each of these texts is verified with before all others.
+FIRST_TRIED = 4
 #: Members that a task compares with one another at a time.
 BLOCK = 2000
 #: Shingles that are sampled at a time.
@@ -297,20 +301,29 @@ def verify(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: each text that is unlike its hub meets the block's member whose samples it shares most."""
+def _candidates(most: int | None):
+    """Rows sorted by block: pairs of texts of different classes whose fine samples agree often enough.
 
-    def pairs(ids: np.ndarray, lost: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        for k in np.flatnonzero(lost):
-            shared = (sketch == sketch[k]).mean(1)
-            shared[ids == ids[k]] = -1
-            j = int(np.argmax(shared))
-            if shared[j] >= LEAST_SHARED:
-                out.append((int(ids[k]), int(ids[j])))
-        return out
+    With ``most``, only the best few of each text that isn't in the block's largest class.
+    """
 
-    def groups() -> Iterator[tuple]:
+    def pairs(ids: np.ndarray, cls: np.ndarray, fine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, size = np.unique(cls, return_counts=True)
+        for k in range(len(ids)) if len(names) > 1 else ():
+            if most is None:
+                others = k + 1 + np.flatnonzero(cls[k + 1 :] != cls[k])
+            elif cls[k] != names[np.argmax(size)]:
+                others = np.flatnonzero(cls != cls[k])
+            else:
+                continue
+            shared = np.count_nonzero(fine[others] == fine[k], axis=1)
+            at = np.flatnonzero(shared >= FINE_SHARED)
+            if most is not None and len(at) > most:
+                at = at[np.argpartition(-shared[at], most)[:most]]
+            if len(at):
+                yield np.full(len(at), ids[k]), ids[others[at]]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         held: list[dict] = []
         last = None
         for b in batches:
@@ -324,16 +337,45 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             yield held
 
-    found: list[tuple[int, int]] = []
-    for g in groups():
-        for k in range(0, len(g), 2 * BLOCK):  # a block that chance has made larger
-            part = g[k : k + 2 * BLOCK]
-            if len(part) > 1:
-                found += pairs(np.array([r["rep"] for r in part]), np.array([r["lost"] for r in part]), np.array([np.frombuffer(r["sketch"], np.uint32) for r in part]))
-        if len(found) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-            found = []
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, n = [], [], 0
+        for g in groups(batches):
+            for x, y in pairs(np.array([r["rep"] for r in g]), np.array([r["class"] for r in g]), np.array([np.frombuffer(r["fine"], np.uint8) for r in g])):
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+                n += len(x)
+                if n > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def _fine(reps: DataFrame, rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(rep, fine): one byte of each of FINE samples, of the texts in reps only."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(key_filter(reps.select("rep")))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.column(0)
+            yield b.filter(pa.array(has(bitmap.value, np.array(i.fill_null(0))) & np.array(i.is_valid())))
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["rep", "fine"])
+
+    texts = rows.select("__id", "digest", "__text").mapInArrow(needed, "__id long, digest binary, __text string")
+    return signatures(texts, idf, FINE).select("__id", "sketch").mapInArrow(low, "rep long, fine binary").groupBy("rep").agg(F.min("fine").alias("fine"))
+
+
+def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, rep, class, n) of the buckets of three texts and more that aren't all of one class yet."""
+    parts = connected_components(found, u="a", v="b", vertex="part")
+    state = member.join(parts, member["rep"] == parts["part"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("class"))
+    open_ = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("n > 2 and x <> y")
+    return state.join(open_.select("bucket", "n"), "bucket")
 
 
 def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, bands: int, n_rows: int) -> DataFrame:
@@ -347,21 +389,22 @@ def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, b
     member = materialise(member.join(hubs, "bucket"), "members")
     stars = _alike(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps, LEAST_SHARED)
     found = materialise(verify(materialise(stars, "stars"), rows, idf, threshold), "links")
-    # members that are unlike their hub
-    linked = found.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.lit(False).alias("lost"))
-    state = member.join(linked, ["rep", "hub"], "left").select("bucket", "rep", "n", F.coalesce("lost", F.col("rep") != F.col("hub")).alias("lost"))
-    again = state.where("n > 2").groupBy("bucket").agg(F.count_if("lost").alias("n_lost")).where("n_lost > 0")
-    block = F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.ceil(F.col("n") / (BLOCK // 2))))
-    dealt = state.where("n > 2").join(again, "bucket").join(reps.select("rep", "sketch"), "rep").select("bucket", block.alias("block"), "rep", "lost", "sketch")
-    pairs = (
-        dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block", "rep")
-        .mapInArrow(_nearest, "a long, b long")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    # what is left: all pairs of a bucket that aren't of one class, first the nearest few of each text, then all others
     tried = member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    more = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "nearest")
-    if not more.isEmpty():
-        found = found.unionByName(materialise(verify(more, rows, idf, threshold), "links"))
+    fine = None
+    for most in (FIRST_TRIED, None):
+        left = materialise(_unsettled(member, found), "unsettled")
+        if left.isEmpty():
+            break
+        if fine is None:
+            fine = materialise(_fine(left, rows, idf).join(left.select("rep").distinct(), "rep", "left_semi"), "fine")
+        block = F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.ceil(F.col("n") / (BLOCK // 2))))
+        dealt = left.join(fine, "rep").join(reps.select("rep", "sketch"), "rep").select("bucket", block.alias("block"), "rep", "class", "fine")
+        pairs = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_candidates(most), "a long, b long").distinct()
+        more = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "nearest")
+        if not more.isEmpty():
+            found = found.unionByName(materialise(verify(more, rows, idf, threshold), "links"))
+            tried = tried.unionByName(more)
     return found
 
 

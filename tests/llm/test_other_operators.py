@@ -235,6 +235,23 @@ def test_near_duplicates_find_planted_copies(spark):
     assert [got[n + 2], got[n + 3], got[n + 4], got[n + 5], got[None], got[n + 6]] == [n + 2, n + 3, n + 4, n + 4, None, n + 6]
 
 
+def planted_pairs(n, common=345):
+    """n pairs of texts at 0.85 with one another and at 0.7 with all others, by a long common part."""
+    rng = random.Random(9)
+    shared = words(rng, common)
+    docs = []
+    for p in range(n):
+        own = [f"p{p}x{k}" for k in range(common * 30 // 345)]
+        docs += [(2 * p + c, " ".join(shared + own + [f"d{2 * p + c}x{k}" for k in range(common * 25 // 345)])) for c in range(2)]
+    return docs
+
+
+def test_near_duplicates_of_texts_with_a_long_common_part(spark):
+    docs = planted_pairs(60)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
