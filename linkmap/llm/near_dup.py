@@ -19,6 +19,7 @@ meet in a bucket; what meets is verified with the true similarity.
   over all bands.  Where that leaves several classes in a bucket, all pairs of
   texts of different classes are tried: finer samples tell which to verify,
   the nearest few of each text come first, and what they join needs no more.
+  Large buckets are cut into parts, and all pairs of parts are compared.
 * Only texts that have a pair are shuffled for verification; a bitmap of fixed
   size keeps the others out.
 * Links are joined into classes by distributed connected components.
@@ -56,8 +57,8 @@ LEAST_SHARED = 0.5
 FINE, FINE_SHARED = 128, 84
 #: Nearest members that each of these texts is verified with before all others.
 FIRST_TRIED = 4
-#: Members that a task compares with one another at a time.
-BLOCK = 2000
+#: Members of a large bucket that are dealt together; a task compares two such parts at a time.
+BLOCK = 1000
 #: Shingles that are sampled at a time.
 CHUNK = 1 << 16
 
@@ -328,7 +329,7 @@ def _candidates(most: int | None):
         last = None
         for b in batches:
             for r in b.to_pylist():
-                key = (r["bucket"], r["block"])
+                key = (r["bucket"], *r["block"].values())
                 if key != last and held:
                     yield held
                     held = []
@@ -371,11 +372,36 @@ def _fine(reps: DataFrame, rows: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, rep, class, n) of the buckets of three texts and more that aren't all of one class yet."""
+    """(bucket, rep, class) of the buckets of three texts and more that aren't all of one class yet."""
     parts = connected_components(found, u="a", v="b", vertex="part")
     state = member.join(parts, member["rep"] == parts["part"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("class"))
     open_ = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("n > 2 and x <> y")
-    return state.join(open_.select("bucket", "n"), "bucket")
+    return state.join(open_.select("bucket"), "bucket")
+
+
+def _dealt(left: DataFrame) -> DataFrame:
+    """(bucket, block, rep, class): any two members of different classes meet in a block of about two times BLOCK at most.
+
+    The largest class and the others are cut into parts by hash, and a block is
+    two parts: all pairs of the others' parts, and each of these with each part
+    of the largest class, whose members needn't meet.
+    """
+    by_class = left.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"))
+    cuts = largest.select("bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("cut_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("cut_rest"))
+    # a few members need one block only
+    whole = (F.col("cut_top") == 1) & (F.col("cut_rest") == 1)
+    is_top = F.col("class") == F.col("top")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.when(is_top, F.col("cut_top")).otherwise(F.col("cut_rest")))
+    rest = F.sequence(F.lit(0).cast("long"), F.col("cut_rest") - 1)
+    with_top = F.sequence(F.lit(0).cast("long"), F.col("cut_top") - 1)
+    block = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    blocks = (
+        F.when(whole, F.array(block(0, F.lit(0).cast("long"), F.lit(0).cast("long"))))
+        .when(is_top, F.transform(rest, lambda j: block(1, F.col("part"), j)))
+        .otherwise(F.concat(F.transform(rest, lambda j: block(0, F.least("part", j), F.greatest("part", j))), F.transform(with_top, lambda j: block(1, j, F.col("part")))))
+    )
+    return left.join(cuts, "bucket").withColumn("part", part).select("bucket", F.explode(blocks).alias("block"), "rep", "class")
 
 
 def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, bands: int, n_rows: int) -> DataFrame:
@@ -398,9 +424,7 @@ def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, b
             break
         if fine is None:
             fine = materialise(_fine(left, rows, idf).join(left.select("rep").distinct(), "rep", "left_semi"), "fine")
-        block = F.when(F.col("n") <= BLOCK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.substring("sketch", 1, 8)), F.ceil(F.col("n") / (BLOCK // 2))))
-        dealt = left.join(fine, "rep").join(reps.select("rep", "sketch"), "rep").select("bucket", block.alias("block"), "rep", "class", "fine")
-        pairs = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_candidates(most), "a long, b long").distinct()
+        pairs = _dealt(left).join(fine, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_candidates(most), "a long, b long").distinct()
         more = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "nearest")
         if not more.isEmpty():
             found = found.unionByName(materialise(verify(more, rows, idf, threshold), "links"))

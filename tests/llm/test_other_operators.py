@@ -252,6 +252,26 @@ def test_near_duplicates_of_texts_with_a_long_common_part(spark):
     assert got == {i: i - i % 2 for i, _ in docs}
 
 
+def test_members_of_large_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(4)
+    members = {(b, r): rng.choice([0, 0, r]) for b, n in ((1, 60), (2, 9), (3, 3)) for r in rng.sample(range(1, 500), n)}
+    left = spark.createDataFrame([(b, r, c) for (b, r), c in members.items()], "bucket long, rep long, class long")
+    blocks = {}
+    for x in near_dup._dealt(left).collect():
+        blocks.setdefault((x.bucket, *x.block), []).append(x.rep)
+    met = {(k[0], a, b) for k, reps in blocks.items() for a in reps for b in reps}
+    assert all((b, r, q) in met for (b, r), c in members.items() for (d, q), e in members.items() if b == d and c != e)
+    assert max(map(len, blocks.values())) < 40
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    docs = planted_pairs(60)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
