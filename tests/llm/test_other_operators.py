@@ -161,6 +161,14 @@ def test_lm_repeated_rows_and_no_training(spark):
     assert lm.score(df.limit(0), lm_path(), share=1).count() == 0
 
 
+def test_lm_trains_on_all_texts_by_default(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["red fox", "blue bird"]) for _ in range(30))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    scores = lambda **a: [r.score for r in lm.score(df, lm_path(), **a).orderBy("doc_id").collect()]
+    assert np.allclose(scores(), scores(share=1), rtol=1e-9)
+
+
 def test_lm_windows_score_each_id_once():
     voc = lm.Vocabulary(np.arange(100, dtype=float), np.arange(100) % 2 == 0)
     for sizes in ([1], [5, 16, 17], [12, 28, 29, 100], [3000]):
