@@ -169,6 +169,22 @@ def test_lm_trains_on_all_texts_by_default(spark):
     assert np.allclose(scores(), scores(share=1), rtol=1e-9)
 
 
+def test_lm_scores_shuffled_words_lower(spark):
+    """Words that all are frequent but in an order that no training text has."""
+    rng = random.Random(0)
+    text = lambda: [(["red", "fox", "runs"] if rng.random() < 0.5 else ["blue", "bird", "sings"])[k % 3] for k in range(60)]
+    docs = [(i, " ".join(text())) for i in range(600) if not lm.is_held_out(i)]
+    held = [i for i in range(1000, 1200) if lm.is_held_out(i)][:20]
+    for k, i in enumerate(held):
+        w = text()
+        if k % 2:
+            rng.shuffle(w)
+        docs.append((i, " ".join(w)))
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), lm_path(), share=1).collect()}
+    clean, odd = (np.mean([got[i] for i in held[k::2]]) for k in (0, 1))
+    assert clean > odd + 0.05
+
+
 def test_lm_windows_score_each_id_once():
     voc = lm.Vocabulary(np.arange(100, dtype=float), np.arange(100) % 2 == 0)
     for sizes in ([1], [5, 16, 17], [12, 28, 29, 100], [3000]):
