@@ -343,6 +343,20 @@ def test_neighbours_recall_and_ties(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_window_keeps_its_share_of_large_tables():
+    assert ann.window_for(51_282) == 1133
+    assert all(ann.window_for(n) * 150 >= n for n in (600_000, 1_500_000, 3_000_000, 100_000_000))
+
+
+def test_windows_of_several_blocks_find_the_same(spark, monkeypatch):
+    m = np.random.default_rng(3).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    find = lambda: sorted(tuple(r) for r in ann.search(df, F.col("id") % 100 == 0, 10, curves=3, window=100).collect())
+    whole = find()
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    assert find() == whole
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.id) for r in ann.search(df, F.col("id") == 0, 10).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
