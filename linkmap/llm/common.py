@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="linkmap-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors see, below ``spark.checkpoint.dir``.
 
@@ -29,17 +35,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="linkmap-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
-    path = shared_dir(df.sparkSession, name)
+    path = path or shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

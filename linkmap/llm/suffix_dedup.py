@@ -26,6 +26,11 @@ done and move no further:
    ordered by the anchor's offset and their content, and each group's members
    are compared byte by byte with its earliest one.
 
+Anchors that very many runs share never meet in one task: pass 1 counts runs
+for each anchor, and those with more than ``hot`` go through the same digits as
+aggregates and joins, which combine before they shuffle and can be split.  There
+the last digit is a 128-bit hash of the window in place of its bytes.
+
 Groups of equal digits at the end are exactly the repeated windows; all but
 the earliest of a group lose their bytes.  The filter only saves work: a bit
 set by chance adds a row that ends alone.  Anchors with more than ``hot`` kinds
@@ -34,9 +39,11 @@ by an aggregate that combines before it shuffles, and the windows of the runs
 that stay are grouped by hash as rows of their own.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose
-nothing; rows that share a doc_id are ordered by their text's hash, and rows
-equal in doc_id and text count as one place and get equal results; a null
-doc_id is below all others; other columns pass through.
+nothing; rows that share a doc_id are told apart and ordered by
+their text's 128-bit digest, and rows equal in doc_id and text count as one
+place and get equal results; a null doc_id is below all others; an empty table
+gives an empty table; other columns pass through, and ``n_bytes``,
+``n_removed``, ``n_spans`` and ``kept`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -48,6 +55,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +69,8 @@ PIECE = 1 << 18
 PLACE = np.uint64((1 << 20) - 1)
 #: Bits of the filter of repeated anchors, 16 MB: a bound that doesn't grow with the data.
 FILTER_BITS = 27
-HOT = 200_000
+#: Runs from which on an anchor is dealt out by its digits in place of whole; at most 65,535, where counts end.
+HOT = 50_000
 #: Different runs that a task holds to find equal ones among its own.
 HELD = 150_000
 #: Windows that are compared at a time within one anchor.
@@ -152,13 +161,18 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in _column(b, "__text").cast(pa.binary()).to_pylist()]
 
 
+def _tag_words(tags: pa.Array) -> np.ndarray:
+    """The first eight bytes of each text's digest, for filters."""
+    return np.frombuffer(b"".join(tags.to_pylist()), "<u8")[::2]
+
+
 def _place_keys(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """A hash of a place: id (0 if null), the text's hash, the offset."""
-    return _mix(_mix(ids.astype(np.int64).view(np.uint64) * _M3 + tags.astype(np.int64).view(np.uint64)) + lo.astype(np.int64).view(np.uint64)).view(np.int64)
+    """A hash of a place for filters, which never decide a result: id (0 if null), the text's digest, the offset."""
+    return _mix(_mix(ids.astype(np.int64).view(np.uint64) * _M3 + tags) + lo.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 def _places(b: pa.RecordBatch) -> np.ndarray:
-    return _place_keys(np.array(_column(b, "__id").fill_null(0)), np.array(_column(b, "__tag")), np.array(_column(b, "lo")))
+    return _place_keys(np.array(_column(b, "__id").fill_null(0)), _tag_words(_column(b, "__tag")), np.array(_column(b, "lo")))
 
 
 def _sections(r: Runs) -> np.ndarray:
@@ -168,7 +182,7 @@ def _sections(r: Runs) -> np.ndarray:
 
 def _first_runs(b: pa.RecordBatch, length: int, firsts: np.ndarray) -> Iterator[tuple]:
     """Pieces of a batch's texts, and the runs in them that lie in the first occurrence of their section."""
-    ids, tags = np.array(_column(b, "__id").fill_null(0)), np.array(_column(b, "__tag"))
+    ids, tags = np.array(_column(b, "__id").fill_null(0)), _tag_words(_column(b, "__tag"))
     for buf, which, shift, r in runs_of(_texts(b), length):
         begin = _sections(r)
         doc = which[r.span[begin]]
@@ -176,7 +190,7 @@ def _first_runs(b: pa.RecordBatch, length: int, firsts: np.ndarray) -> Iterator[
         yield buf, which, shift, r, np.flatnonzero(np.repeat(first, np.diff(np.append(begin, len(r.lo)))))
 
 
-SECTIONS = "h long, g long, __id long, __tag int, lo long, n long"
+SECTIONS = "h long, g long, __id long, __tag binary, lo long, n long"
 
 
 def section_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -195,8 +209,8 @@ def section_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, SECTIONS)
 
 
-def repeated_filter(rows: DataFrame, length: int, firsts, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit filter over the leading bits of the hashes of anchors that are met twice or more."""
+def repeated_filter(rows: DataFrame, length: int, firsts, bits: int = FILTER_BITS, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Bit filters over the leading bits of the hashes of anchors: those met twice or more, and those met more than ``hot`` times."""
     spark = rows.sparkSession
     n_ranges = 1 << min(bits - 3, max(6, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     down = np.uint64(64 - int(math.log2(n_ranges)))
@@ -207,7 +221,7 @@ def repeated_filter(rows: DataFrame, length: int, firsts, bits: int = FILTER_BIT
         def packed() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(key >> down, np.arange(n_ranges + 1, dtype=np.uint64))
-            n = np.minimum(n, 2).astype("u1")
+            n = np.minimum(n, 0xFFFF).astype("<u2")
             some = [r for r in range(n_ranges) if cut[r] < cut[r + 1]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()), pa.array([key[cut[r] : cut[r + 1]].astype("<u8").tobytes() for r in some], pa.binary()), pa.array([n[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], names=["range", "keys", "counts"]
@@ -229,22 +243,27 @@ def repeated_filter(rows: DataFrame, length: int, firsts, bits: int = FILTER_BIT
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["keys"]])
-        n = np.concatenate([np.frombuffer(x, "u1") for x in pdf["counts"]]).astype(np.int64)
+        n = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["counts"]]).astype(np.int64)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.add.reduceat(n, first)
         slot = (keys[first] >> np.uint64(64 - bits)) & np.uint64(slots - 1)
-        mark = np.zeros(slots, np.uint8)
-        mark[slot[n > 1]] = 1
-        return pd.DataFrame({"range": [key[0]], "twice": [np.packbits(mark).tobytes()]})
-
-    parts = rows.mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary")
-    found = np.zeros(1 << bits - 3, np.uint8)
+        marks = []
+        for least in (1, hot):
+            mark = np.zeros(slots, np.uint8)
+            mark[slot[n > least]] = 1
+            marks.append(np.packbits(mark).tobytes())
+        return pd.DataFrame({"range": [key[0]], "twice": [marks[0]], "often": [marks[1] if any(marks[1]) else None]})
+
+    parts = rows.mapInArrow(pack, "range int, keys binary, counts binary").groupBy("range").applyInPandas(meet, "range int, twice binary, often binary")
+    found, often = np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - 3, np.uint8)
     n = slots // 8
-    for r, x in parts.collect():  # at most 2**bits bits in all, however large the input
+    for r, x, y in parts.collect():  # at most twice 2**bits bits in all, however large the input
         found[r * n : (r + 1) * n] = np.frombuffer(bytes(x), np.uint8)
-    return found
+        if y is not None:
+            often[r * n : (r + 1) * n] = np.frombuffer(bytes(y), np.uint8)
+    return found, often
 
 
 def _has(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
@@ -252,8 +271,8 @@ def _has(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-DIGEST = "anchor long, off int, h long, g long, __id long, __tag int, lo long, end long"
-RUN = "anchor long, __id long, __tag int, lo long, off int, body binary"
+DIGEST = "anchor long, off int, h long, g long, __id long, __tag binary, lo long, end long"
+RUN = "anchor long, __id long, __tag binary, lo long, off int, body binary"
 
 
 class _Own:
@@ -294,12 +313,12 @@ class _Own:
         anchors, offs, h, g = zip(*keys, strict=True)
         known, ids, tags, lo, end = zip(*places, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchors, pa.int64()), pa.array(offs, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array([i if k else None for k, i in zip(known, ids, strict=True)], pa.int64()), pa.array(tags, pa.int32()), pa.array(lo, pa.int64()), pa.array(end, pa.int64())],
+            [pa.array(anchors, pa.int64()), pa.array(offs, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array([i if k else None for k, i in zip(known, ids, strict=True)], pa.int64()), pa.array(tags, pa.binary()), pa.array(lo, pa.int64()), pa.array(end, pa.int64())],
             names=["anchor", "off", "h", "g", "__id", "__tag", "lo", "end"],
         )
 
 
-def _digests(rows: DataFrame, length: int, twice, firsts, bits: int) -> DataFrame:
+def _digests(rows: DataFrame, length: int, marked, firsts, bits: int) -> DataFrame:
     """Runs whose anchor's bit is set: the anchor, its offset, a digest of the run's bytes, the place; rows without a digest are stretches that are lost already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +327,7 @@ def _digests(rows: DataFrame, length: int, twice, firsts, bits: int) -> DataFram
             known = [x is not None for x in _column(b, "__id").to_pylist()]
             ids, tags = _column(b, "__id").fill_null(0).to_pylist(), _column(b, "__tag").to_pylist()
             for buf, which, shift, r, k in _first_runs(b, length, firsts.value):
-                k = k[_has(twice.value, r.key[k], bits)]
+                k = k[_has(marked.value, r.key[k], bits)]
                 if not len(k):
                     continue
                 doc, lo, hi = which[r.span[k]].tolist(), r.lo[k], r.hi[k] + length
@@ -323,14 +342,25 @@ def _digests(rows: DataFrame, length: int, twice, firsts, bits: int) -> DataFram
     return rows.mapInArrow(run, DIGEST)
 
 
-SETTLED = "hot boolean, __id long, __tag int, a long, b long"
+def _again(t: pa.Table) -> np.ndarray:
+    """Which rows are at the place of the row before them: rows that are equal in id and text."""
+    if t.num_rows < 2:
+        return np.zeros(t.num_rows, bool)
+    same = np.ones(t.num_rows - 1, bool)
+    for name in ("__id", "__tag", "lo"):
+        c = t.column(name).combine_chunks()
+        one, two = c.slice(0, len(c) - 1), c.slice(1)
+        same &= np.array(pc.or_kleene(pc.equal(one, two), pc.and_(one.is_null(), two.is_null())).fill_null(False))
+    return np.concatenate([[False], same])
 
 
-def _classes(hot: int):
+SETTLED = "__id long, __tag binary, a long, b long"
+
+
+def _classes():
     """Rows sorted by anchor, digest and place: equal runs but the earliest are lost; where an anchor has several digests, the earliest of each needs its bytes compared.
 
-    Gives lost stretches (hot is null) and the starts of runs whose bytes are
-    needed (b is null), hot if the anchor has more than so many digests.
+    Gives lost stretches and the starts of runs whose bytes are needed (b is null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,12 +377,15 @@ def _classes(hot: int):
             count = np.add.reduceat((new & ~settled).astype(np.int64), start)
             several = np.repeat(count, np.diff(np.append(start, len(first))))
             need = new & ~settled & (several > 1)
-            for mask, flag in ((settled | ~new, None), (need & (several <= hot), False), (need & (several > hot), True)):
+            # a group's first place may come from several equal rows; none of them is lost
+            place = np.flatnonzero(~(again := _again(t) & ~new))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            at_head = again & (place[np.searchsorted(place, np.arange(len(new)), "right") - 1] == head)
+            for mask, is_lost in ((settled | ~new & ~at_head, True), (need, False)):
                 if mask.any():
                     m = pa.array(mask)
                     part = {n: c[n].filter(m) for n in ("__id", "__tag", "lo", "end")}
-                    n = len(part["lo"])
-                    yield pa.RecordBatch.from_arrays([pa.array([flag] * n, pa.bool_()), part["__id"], part["__tag"], part["lo"], part["end"] if flag is None else pa.nulls(n, pa.int64())], names=["hot", "__id", "__tag", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([part["__id"], part["__tag"], part["lo"], part["end"] if is_lost else pa.nulls(len(part["lo"]), pa.int64())], names=["__id", "__tag", "a", "b"])
 
         for b in batches:
             held.append(b)
@@ -372,14 +405,15 @@ def _classes(hot: int):
     return run
 
 
-def _bodies(rows: DataFrame, length: int, needed, firsts) -> DataFrame:
-    """The bytes of the runs whose place is in a filter."""
+def _bodies(rows: DataFrame, length: int, needed, marked, firsts, bits: int) -> DataFrame:
+    """The bytes of the runs whose anchor's bit is set and whose place is in a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tags = _column(b, "__id"), _column(b, "__tag")
-            id0, tag0 = np.array(ids.fill_null(0)), np.array(tags)
+            id0, tag0 = np.array(ids.fill_null(0)), _tag_words(tags)
             for buf, which, shift, r, k in _first_runs(b, length, firsts.value):
+                k = k[_has(marked.value, r.key[k], bits)]
                 doc, at = which[r.span[k]], r.lo[k] + shift[r.span[k]]
                 hit = has(needed.value, _place_keys(id0[doc], tag0[doc], at), FIRST_BITS)
                 k, doc, at = k[hit], pa.array(doc[hit]), at[hit]
@@ -460,15 +494,22 @@ def _by_offset(offs: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.n
     return np.array(runs, np.int64)[order], np.array(steps, np.int64)[order]
 
 
-LOST = "__id long, __tag int, a long, b long"
+LOST = "__id long, __tag binary, a long, b long"
 
 
-def _lost(ids: list, tags: np.ndarray, lo: np.ndarray, run: np.ndarray, step: np.ndarray, length: int) -> pa.RecordBatch:
+def _lost(ids: pa.Array, tags: pa.Array, lo: np.ndarray, run: np.ndarray, step: np.ndarray, length: int) -> pa.RecordBatch:
     """Stretches of lost bytes from lost windows, which are sorted by run and step."""
     new = np.flatnonzero(np.concatenate([[len(run) > 0], (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)]))
     end = (np.append(new[1:], len(run)) - 1)[: len(new)]
     r = run[new]
-    return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r], pa.int64()), pa.array(tags[r], pa.int32()), pa.array(lo[r] + step[new]), pa.array(lo[r] + step[end] + length)], names=["__id", "__tag", "a", "b"])
+    at = pa.array(r, pa.int64())
+    return pa.RecordBatch.from_arrays([ids.take(at), tags.take(at), pa.array(lo[r] + step[new]), pa.array(lo[r] + step[end] + length)], names=["__id", "__tag", "a", "b"])
+
+
+def _starts(keys: pa.ChunkedArray) -> np.ndarray:
+    """Which rows have another key than the row before them."""
+    k = np.array(keys.combine_chunks())
+    return np.concatenate([[True], k[1:] != k[:-1]])
 
 
 def _compare(length: int):
@@ -478,9 +519,10 @@ def _compare(length: int):
         size = 0
 
         def done(t: pa.Table) -> pa.RecordBatch:
+            t = t.filter(pa.array(~(_again(t) & ~_starts(t.column("anchor")))))
             c = {n: t.column(n).combine_chunks() for n in t.column_names}
             found = later_windows(np.array(c["anchor"]), np.array(c["off"]).astype(np.int64), c["body"].to_pylist(), length)
-            return _lost(c["__id"].to_pylist(), np.array(c["__tag"]), np.array(c["lo"]), *found, length)
+            return _lost(c["__id"], c["__tag"], np.array(c["lo"]), *found, length)
 
         for b in batches:
             held.append(b)
@@ -501,36 +543,40 @@ def _compare(length: int):
 
 
 def _hot_lost(runs: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many members, as rows that spread over all tasks."""
-    place = F.struct("__id", "__tag", "lo")
-    kinds = runs.groupBy("anchor", "off", "body").agg(F.min(place).alias("first"))
-    n = F.octet_length("body")
-    copies = (
-        runs.join(kinds, ["anchor", "off", "body"])
-        .where(~place.eqNullSafe(F.col("first")))
-        .select("__id", "__tag", F.col("lo").alias("a"), (F.col("lo") + n).alias("b"))
-    )
+    """Stretches lost by windows of runs of hot anchors, one run of each kind, as rows that spread over all tasks."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {x: b.column(b.schema.get_field_index(x)) for x in b.schema.names}
             anchor, lo, offs, bodies = np.array(c["anchor"]), np.array(c["lo"]), np.array(c["off"]).astype(np.int64), c["body"].to_pylist()
             run, at, off, buf = _windows(bodies, offs, length)
-            ids, tags = c["__id"].to_pylist(), np.array(c["__tag"])
+            at_run = pa.array(run, pa.int64())
             begin = np.cumsum([len(x) for x in bodies]) - np.array([len(x) for x in bodies])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor[run]), pa.array(off.astype(np.int32)), pa.array(_window_hash(buf, length)[at].view(np.int64)), pa.array(_window_hash(buf[::-1], length)[len(buf) - at - length].view(np.int64)),
-                    pa.array([ids[i] for i in run], pa.int64()), pa.array(tags[run], pa.int32()), pa.array(lo[run] + at - begin[run]),
+                    c["__id"].take(at_run), c["__tag"].take(at_run), pa.array(lo[run] + at - begin[run]),
                 ],
                 names=["anchor", "off", "h", "g", "__id", "__tag", "s"],
             )
 
-    windows = kinds.select("anchor", "off", "body", "first.*").mapInArrow(explode, "anchor long, off int, h long, g long, __id long, __tag int, s long")
+    windows = runs.mapInArrow(explode, "anchor long, off int, h long, g long, __id long, __tag binary, s long")
     key, at = ["anchor", "off", "h", "g"], F.struct("__id", "__tag", "s")
-    firsts = windows.groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rest = windows.join(firsts, key).where(~at.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    return copies.unionByName(rest)
+    # written, so that the join's hot keys can be split
+    firsts = materialise(windows.groupBy(*key).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    return windows.join(firsts, key).where(~at.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
+
+
+def _hot_classes(digests: DataFrame) -> DataFrame:
+    """What _classes gives, for anchors with very many runs, without bringing any anchor's rows together."""
+    place = F.struct("__id", "__tag", "lo")
+    key = ["anchor", "off", "h", "g"]
+    told = digests.where("h is not null")
+    kinds = materialise(told.groupBy(*key).agg(F.min(place).alias("first")), "hot-kinds")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    copies = told.join(kinds, key).where(~place.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("lo").alias("a"), F.col("end").alias("b"))
+    need = kinds.join(materialise(several, "several"), "anchor").select("first.__id", "first.__tag", F.col("first.lo").alias("a"), F.lit(None).cast("long").alias("b"))
+    return digests.where("h is null").select("__id", "__tag", F.col("lo").alias("a"), F.col("end").alias("b")).unionByName(copies).unionByName(need)
 
 
 def _joined(spans: list) -> list[tuple[int, int]]:
@@ -549,29 +595,37 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = HOT, bits: int =
         raise ValueError(f"length must be {GRAM + 8} at least")
     spark = tune(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.hash(text).alias("__tag"), text.alias("__text"))
+    tag = F.unhex(F.md5(text))
+    rows = docs.select(F.col(id_column).cast("long").alias("__id"), tag.alias("__tag"), text.alias("__text"))
     sections = materialise(section_rows(rows, length), "sections")
     place = F.struct("__id", "__tag", "lo")
     kinds = materialise(sections.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "kinds")
     firsts = spark.sparkContext.broadcast(key_filter(kinds.select("first.*"), FIRST_BITS, _places))
     copied = sections.join(kinds.where("times > 1").drop("times"), ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("__id", "__tag", F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))
-    twice = spark.sparkContext.broadcast(repeated_filter(rows, length, firsts, bits))
+    twice, often = repeated_filter(rows, length, firsts, bits, hot)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = F.col("__id").asc_nulls_first(), F.col("__tag"), F.col("lo")
-    settled = materialise(_digests(rows, length, twice, firsts, bits).repartition(parts, "anchor").sortWithinPartitions("anchor", "off", "h", "g", *by).mapInArrow(_classes(hot), SETTLED), "settled")
-    lost = settled.where("b is not null").select("__id", "__tag", "a", "b")
-    needed = settled.where("b is null").withColumnRenamed("a", "lo")
-    filters = {x: key_filter(needed.where("hot" if x else "not hot").select("__id", "__tag", "lo"), FIRST_BITS, _places) for x in (False, True)}
-    for is_hot, f in filters.items():
-        if f.any():
-            found = _bodies(rows, length, spark.sparkContext.broadcast(f), firsts)
-            lost = lost.unionByName(_hot_lost(materialise(found, "hot"), length) if is_hot else found.repartition(parts, "anchor").sortWithinPartitions("anchor", *by).mapInArrow(_compare(length), LOST))
-    lost = lost.unionByName(copied)
+    lost = copied
+    for is_hot, marks in ((False, twice & ~often), (True, often)):
+        if not marks.any():
+            continue
+        marked = spark.sparkContext.broadcast(marks)
+        digests = _digests(rows, length, marked, firsts, bits)
+        if is_hot:
+            settled = _hot_classes(materialise(digests, "hot-digests"))
+        else:
+            settled = digests.repartition(parts, "anchor").sortWithinPartitions("anchor", "off", "h", "g", *by).mapInArrow(_classes(), SETTLED)
+        settled = materialise(settled, "settled")
+        lost = lost.unionByName(settled.where("b is not null"))
+        needed = key_filter(settled.where("b is null").select("__id", "__tag", F.col("a").alias("lo")), FIRST_BITS, _places)
+        if needed.any():
+            bodies = _bodies(rows, length, spark.sparkContext.broadcast(needed), marked, firsts, bits)
+            lost = lost.unionByName(_hot_lost(materialise(bodies, "hot"), length) if is_hot else bodies.repartition(parts, "anchor").sortWithinPartitions("anchor", *by).mapInArrow(_compare(length), LOST))
     # a copy of an equal row would give its stretches twice; they are joined below in any case
     lost = lost.groupBy("__id", "__tag").agg(F.collect_list(F.struct("a", "b")).alias("__lost")).withColumnRenamed("__id", "__lid").withColumnRenamed("__tag", "__ltag")
     names = ("n_bytes", "n_removed", "n_spans", "kept")
     own = docs.drop(*names)
-    met = own.withColumn("__tag", F.hash(text)).join(lost, F.col(id_column).cast("long").eqNullSafe(F.col("__lid")) & (F.col("__tag") == F.col("__ltag")), "left")
+    met = own.withColumn("__tag", tag).join(lost, F.col(id_column).cast("long").eqNullSafe(F.col("__lid")) & (F.col("__tag") == F.col("__ltag")), "left")
     fields = own.schema.fields
     schema = T.StructType([*fields, *(T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names)])
 
