@@ -6,8 +6,9 @@ largest id.  What stays is put together again by position.
 
 Only keys, ids and positions are shuffled for the counts; a text moves once,
 to meet the positions that it loses.  Counting goes by (key, document) first,
-so a key that a third of all documents hold is spread over all tasks, and the
-join by key is one that Spark can split where a key is hot.
+so a key that a third of all documents hold is spread over all tasks.  The
+keys over the threshold are written before the lines meet them: the join then
+is a broadcast one while they are few, and else one whose hot keys Spark splits.
 
 Defined results: a null or empty text is one empty line and stays as the empty
 text; a document is known by its id, so several rows with one id count once
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmap.llm.common import SPACE, tune
+from linkmap.llm.common import SPACE, materialise, tune
 
 _SPACE = SPACE.encode()
 
@@ -60,11 +61,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_colum
     id_type = docs.select(F.col(id_column).alias("__id")).schema[0]
     fields = [id_type, T.StructField("__text", T.LongType()), T.StructField("__pos", T.IntegerType()), T.StructField("__key", T.BinaryType())]
     lines = docs.select(F.col(id_column).alias("__id"), F.xxhash64(text).alias("__text"), text).mapInArrow(keys, T.StructType(fields))
-    frequent = (
+    frequent = materialise(
         lines.groupBy("__key", "__id").agg(F.lit(1).alias("__one"))
         .groupBy("__key").agg(F.count("__one").alias("__n"), F.max("__id").alias("__last"))
         .where(F.col("__n") >= min_docs)
-        .select("__key", "__last")
+        .select("__key", "__last"),
+        "frequent",
     )
     lost = (
         lines.join(frequent, "__key")
