@@ -6,15 +6,23 @@ told by its digest, which is aggregated before it is shuffled; a file counts
 only if the task that wrote it ended well, for only then is it in the manifest.
 
 Reader: at each offset a gzip member or a plain version line is expected.  A
-record whose member, header, length or block digest fails its check is left;
-the reader searches for the next gzip mark or version line that starts a valid
-record, goes on there, and logs the bytes between as a quarantined gap.
+record whose header, length or block digest fails its check is left; the reader
+searches for the next version line (or gzip mark, outside of members) that
+starts a valid record, goes on there, and logs the bytes between as a
+quarantined gap.  A member may hold many records and is inflated as a stream,
+so that one record at a time is held.  Of a member that ends early or fails its
+own checks, the records whose block digest holds are kept, and the rest of the
+member is a gap: its last row starts at the member and ends at the next valid
+offset.  Gaps inside a member name their inflated bytes in ``problem``, and of a member's rows only the last one ends
+where the member does; the others end where they start.
 
 Defined results: a null payload is the empty one; a null page_id gives a
 record without a page id, which never is the one that others revisit unless
 all that share its payload lack ids (then all are responses); rows with one
 page_id and payload are alike, all responses if that page_id is the smallest;
-a null url is empty; an empty table gives an empty manifest and no records.
+a null url is empty; an empty table gives an empty manifest and no records;
+numbers that are malformed or beyond 64 bits damage a record's header, and are
+no page id.  Other columns of the pages aren't written.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmap.llm.common import shared_dir, tune
+from linkmap.llm.common import materialise, shared_dir, tune
 
 #: A writer's file is closed when it has so many bytes.
 ROTATE = 32 << 20
@@ -97,8 +105,9 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, first): first is the smallest page_id with an equal payload of at least min_bytes that more than one row has."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.concat(F.unhex(F.sha1("html")), F.unhex(F.md5("html")))).withColumn("large", F.octet_length("html") >= min_bytes)
+    # written, so that the join can split a payload that very many pages have
     firsts = rows.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "html", "first")
+    return rows.join(materialise(firsts, "firsts"), "digest", "left").select("page_id", "url", "html", "first")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, rotate: int = ROTATE) -> DataFrame:
@@ -161,22 +170,36 @@ class Damaged(ValueError):
     pass
 
 
+#: A record's header has no more bytes than this, and its block no more than a table's cell can hold.
+MOST_HEADER, MOST_BLOCK = 16 * STEP, (1 << 31) - 1
+
+
+def _number(text: str | bytes | None) -> int | None:
+    """A non-negative decimal number of 64 bits; None for anything else."""
+    text = text.decode("ascii", "replace") if isinstance(text, bytes) else text or ""
+    return int(text) if re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def _page(name: str) -> int | None:
+    m = re.fullmatch("<urn:x-page:(-?[0-9]{1,19})>", name)
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
+
+
 def _head(data: bytes) -> tuple[dict[str, str], int]:
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("no end of header")
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/\d\.\d+", lines[0]):
+    """Header fields and the length of the block that follows; data ends with the empty line."""
+    lines = data[:-4].decode("utf-8", "replace").split("\r\n")
+    if not re.fullmatch(r"WARC/[0-9]\.[0-9]+", lines[0]):
         raise Damaged("no version line")
-    fields = {}
+    fields: dict[str, str] = {}
     for x in lines[1:]:
         k, colon, v = x.partition(":")
         if not colon:
             raise Damaged("header line without a name")
         fields[k.strip().lower()] = v.strip()
-    if not fields.get("content-length", "").isdigit():
+    n = _number(fields.get("content-length"))
+    if n is None or n > MOST_BLOCK:
         raise Damaged("no length")
-    return fields, end + 4
+    return fields, n
 
 
 def _digest(name: str) -> str:
@@ -184,6 +207,7 @@ def _digest(name: str) -> str:
 
 
 def _checked(fields: dict[str, str], block: bytes) -> dict:
+    """The record's row; ``sure`` tells whether a digest vouches for its block."""
     want = _digest(fields.get("warc-block-digest", ""))
     if want and want != base32_sha1(block):
         raise Damaged("block digest differs")
@@ -191,74 +215,176 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
     kind = fields.get("warc-type", "")
     digest, size = _digest(fields.get("warc-payload-digest", "")), len(payload)
     if kind == "revisit":
-        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
-        payload, size = b"", int(m[1]) if m else 0
+        m = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", http)
+        payload, size = b"", (_number(m[1]) or 0) if m else 0
     elif digest and digest != base32_sha1(payload):
         raise Damaged("payload digest differs")
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", x)) else None
     return {
-        "record_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "page_id": number(fields.get("warc-record-id", "")), "refers_to": number(fields.get("warc-refers-to", "")),
-        "payload_bytes": size, "payload_digest": digest or base32_sha1(payload), "payload": payload,
+        "record_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "page_id": _page(fields.get("warc-record-id", "")), "refers_to": _page(fields.get("warc-refers-to", "")),
+        "payload_bytes": size, "payload_digest": digest or base32_sha1(payload), "payload": payload, "sure": bool(want),
     }
 
 
-def _parse(data: bytes) -> tuple[dict, int]:
-    fields, at = _head(data)
-    end = at + int(fields["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("record ends early" if end > len(data) else "no end of record")
-    return _checked(fields, data[at:end]), end + 4
+class _Plain:
+    """Bytes of a file from an offset on."""
 
+    def __init__(self, f: _File, start: int):
+        self.f, self.start = f, start
 
-def _record_at(f: _File, at: int) -> tuple[list[dict], int]:
-    """The records that start at an offset (all of a gzip member's) and the offset after them."""
-    first = f.read(at, 3)
-    if first == b"\x1f\x8b\x08":
-        d, parts, where = zlib.decompressobj(31), [], at
-        while not d.eof:
-            raw = f.read(where, STEP)
-            if not raw:
-                raise Damaged("member ends early")
-            try:
-                parts.append(d.decompress(raw))
-            except zlib.error as e:
-                raise Damaged(f"gzip: {e}") from e
-            where += len(raw)
-        data, found, k = b"".join(parts), [], 0
-        while k < len(data):
-            one, n = _parse(data[k:] if k else data)
-            found.append(one)
-            k += n
-        return found, where - len(d.unused_data)
-    if f.read(at, 5) != b"WARC/":
-        raise Damaged("neither a member nor a version line")
-    data = f.read(at, STEP)
-    while b"\r\n\r\n" not in data and len(data) < min(f.size - at, 16 * STEP):
-        data = f.read(at, 2 * len(data))
-    fields, head = _head(data)
-    one, n = _parse(f.read(at, head + int(fields["content-length"]) + 4))
-    return [one], at + n
+    def get(self, at: int, n: int) -> bytes:
+        return self.f.read(self.start + at, n)
 
+    def drop(self, at: int) -> None:
+        """Nothing before ``at`` is asked for again."""
 
-def salvage(f: _File) -> Iterator[dict]:
-    """All valid records of a file, and the gaps between them."""
-    at = 0
-    while at < f.size:
+
+class _Inflated:
+    """The inflated bytes of a gzip member, of which only what was not yet dropped is held."""
+
+    def __init__(self, f: _File, start: int):
+        self.f, self.where = f, start
+        self.d = zlib.decompressobj(31)
+        self.base, self.held = 0, bytearray()
+        self.raw, self.piece = b"", STEP
+        #: What is wrong with the member, once it is found.
+        self.problem: str | None = None
+
+    def _more(self) -> bool:
+        if self.d.eof or self.problem:
+            return False
+        if not self.raw:
+            self.raw = self.f.read(self.where, STEP)
+            self.where += len(self.raw)
+        part, before = self.raw[: self.piece], self.d.copy()
         try:
-            found, end = _record_at(f, at)
-        except Damaged as e:
-            end, problem = f.size, str(e)
-            for start in f.starts(at + 1):
+            out = self.d.decompress(part, 4 * STEP)
+        except zlib.error as e:
+            if len(part) > 1:  # what comes before the damage in these bytes is good: again, by smaller pieces
+                self.d, self.piece = before, 1024 if len(part) > 1024 else 1
+                return True
+            self.problem = f"gzip: {e}"
+            return False
+        self.held += out
+        self.raw = self.d.unconsumed_tail + self.raw[len(part) :]
+        if not part and not out and not self.d.eof:
+            self.problem = "member ends early"
+        return self.problem is None
+
+    def get(self, at: int, n: int) -> bytes:
+        while self.base + len(self.held) < at + n and self._more():
+            pass
+        return bytes(self.held[at - self.base : at - self.base + n])
+
+    def drop(self, at: int) -> None:
+        if at - self.base >= STEP:
+            del self.held[: at - self.base]
+            self.base = at
+
+    def end(self) -> int:
+        """The offset after the member, in the file; after all of it was read."""
+        return self.where - len(self.d.unused_data) - len(self.raw)
+
+
+def _parse(source: _Plain | _Inflated, at: int) -> tuple[dict, int]:
+    """The record at an offset of a source, and the offset after it."""
+    data, n = b"", 1 << 12
+    while (end := data.find(b"\r\n\r\n")) < 0:
+        if n > MOST_HEADER or (data and len(data) < n // 4):
+            raise Damaged("no end of header")
+        data = source.get(at, n)
+        if not data.startswith(b"WARC/"):
+            raise Damaged("no version line")
+        n *= 4
+    fields, length = _head(data[: end + 4])
+    block = source.get(at + end + 4, length + 4)
+    if block[length:] != b"\r\n\r\n":
+        raise Damaged("record ends early" if len(block) < length + 4 else "no end of record")
+    return _checked(fields, block[:length]), at + end + 4 + length + 4
+
+
+def _next_record(source: _Inflated, at: int) -> int | None:
+    """The next offset after at of a member's bytes where a valid record starts."""
+    at += 1
+    while data := source.get(at, STEP + 8):
+        for m in re.finditer(rb"WARC/[0-9]\.", data):
+            if m.start() < STEP:
                 try:
-                    _record_at(f, start)
+                    _parse(source, at + m.start())
                 except Damaged:
                     continue
-                end = start
+                return at + m.start()
+        at += STEP
+        source.drop(at)
+    return None
+
+
+def _member(f: _File, start: int) -> Iterator[dict]:
+    """The rows of a gzip member; the last one is a gap without end if the member fails its checks."""
+    source, at, unsure = _Inflated(f, start), 0, []
+    while source.get(at, 1):
+        try:
+            one, end = _parse(source, at)
+        except Damaged as e:
+            rest = _next_record(source, at)
+            if rest is None and source.problem:
                 break
-            yield {"start": at, "end": end, "problem": problem}
+            to = rest if rest is not None else source.base + len(source.held)
+            yield {"problem": f"{e} (inflated bytes {at} to {to})"}
+            at = to
         else:
-            for x in found:
-                yield {"start": at, "end": end} | x
+            if one.pop("sure"):
+                yield one
+            else:  # it counts only if the member's own checks hold
+                unsure.append(one)
+            at = end
+        source.drop(at)
+    if source.problem:
+        yield {"problem": source.problem, "end": None}
+    else:
+        yield from unsure
+        yield {"end": source.end()}
+
+
+def _valid_at(f: _File, at: int) -> bool:
+    """Whether a valid record starts at an offset of a file, in a member or plainly."""
+    if f.read(at, 3) == b"\x1f\x8b\x08":
+        return any("record_type" in x for x in _member(f, at))
+    try:
+        _parse(_Plain(f, at), 0)
+    except Damaged:
+        return False
+    return True
+
+
+def salvage(f: _File) -> Iterator[dict]:
+    """All valid records of a file, and the gaps between them."""
+    at = 0
+    while at < f.size:
+        start, end, problem = at, None, None
+        if f.read(at, 3) == b"\x1f\x8b\x08":
+            held: list[dict] = []
+            for x in _member(f, at):
+                if "end" in x:
+                    end, problem = x["end"], x.get("problem")
+                else:
+                    held.append(x)
+                    if len(held) > 1:
+                        yield {"start": start, "end": start} | held.pop(0)
+            if end is None:
+                yield from ({"start": start, "end": start} | x for x in held)
+            elif held:
+                yield {"start": start, "end": end} | held[0]
+        else:
+            try:
+                one, n = _parse(_Plain(f, at), 0)
+                one.pop("sure")
+                end = at + n
+                yield {"start": start, "end": end} | one
+            except Damaged as e:
+                problem = str(e)
+        if end is None:
+            end = next((k for k in f.starts(at + 1) if _valid_at(f, k)), f.size)
+            yield {"start": start, "end": end, "problem": problem}
         at = end
 
 
