@@ -6,14 +6,16 @@ document such that two documents draw the same one with a probability equal to
 their weighted Jaccard similarity.  Documents that agree on all rows of a band
 meet in a bucket; what meets is verified with the true similarity.
 
-* IDF is the smoothed kind, ``1 + gain * ln(1 + N / df) / ln(1 + N)``: a rare
-  shingle counts up to half as much again as a common one.  With plain IDF the
-  shingles that a thousand near copies share would weigh so little beside each
-  copy's own edits that copies with nine tenths of their shingles in common
-  would fall below the threshold.
-* Document frequencies are counted over all documents in a table of fixed
-  size, ``2**df_bits`` hashed counters, less the load expected from other
-  shingles, so that neither the counts nor what is broadcast grows.
+* IDF is the smoothed kind, ``1 + gain * ln(N / df) / ln(RARE)`` with df taken
+  as ``N / RARE`` at least: a rare shingle counts up to half as much again as one
+  in all documents, at every size of the corpus.  With plain IDF the shingles
+  that a thousand near copies share would weigh so little beside each copy's own
+  edits that copies with nine tenths of their shingles in common would fall
+  below the threshold.
+* Document frequencies are exact, over all documents, and only needed above
+  that floor: a pass adds up ``2**DF_BITS`` hashed counters, and a second one
+  counts the shingles of those slots that reach the floor.  At most ``2**18``
+  shingles can, whatever the corpus, and these are broadcast.
 * Equal texts are one text from the start; copies only get their class.
 * Each text is paired with its bucket's hub, the member that meets most others
   over all bands.  Where that leaves several classes in a bucket, all pairs of
@@ -50,11 +52,14 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 IDF_GAIN = 0.5
-DF_BITS = 18
-#: Samples that a pair must share to be verified: a pair at the threshold has fewer about once in 20,000.
-LEAST_SHARED = 0.5
-#: Samples of texts that their hub leaves open, and how many a pair must share to be verified: at the threshold fewer about once in 20,000.
-FINE, FINE_SHARED = 128, 84
+#: A shingle in fewer than one of so many documents counts as rare.
+RARE = 1024
+#: Hashed counters that find the shingles above the floor, and how many times their mean load the floor is at least.
+DF_BITS, LOADS = 20, 4
+#: The share of samples that a pair must have in common to be verified: a pair at the threshold has fewer about once in ten million.
+LEAST_SHARED = 0.4
+#: Samples of texts that their hub leaves open, and how many a pair must share to be verified: at the threshold fewer about once in ten million.
+FINE, FINE_SHARED = 128, 78
 #: Nearest members that each of these texts is verified with before all others.
 FIRST_TRIED = 4
 #: Members of a large bucket that are dealt together; a task compares two such parts at a time.
@@ -129,28 +134,76 @@ def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.diff(np.append(first, len(h)))
 
 
-def idf_table(rows: DataFrame, bits: int = DF_BITS, gain: float = IDF_GAIN) -> np.ndarray:
-    """IDF by the leading bits of a shingle's hash, from all rows of ``__text``."""
+class Weights:
+    """IDF of shingles: a table of those above the floor; all others have the largest weight."""
+
+    def __init__(self, h: np.ndarray, weight: np.ndarray, rare: float):
+        order = np.argsort(h)
+        self.h, self.weight, self.rare = h[order], weight[order].astype(np.float32), np.float32(rare)
+        self.slots = np.zeros(1 << DF_BITS, bool)
+        self.slots[self.h >> np.uint64(64 - DF_BITS)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rare, np.float32)
+        at = np.flatnonzero(self.slots[h >> np.uint64(64 - DF_BITS)])
+        if len(at):
+            k = np.minimum(np.searchsorted(self.h, h[at]), len(self.h) - 1)
+            hit = self.h[k] == h[at]
+            out[at[hit]] = self.weight[k[hit]]
+        return out
+
+
+def idf_table(rows: DataFrame, gain: float = IDF_GAIN, bits: int = DF_BITS) -> Weights:
+    """IDF from all rows of ``__text``; texts without words aren't counted as documents."""
     parts = 64
     width = (1 << bits) // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << bits, np.int64), 0
+        total, n = np.zeros(1 << bits, np.uint32), 0
         for b in batches:
             held = [shingles(x or b"")[0] for x in b.column(0).cast(pa.binary()).to_pylist()]
             n += sum(len(x) > 0 for x in held)
             if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, parts), pa.int32()), pa.array([np.int64(n).tobytes(), *(total[k * width : (k + 1) * width].tobytes() for k in range(parts))], pa.binary())], names=["part", "counts"])
+                slot, times = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+                total[slot] += times.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, parts), pa.int32()), pa.array([np.uint32(n).tobytes(), *(total[k * width : (k + 1) * width].tobytes() for k in range(parts))], pa.binary())], names=["part", "counts"])
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "counts": [np.sum([np.frombuffer(x, "<i8") for x in pdf["counts"]], axis=0).tobytes()]})
+        out = np.zeros(1 if key[0] < 0 else width, np.int64)
+        for x in pdf["counts"]:
+            out += np.frombuffer(x, "<u4")
+        return pd.DataFrame({"part": [key[0]], "counts": [out.tobytes()]})
 
     found = {r: np.frombuffer(bytes(c), "<i8") for r, c in rows.select("__text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()}
-    n = max(1, int(found[-1][0]) if found else 0)
-    counts = np.concatenate([found.get(k, np.zeros(width, np.int64)) for k in range(parts)]).astype(np.float64)
-    own = np.maximum(1.0, counts - (counts.sum() - counts) / ((1 << bits) - 1))
-    return (1 + gain * np.log(1 + n / np.minimum(own, n)) / np.log(1 + n)).astype(np.float32)
+    n = int(found[-1][0]) if found else 0
+    counts = np.concatenate([found.get(k, np.zeros(width, np.int64)) for k in range(parts)])
+    floor = max(1.0, n / RARE, LOADS * float(counts.sum()) / (1 << bits))
+    open_ = rows.sparkSession.sparkContext.broadcast(counts > floor)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+        for b in batches:
+            for x in b.column(0).cast(pa.binary()).to_pylist():
+                h = shingles(x or b"")[0]
+                h = h[open_.value[h >> np.uint64(64 - bits)]]
+                if len(h):
+                    held.append(h)
+                    size += len(h)
+            if size > 1 << 21:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    # fewer than 2**bits / LOADS rows reach the floor
+    top = rows.select("__text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > floor).toPandas() if n else pd.DataFrame({"h": [], "n": []})
+    weight = lambda df: 1 + gain * np.log(np.maximum(n, 1) / df) / np.log(RARE)
+    return Weights(top["h"].to_numpy(np.int64).view(np.uint64), weight(top["n"].to_numpy(np.float64)), float(weight(floor)) if n else 1.0)
 
 
 @lru_cache(maxsize=1)
@@ -187,9 +240,8 @@ def sample(h: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, n_samples:
 SIGNED = "__id long, digest binary, sketch binary"
 
 
-def signatures(rows: DataFrame, idf: np.ndarray, n_samples: int) -> DataFrame:
+def signatures(rows: DataFrame, idf: Weights, n_samples: int) -> DataFrame:
     """(__id, digest of the text, samples) of all rows with an id and a word."""
-    bits = int(math.log2(len(idf)))
     table = rows.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +257,7 @@ def signatures(rows: DataFrame, idf: np.ndarray, n_samples: int) -> DataFrame:
             def flush():
                 starts = np.cumsum([0] + [len(x) for x, _ in held[:-1]])
                 h = np.concatenate([x for x, _ in held])
-                w = np.log(np.concatenate([n for _, n in held]).astype(np.float32) * table.value[(h >> np.uint64(64 - bits)).astype(np.int64)])
+                w = np.log(np.concatenate([n for _, n in held]).astype(np.float32) * table.value(h))
                 sketches.extend(x.tobytes() for x in sample(h, w, starts, n_samples))
 
             for k, t in enumerate(texts):
@@ -242,7 +294,7 @@ def _banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 out[:, k] = h
             yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.repeat(np.array(b.column(0)), bands))], names=["bucket", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "bucket long, rep long")
+    return reps.select("rep", "sketch").mapInArrow(run, "bucket long, rep long").distinct()
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -258,19 +310,18 @@ def _alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             keep = pa.array((sa == sb).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([x.column(x.schema.get_field_index(n)).filter(keep) for n in ("a", "b")], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
+def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], idf: Weights) -> float:
     """Weighted Jaccard similarity of two documents' shingles."""
-    down = np.uint64(64 - int(math.log2(len(idf))))
-    total = lambda h, n: float((n * idf[(h >> down).astype(np.int64)].astype(np.float64)).sum())
+    total = lambda h, n: float((n * idf(h).astype(np.float64)).sum())
     both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     shared = total(both, np.minimum(x[1][i], y[1][j]))
     return shared / max(total(*x) + total(*y) - shared, 1e-300)
 
 
-def verify(pairs: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, idf: Weights, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs at or above the threshold; only texts that a pair needs are shuffled."""
     sc = pairs.sparkSession.sparkContext
     bitmap = sc.broadcast(key_filter(pairs.select("a").union(pairs.select("b"))))
@@ -354,7 +405,7 @@ def _candidates(most: int | None):
     return run
 
 
-def _fine(reps: DataFrame, rows: DataFrame, idf: np.ndarray) -> DataFrame:
+def _fine(reps: DataFrame, rows: DataFrame, idf: Weights) -> DataFrame:
     """(rep, fine): one byte of each of FINE samples, of the texts in reps only."""
     bitmap = rows.sparkSession.sparkContext.broadcast(key_filter(reps.select("rep")))
 
@@ -368,7 +419,7 @@ def _fine(reps: DataFrame, rows: DataFrame, idf: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["rep", "fine"])
 
     texts = rows.select("__id", "digest", "__text").mapInArrow(needed, "__id long, digest binary, __text string")
-    return signatures(texts, idf, FINE).select("__id", "sketch").mapInArrow(low, "rep long, fine binary").groupBy("rep").agg(F.min("fine").alias("fine"))
+    return signatures(texts, idf, FINE).select("__id", "sketch").mapInArrow(low, "rep long, fine binary").distinct()
 
 
 def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
@@ -376,7 +427,7 @@ def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
     parts = connected_components(found, u="a", v="b", vertex="part")
     state = member.join(parts, member["rep"] == parts["part"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("class"))
     open_ = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where("n > 2 and x <> y")
-    return state.join(open_.select("bucket"), "bucket")
+    return state.join(materialise(open_.select("bucket"), "open"), "bucket")
 
 
 def _dealt(left: DataFrame) -> DataFrame:
@@ -388,7 +439,7 @@ def _dealt(left: DataFrame) -> DataFrame:
     """
     by_class = left.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"))
-    cuts = largest.select("bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("cut_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("cut_rest"))
+    cuts = materialise(largest.select("bucket", F.col("top.class").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("cut_top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("cut_rest")), "cuts")
     # a few members need one block only
     whole = (F.col("cut_top") == 1) & (F.col("cut_rest") == 1)
     is_top = F.col("class") == F.col("top")
@@ -404,15 +455,19 @@ def _dealt(left: DataFrame) -> DataFrame:
     return left.join(cuts, "bucket").withColumn("part", part).select("bucket", F.explode(blocks).alias("block"), "rep", "class")
 
 
-def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, bands: int, n_rows: int) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts that connect what is alike."""
+def links(reps: DataFrame, rows: DataFrame, idf: Weights, threshold: float, bands: int, n_rows: int) -> DataFrame:
+    """Verified links (a, b, similarity) between different texts that connect what is alike.
+
+    What is joined to members by bucket is written before, so that a bucket
+    that a large part of all texts share can be split.
+    """
     spark = reps.sparkSession
     member = materialise(_banded(reps, bands, n_rows), "buckets")
-    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = member.join(sizes, "bucket")
+    sizes = materialise(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    member = materialise(member.join(sizes, "bucket"), "met")
     meets = member.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = member.join(meets, "rep").groupBy("bucket").agg(F.max(F.struct("meets", -F.col("rep"))).alias("hub")).select("bucket", (-F.col("hub.col2")).alias("hub"))
-    member = materialise(member.join(hubs, "bucket"), "members")
+    member = materialise(member.join(materialise(hubs, "hubs"), "bucket"), "members")
     stars = _alike(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps, LEAST_SHARED)
     found = materialise(verify(materialise(stars, "stars"), rows, idf, threshold), "links")
     # what is left: all pairs of a bucket that aren't of one class, first the nearest few of each text, then all others
@@ -432,17 +487,17 @@ def links(reps: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float, b
     return found
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, df_bits: int = DF_BITS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with ``class_id``: the smallest doc_id of those that a document is a copy of or linked to, its own included."""
     tune(docs.sparkSession)
     text = F.coalesce(F.col(text_column), F.lit(""))
     digest = F.concat(F.unhex(F.md5(text)), F.unhex(F.sha1(text)))
     plain = docs.select(F.col(id_column).cast("long").alias("__id"), text.alias("__text"), digest.alias("digest"))
-    idf = idf_table(plain, df_bits)
+    idf = idf_table(plain)
     signed = materialise(signatures(plain, idf, bands * rows), "signed")
     reps = materialise(signed.groupBy("digest").agg(F.min("__id").alias("rep"), F.min("sketch").alias("sketch")), "texts")
-    one_text = reps.groupBy("rep").agg(F.min("sketch").alias("sketch"))  # rows of one id with several texts are one document
-    found = links(one_text, plain, idf, threshold, bands, rows)
+    sketches = reps.select("rep", "sketch").distinct()  # rows of one id with several texts are one document with several sketches
+    found = links(sketches, plain, idf, threshold, bands, rows)
     parts = connected_components(found, u="a", v="b", vertex="part")
     classes = reps.join(parts, reps["rep"] == parts["part"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     # a row with several texts to its id stands with the class of that id
