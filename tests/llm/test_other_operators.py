@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +125,55 @@ def test_warc_salvage(gz):
         assert set(range(12)) - broken <= good and any("problem" in x for x in found)
 
 
+def salvaged(data):
+    return list(warc.salvage(warc._File(Memory(data), len(data))))
+
+
+def pages_of(found):
+    return [x["page_id"] for x in found if "problem" not in x]
+
+
+def test_salvage_survives_hostile_numbers():
+    rng = random.Random(1)
+    good = warc.record(7, "u", b"good", None, False)
+    odd = ["²", "١", "-1", "+4", "1e3", "9" * 5000, "9" * 18, "", " ", "0x10", "4 4", "\u0663" * 30]
+    for name in (b"Content-Length", b"WARC-Record-ID", b"WARC-Refers-To"):
+        for value in odd + ["<urn:x-page:%s>" % x for x in odd]:
+            bad = b"\r\n".join(name + b": " + value.encode() if x.startswith(name) else x for x in warc.record(1, "u", b"bad", 3, True).split(b"\r\n"))
+            for data in (bad + good, warc.member(bad) + warc.member(good), warc.member(bad + good)):
+                assert pages_of(salvaged(data))[-1] == 7
+    for _ in range(300):  # any damage of a header
+        b = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        assert pages_of(salvaged(bytes(b) + good))[-1] == 7
+        assert 7 in pages_of(salvaged(warc.member(bytes(b) + good)))
+
+
+@pytest.mark.parametrize("step", [1 << 18, 64])
+def test_salvage_in_members_of_many_records(monkeypatch, step):
+    monkeypatch.setattr(warc, "STEP", step)
+    rng = random.Random(step)
+    parts = [warc.record(i, "u", rng.randbytes(400), None, False) for i in range(9)]
+    # a bad record amid good ones
+    bad = bytearray(parts[4])
+    bad[-50] ^= 1
+    found = salvaged(warc.member(b"".join([*parts[:4], bytes(bad), *parts[5:]])))
+    assert pages_of(found) == [0, 1, 2, 3, 5, 6, 7, 8] and sum("problem" in x for x in found) == 1
+    # an early end: what comes before it is kept, and the next member as well
+    whole = warc.member(b"".join(parts))
+    for cut in (len(whole) // 3, len(whole) - 4):
+        found = salvaged(whole[:cut] + warc.member(warc.record(20, "u", b"x", None, False)))
+        got = pages_of(found)
+        assert got[-1] == 20 and got[:-1] == list(range(len(got) - 1)) and len(got) > (2 if cut < len(whole) // 2 else 9) and any("problem" in x for x in found)
+    # records without a digest count only in members that hold
+    plain = [b"\r\n".join(x for x in p.split(b"\r\n") if not x.startswith(b"WARC-Block-Digest")) for p in (warc.record(i, "u", b"text %d" % i, None, False) for i in range(3))]
+    m = warc.member(b"".join(plain))
+    assert pages_of(salvaged(m)) == [0, 1, 2] and pages_of(salvaged(m[:-1])) == []
+    # a member whose first record is bad, after a damaged one
+    assert pages_of(salvaged(b"\x1f\x8b\x08junk" + warc.member(bytes(bad) + parts[5]))) == [5]
+
+
 # --- language model ---------------------------------------------------------------
 
 
@@ -158,6 +208,7 @@ def test_lm_repeated_rows_and_no_training(spark):
     held = next(i for i in range(100) if lm.is_held_out(i))
     r = lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), lm_path(), share=1).first()
     assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and np.isfinite(r.score)
+    assert abs(r.base_score) < 1e-12  # each token log10(0.5 / 0.5)
     assert lm.score(df.limit(0), lm_path(), share=1).count() == 0
 
 
@@ -300,14 +351,69 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def classes_by_brute_force(docs):
+    """All pairs with exact document frequencies, then union-find."""
+    bags = {}
+    for i, t in docs:
+        w = (t or "").split()
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    df = Counter(s for b in bags.values() for s in b)
+    n = sum(bool(b) for b in bags.values())
+    floor = max(1, n / near_dup.RARE, near_dup.LOADS * sum(df.values()) / (1 << near_dup.DF_BITS))
+    weight = {s: 1 + near_dup.IDF_GAIN * np.log(n / max(c, floor)) / np.log(near_dup.RARE) for s, c in df.items()}
+    parent = {i: i for i in bags}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(bags)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = bags[i].keys() & bags[j].keys()
+            if not both:
+                continue
+            shared = sum(min(bags[i][s], bags[j][s]) * weight[s] for s in both)
+            total = sum(c * weight[s] for b in (bags[i], bags[j]) for s, c in b.items()) - shared
+            if shared / total >= near_dup.THRESHOLD - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
+    """Templates with long common parts, chains of edits, copies; buckets far over the size of a block."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(block)
+    docs = planted_pairs(70, 230)
+    while len(docs) < 400:
+        w = words(rng, rng.choice([20, 80, 150]))
+        for _ in range(rng.choice([1, 1, 6])):
+            docs.append((len(docs), " ".join(w)))
+            for _ in range(rng.choice([0, 1, len(w) // 60, len(w) // 25])):
+                w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
+    docs += [(1000 + k, " ".join(["same"] * k)) for k in range(0, 40)] + [(2000 + i, t) for i, t in docs[:60]]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == classes_by_brute_force(docs)
+
+
+def test_texts_of_one_id_all_find_their_copies(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 90)) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, c)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
-    idf = rng.uniform(1, 1.5, 1 << 10).astype(np.float32)
     a = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2))
     b = np.sort(np.concatenate([a[:240], rng.integers(0, 2**63, 60).astype(np.uint64)]))
     na, nb = rng.integers(1, 4, 300), rng.integers(1, 4, 300)
+    idf = near_dup.Weights(a[::3].copy(), rng.uniform(1, 1.5, 100), 1.5)
     true = near_dup.jaccard((a, na), (b, nb), idf)
-    w = np.log(np.concatenate([na, nb]).astype(np.float32) * idf[(np.concatenate([a, b]) >> np.uint64(54)).astype(int)])
+    w = np.log(np.concatenate([na, nb]).astype(np.float32) * idf(np.concatenate([a, b])))
     s = near_dup.sample(np.concatenate([a, b]), w, np.array([0, 300]), 2000)
     assert abs((s[0] == s[1]).mean() - true) < 0.04
 

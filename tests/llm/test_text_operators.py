@@ -53,12 +53,65 @@ def test_suffix_dedup_edges(spark):
     t = "the same long passage " * 8
     rows = [(1, t), (1, t), (2, t), (None, t), (3, "é" * 120), (4, "éx" + "é" * 119)]
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_removed == r.n_bytes, r.text) for r in suffix_dedup.suffix_dedup(frame(spark, rows), 100).collect())
+    rng = random.Random(1)
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(12)]
+    equal = [(i, t) for i, t in enumerate(own)] * 3 + [(50, own[3] + "x")]
+    for hot in (50_000, 1):  # equal rows are one place and keep their text; the later copy loses it
+        assert {(r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(frame(spark, equal), 100, hot).collect()} == {(i, 0) for i in range(12)} | {(50, 900)}
     # the row without id is first and keeps its first period; equal rows count as one place
     assert [x[1] for x in got[:4]] == [False, True, True, True]
     assert all("�" not in x[2] for x in got)
     assert suffix_dedup.suffix_dedup(frame(spark, []), 100).collect() == []
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    """Two texts of one id whose 32-bit hashes are equal, and very many rows without id."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(300_000).select(F.concat_ws("-", F.sha2(F.col("id").cast("string"), 512), F.md5(F.col("id").cast("string"))).alias("t"))
+    same = made.groupBy(F.hash("t")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first().ts
+    rows = [(1, same[0]), (5, same[0]), (5, same[1])]
+    got = {(r.doc_id, r.n_bytes - r.n_removed) for r in suffix_dedup.suffix_dedup(frame(spark, rows), 100).collect()}
+    assert got == {(1, len(same[0])), (5, 0), (5, len(same[1]))}
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws("-", F.sha2(F.col("id").cast("string"), 512), F.lit("x")).alias("text"))
+    assert suffix_dedup.suffix_dedup(many, 100).where("n_removed > 0").count() == 0
+
+
+def test_anchors_of_very_many_runs_are_split(spark):
+    """A passage of one anchor amid other bytes: no task may hold its rows whole."""
+    rng = random.Random(3)
+    common = "z" * 70
+    docs = [(i, "".join(rng.choice("abcdefgh") for _ in range(90)) + common + "".join(rng.choice("abcdefgh") for _ in range(rng.choice([40, 90])))) for i in range(120)]
+    docs += [(i + 500, t[30:]) for i, t in docs[:40]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame(spark, docs), 100, hot=5).collect()}
+    assert got == suffix_brute(docs, 100)
+
+
+def skewed(spark, run):
+    """Whether a join of the plan was split where a key is hot, with Spark's thresholds brought down to a fixture's size."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = run()
+        df.collect()
+        return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split(spark):
+    from linkmap.llm import warc
+
+    hot = "one line that all documents of this table hold, over forty characters"
+    docs = spark.range(0, 20_000, 1, 16).selectExpr("id doc_id", f"concat('own line of this document, over forty characters ', sha1(string(id)), '\n{hot}') text")
+    assert skewed(spark, lambda: line_dedup.line_dedup(docs))
+    pages = spark.range(0, 20_000, 1, 16).selectExpr("id page_id", "'u' url", "case when id % 2 = 0 then '' else sha1(string(id)) end html")
+    assert skewed(spark, lambda: warc.mark_revisits(pages))
+
+
 def line_brute(docs, min_chars=40, min_docs=5):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(SPACE))
     holders = {}
