@@ -2,7 +2,10 @@
 
 Each stage takes the documents that its predecessor kept, and calls one
 operator of ``linkmap.llm``.  All stages but the last return the columns of
-``documents``, with ``n_chars`` brought up to date where texts change.
+``documents`` with their types, whatever they are named, with ``n_chars``
+brought up to date where there is one.  Texts of any length, repeated rows,
+rows without id and empty tables pass through every stage; the operators state
+what happens to each.
 """
 
 from __future__ import annotations
@@ -11,38 +14,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkmap.llm import line_dedup, near_dup, packing, quality, suffix_dedup
-from linkmap.llm.common import materialise, read
+from linkmap.llm.common import discard, materialise, read, shared_dir
+
+
+#: The caller's other columns travel in one struct, so that none clashes with what an operator adds.
+OTHERS = "others"
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a struct of all other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias(OTHERS)] if others else []))
 
 
 def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of docs again, with their types; ``n_chars`` is that of the text as it is now."""
+    def one(c: str):
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        return F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(OTHERS)[c].alias(c)
+
+    return rows.select(*[one(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the default policy."""
-    return quality.ledger(docs).where(quality.passes(quality.DEFAULT)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that fail no rule of the default policy; a null or empty text has too few words and goes."""
+    return _columns(quality.ledger(_plain(docs)).where(quality.passes(quality.DEFAULT)), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that too many documents have; texts that lose all of their lines go."""
-    out = line_dedup.line_dedup(docs)
+    """Texts without the lines that too many documents have; texts that lose all of their lines go, null texts become empty."""
+    out = line_dedup.line_dedup(_plain(docs))
     return _columns(out.where((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(line_dedup.SPACE)) != "")), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one whose doc_id names the class; documents without id stay."""
-    out = near_dup.near_duplicates(docs)
-    return out.where(F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class: the one whose doc_id names the class; repeated rows of it and documents without id stay, as do texts without words."""
+    out = near_dup.near_duplicates(_plain(docs))
+    return _columns(out.where(F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id"))), docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 100 bytes and more that occur earlier; texts that lose all go."""
-    out = suffix_dedup.suffix_dedup(docs, length=100)
+    """Texts without the passages of 100 bytes and more that occur earlier; texts that lose all go, null texts become empty."""
+    out = suffix_dedup.suffix_dedup(_plain(docs), length=100)
     return _columns(out.where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(line_dedup.SPACE)) != "")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each segment of each document with its place in a bin."""
+    """A row for each segment of each document with its place in a bin; a document without words has its end token only."""
     return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("doc_tokens")), "doc_tokens")
 
 
@@ -59,9 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            path = shared_dir(spark, f"stage-{name}")
+            docs = materialise(docs, name, path)
+            if before:  # the stage before was read for the last time
+                discard(spark, before)
+            before = path
     return docs
