@@ -1,4 +1,8 @@
-"""Vectorised kernels over one sequence; all hashes are unsigned 64-bit."""
+"""Vectorised kernels over one sequence or many joined ones; all hashes are unsigned 64-bit.
+
+Many sequences are one buffer with a byte between them that is no base, so a
+k-mer never reaches from one into the next, and short reads cost no call each.
+"""
 
 from __future__ import annotations
 
@@ -89,34 +93,82 @@ def kmer_hashes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix64(x)
 
 
-def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least hash of each window of w hashes."""
-    if w <= 0 or len(h) < w:
-        return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(h, w).argmin(1) + np.arange(len(h) - w + 1)
-
+def joined(seqs: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """One buffer of several sequences, and where each begins."""
+    n = np.array([len(x) + 1 for x in seqs], np.int64)
+    return b"\n".join(seqs), np.cumsum(n) - n
 
-def minimizers(seq: bytes, k: int, w: int) -> np.ndarray:
-    """Window minima in order, each hash once; none if there are fewer than w k-mers."""
-    _, h = kmer_hashes(seq, k)
-    m = h[_window_minima(h, w)]
-    _, first = np.unique(m, return_index=True)
-    return m[np.sort(first)]
 
+def kmers_of(seqs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, start, canonical value) of all k-mers."""
+    buf, begin = joined(seqs)
+    at, x = canonical_kmers(buf, k)
+    row = np.searchsorted(begin, at, "right") - 1
+    return row, at - begin[row], x
 
-def minimizer_positions(seq: bytes, k: int, w: int) -> np.ndarray:
-    """Starts of the window minima, each place once; a hash may occur at several."""
-    at, h = kmer_hashes(seq, k)
-    i = _window_minima(h, w)
-    return at[i[np.concatenate([[True], i[1:] != i[:-1]])]] if len(i) else i
 
-
-def minimizers_of_hashes(h: np.ndarray, w: int) -> np.ndarray:
-    """Minima of windows over hashes that are left after filtering: only neighbours that are equal fall together, and fewer than w give their one minimum."""
+def _leftmost_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """Index of the leftmost least hash of each window of w hashes, by doubling."""
+    if w <= 0 or len(h) < w:
+        return np.zeros(0, np.int64)
+    best, width = np.arange(len(h)), 1
+    less = lambda a, b: np.where(h[b] < h[a], b, a)
+    while 2 * width <= w:
+        best = less(best[:-width], best[width:])
+        width *= 2
+    return less(best[: width - w], best[w - width :]) if width < w else best
+
+
+def _minima(row: np.ndarray, h: np.ndarray, w: int) -> np.ndarray:
+    """Indices of window minima in order, each place once; windows don't reach over rows."""
+    i = _leftmost_minima(h, w)
+    if not len(i):
+        return i
+    i = i[row[w - 1 :] == row[: len(row) - w + 1]]
+    return i[np.concatenate([[True], i[1:] != i[:-1]])] if len(i) else i
+
+
+def minimizers_of(seqs: list[bytes], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, hash) of window minima in order, each hash once a sequence; none where there are fewer than w k-mers."""
+    row, _, x = kmers_of(seqs, k)
+    h = mix64(x)
+    i = _minima(row, h, w)
+    r, m = row[i], h[i]
+    order = np.lexsort((i, m, r))
+    first = order[np.concatenate([[True], (r[order][1:] != r[order][:-1]) | (m[order][1:] != m[order][:-1])])] if len(order) else order
+    first.sort()
+    return r[first], m[first]
+
+
+def minimizer_positions_of(seqs: list[bytes], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, start) of the window minima, each place once; a hash may occur at several."""
+    row, at, x = kmers_of(seqs, k)
+    i = _minima(row, mix64(x), w)
+    return row[i], at[i]
+
+
+def minimizers_of_hashes(row: np.ndarray, h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): minima of windows over hashes that are left after filtering, sorted by row: only neighbours that are equal fall together, and fewer than w give their one minimum."""
     if not len(h) or w <= 0:
-        return np.zeros(0, np.uint64)
-    m = h[_window_minima(h, min(w, len(h)))]
-    return m[np.concatenate([[True], m[1:] != m[:-1]])]
+        return row[:0], h[:0]
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    few = np.diff(np.append(begin, len(row))) < w
+    i = _leftmost_minima(h, w)
+    i = i[row[w - 1 :] == row[: len(row) - w + 1]] if len(i) else i
+    r = np.concatenate([row[i], row[begin[few]]])
+    m = np.concatenate([h[i], np.minimum.reduceat(h, begin)[few]])
+    order = np.argsort(r, kind="stable")
+    r, m = r[order], m[order]
+    new = np.concatenate([[True], (r[1:] != r[:-1]) | (m[1:] != m[:-1])])
+    return r[new], m[new]
+
+
+def numbered(row: np.ndarray) -> np.ndarray:
+    """0, 1, 2... within each stretch of equal rows."""
+    if not len(row):
+        return row
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
 
 
 def compress_runs(seq: bytes) -> tuple[bytes, np.ndarray]:

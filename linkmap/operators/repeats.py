@@ -3,19 +3,62 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkmap.operators import sequences
+
 CAP, MOST = 10_000, 65_535
 
 
-def kmer_counts(codes: DataFrame) -> DataFrame:
-    """(code, n) with counts capped as a 16-bit counter is."""
-    return codes.groupBy("code").agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("n"))
+def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(code, n) of the reads' canonical k-mers, with counts capped as a 16-bit counter is."""
+    return sequences.kmer_tallies(reads, k).groupBy("code").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
+
+
+def approximate_counts(reads: DataFrame, k: int, width: int, depth: int = 4) -> CountMin:
+    """A count-min sketch of the reads' k-mers: each task fills its own, and rows are added up a stretch at a time; the size is the caller's and doesn't grow with the input."""
+    stretch = 1 << 16
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = CountMin(width, depth), False
+        for b in batches:
+            own.insert(np.array(b.column(0)).view(np.uint64), np.array(b.column(1)))
+            seen = True
+        if seen:
+            at = [(d, a) for d in range(depth) for a in range(0, width, stretch) if own.rows[d, a : a + stretch].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.int32()), pa.array([x for _, x in at], pa.int32()), pa.array([own.rows[d, a : a + stretch].tobytes() for d, a in at], pa.binary())], names=["d", "a", "counts"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(min(stretch, width - key[1]), np.int64)
+        for x in pdf["counts"]:
+            total += np.frombuffer(x, np.uint16)
+        return pd.DataFrame({"d": [key[0]], "a": [key[1]], "counts": [np.minimum(total, MOST).astype(np.uint16).tobytes()]})
+
+    schema = "d int, a int, counts binary"
+    out = CountMin(width, depth)
+    for d, a, x in sequences.kmer_tallies(reads, k).mapInArrow(fill, schema).groupBy("d", "a").applyInPandas(add, schema).collect():
+        out.rows[d, a : a + stretch] = np.frombuffer(bytes(x), np.uint16)
+    return out
+
+
+def approximate_repeats(reads: DataFrame, k: int, least: int, width: int, depth: int = 4) -> DataFrame:
+    """(code): k-mers whose sketched count is at least ``least``; a sketch never counts too few, so none of the repeated ones is missing."""
+    sketch = reads.sparkSession.sparkContext.broadcast(approximate_counts(reads, k, width, depth))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = b.column(0)
+            yield pa.RecordBatch.from_arrays([code.filter(pa.array(sketch.value.query(np.array(code).view(np.uint64)) >= least))], names=["code"])
+
+    return sequences.kmer_tallies(reads, k).select("code").mapInArrow(pick, "code long").distinct()
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -124,9 +167,12 @@ class CountMin:
         with np.errstate(over="ignore"):
             return np.stack([mix64(x + np.uint64(d) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.width) for d in range(self.depth)])
 
-    def insert(self, x: np.ndarray) -> None:
-        for row, s in zip(self.rows, self._slots(np.atleast_1d(x)), strict=True):
-            row[:] = np.minimum(row.astype(np.int64) + np.bincount(s.astype(np.int64), minlength=self.width), MOST)
+    def insert(self, x: np.ndarray, times: np.ndarray | None = None) -> None:
+        x = np.atleast_1d(x)
+        times = np.ones(len(x), np.int64) if times is None else times
+        for row, s in zip(self.rows, self._slots(x), strict=True):
+            at, inverse = np.unique(s.astype(np.int64), return_inverse=True)
+            row[at] = np.minimum(row[at].astype(np.int64) + np.bincount(inverse, weights=times, minlength=len(at)).astype(np.int64), MOST)
 
     def query(self, x: np.ndarray) -> np.ndarray:
         return np.min([row[s] for row, s in zip(self.rows, self._slots(np.atleast_1d(x)), strict=True)], axis=0)

@@ -15,67 +15,141 @@ from linkmap.functions import columns as C
 from linkmap.functions import kernels as K
 
 
-def _exploded(df: DataFrame, seq: str, keep: list[str], out: str, make: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Rows (keep..., pos, out) for all that make gives of each sequence; works a batch at a time and never groups."""
+#: Bytes of sequences that a kernel takes at a time.
+PIECE = 1 << 20
+#: Bits of the filter of repeated k-mers.
+FILTER_BITS = 24
+
+Kernel = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _pieces(b: pa.RecordBatch, name: str) -> Iterator[tuple[int, list[bytes]]]:
+    """A batch's sequences, some at a time: (number of the first, sequences)."""
+    held: list[bytes] = []
+    begin, size = 0, 0
+    for i, s in enumerate(b.column(b.schema.get_field_index(name)).cast(pa.binary()).to_pylist()):
+        held.append(s or b"")
+        size += len(held[-1])
+        if size > PIECE:
+            yield begin, held
+            held, begin, size = [], i + 1, 0
+    if held:
+        yield begin, held
+
+
+def _exploded(df: DataFrame, seq: str, keep: list[str], out: str, make: Kernel) -> DataFrame:
+    """Rows (keep..., pos, out) for all (sequence, pos, out) that make gives of some sequences; never groups."""
     kept = [df.schema[k] for k in keep]
     schema = T.StructType([*kept, T.StructField("pos", T.LongType()), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, pos, val = [], [], []
-            seqs = b.column(b.schema.get_field_index("__seq"))
-            for i, s in enumerate(seqs.to_pylist()):
-                p, v = make((s or "").encode())
-                at.append(np.full(len(v), i))
-                pos.append(p)
-                val.append(v)
-                if sum(map(len, at)) > 1 << 18 or i == len(seqs) - 1:
-                    take = pa.array(np.concatenate(at).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(kept))), pa.array(np.concatenate(pos).astype(np.int64)), pa.array(np.concatenate(val).astype(np.uint64).view(np.int64))], names=schema.names)
-                    at, pos, val = [], [], []
+            for begin, seqs in _pieces(b, "__seq"):
+                row, pos, val = make(seqs)
+                if len(row):
+                    take = pa.array(row + begin)
+                    yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(kept))), pa.array(pos.astype(np.int64)), pa.array(val.astype(np.uint64).view(np.int64))], names=schema.names)
 
     return df.select(*[F.col(k) for k in keep], F.col(seq).alias("__seq")).mapInArrow(run, schema)
 
 
 def kmer_codes(df: DataFrame, k: int, keep: list[str], seq: str = "seq") -> DataFrame:
     """(keep..., pos, code): canonical k-mers before mixing."""
-    return _exploded(df, seq, keep, "code", lambda s: K.canonical_kmers(s, k))
+    return _exploded(df, seq, keep, "code", lambda s: K.kmers_of(s, k))
 
 
 def kmer_hashes(df: DataFrame, k: int, keep: list[str], seq: str = "seq") -> DataFrame:
-    return _exploded(df, seq, keep, "mx", lambda s: K.kmer_hashes(s, k))
+    def make(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, pos, x = K.kmers_of(seqs, k)
+        return row, pos, K.mix64(x)
 
+    return _exploded(df, seq, keep, "mx", make)
 
-def _numbered(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.arange(len(v)), v
+
+def kmer_tallies(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(code, n): canonical k-mers, counted among some sequences of a task; a code may have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, seqs in _pieces(b, "__seq"):
+                code, n = np.unique(K.kmers_of(seqs, k)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return df.select(F.col(seq).alias("__seq")).mapInArrow(run, "code long, n long")
+
+
+def _numbered(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return found[0], K.numbered(found[0]), found[1]
 
 
 def minimizers(df: DataFrame, k: int, w: int, keep: list[str], seq: str = "seq") -> DataFrame:
     """(keep..., pos, mx): pos counts the minimizers of a sequence."""
-    return _exploded(df, seq, keep, "mx", lambda s: _numbered(K.minimizers(s, k, w)))
+    return _exploded(df, seq, keep, "mx", lambda s: _numbered(K.minimizers_of(s, k, w)))
 
 
 def minimizer_positions(df: DataFrame, k: int, w: int, keep: list[str], seq: str = "seq") -> DataFrame:
     """(keep..., pos, bp): the start of each minimizer."""
-    return _exploded(df, seq, keep, "bp", lambda s: _numbered(K.minimizer_positions(s, k, w)))
+    return _exploded(df, seq, keep, "bp", lambda s: _numbered(K.minimizer_positions_of(s, k, w)))
+
+
+def _repeat_bits(repeats: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits over the mixed codes; what comes back is a word for each 64 bits that are not all clear."""
+    slot = F.shiftrightunsigned(C.mix64(F.col("code")), 64 - FILTER_BITS)
+    words = repeats.select(F.shiftright(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    for w, bits in words.collect():
+        out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    return out
 
 
 def minimizers_filtered(df: DataFrame, k: int, w: int, keep: list[str], repeats: DataFrame, seq: str = "seq") -> DataFrame:
-    """The same over the k-mers that are not in repeats (column code), which may be of any size: they meet in an anti-join."""
-    rows = df.withColumn("__read", F.monotonically_increasing_id())
-    left = kmer_codes(rows, k, [*keep, "__read"], seq).join(repeats.select("code").distinct(), "code", "left_anti")
-    grouped = left.groupBy(*keep, "__read").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("codes"))
-    kept = [grouped.schema[c] for c in keep]
+    """The same over the k-mers that are not in repeats (column code), which may be of any size.
+
+    A bitmap of fixed size clears most sequences, which are done on the spot;
+    only those with a k-mer that it marks meet the repeats in an anti-join.
+    """
+    bits = df.sparkSession.sparkContext.broadcast(_repeat_bits(repeats))
+    source = df.select(*[F.col(c) for c in keep], F.col(seq).alias("__seq"))
+    kept = [source.schema[c] for c in keep]
     schema = T.StructType([*kept, T.StructField("pos", T.LongType()), T.StructField("mx", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, hash) of the k-mers, and which sequences have one that the bitmap marks."""
+        row, _, x = K.kmers_of(seqs, k)
+        h = K.mix64(x)
+        slot = h >> np.uint64(64 - FILTER_BITS)
+        hit = (bits.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        out = np.zeros(len(seqs), bool)
+        out[row[hit]] = True
+        return row, h, out
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for begin, seqs in _pieces(b, "__seq"):
+                row, h, out = marked(seqs)
+                row, m = K.minimizers_of_hashes(row[~out[row]], h[~out[row]], w)
+                if len(row):
+                    take = pa.array(row + begin)
+                    yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(kept))), pa.array(K.numbered(row)), pa.array(m.view(np.int64))], names=schema.names)
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = np.concatenate([marked(seqs)[2] for _, seqs in _pieces(b, "__seq")]) if b.num_rows else np.zeros(0, bool)
+            yield b.filter(pa.array(mask))
+
+    rows = source.mapInArrow(doubtful, source.schema).withColumn("__read", F.monotonically_increasing_id())
+    left = kmer_codes(rows, k, [*keep, "__read"], "__seq").join(repeats.select("code").distinct(), "code", "left_anti")
+    grouped = left.groupBy(*keep, "__read").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("codes"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [K.minimizers_of_hashes(K.mix64(np.array(c, np.int64).view(np.uint64)), w) for c in b.column(b.num_columns - 1).to_pylist()]
-            if found:
-                take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(kept))), pa.array(np.concatenate([np.arange(len(x)) for x in found])), pa.array(np.concatenate(found).view(np.int64))], names=schema.names)
+            codes = b.column(b.num_columns - 1)
+            if b.num_rows:
+                row = np.repeat(np.arange(len(codes)), np.diff(np.array(codes.offsets)))
+                row, m = K.minimizers_of_hashes(row, K.mix64(np.array(codes.flatten()).view(np.uint64)), w)
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(pa.array(row)) for j in range(len(kept))), pa.array(K.numbered(row)), pa.array(m.view(np.int64))], names=schema.names)
 
-    return grouped.select(*keep, "codes").mapInArrow(run, schema)
+    return source.mapInArrow(clear, schema).unionByName(grouped.select(*keep, "codes").mapInArrow(exact, schema))
 
 
 def read_key(header: str = "header"):
@@ -122,7 +196,9 @@ def index_positions(named: DataFrame, k: int, w: int, step: int = 100) -> DataFr
 
 
 def detect_protocol(reads: DataFrame, first: int = 1000, share: float = 0.1) -> str:
-    """linked if at least a tenth of the first reads carry a barcode, else long."""
+    """linked if at least a tenth of the first file's first reads carry a barcode, else long."""
+    if "file" in reads.columns:
+        reads = reads.join(F.broadcast(reads.agg(F.min("file").alias("file"))), "file")  # one row
     head = reads.orderBy("rec_no").limit(first).select(F.avg(C.barcode(F.col("header")).isNotNull().cast("int")).alias("a")).first()["a"]
     if head is None:
         raise ValueError("no reads to tell the protocol from")

@@ -107,6 +107,9 @@ def small_components_removed(s, d):
 INC = X.BOUGHT_SQL
 FREQ = "df AS (SELECT mx, count(*) df FROM inc GROUP BY mx)"
 EDGES = "edges AS (SELECT a.bx u, b.bx v, count(*) m FROM inc a JOIN inc b ON a.mx = b.mx AND a.bx < b.bx GROUP BY 1, 2 HAVING count(*) >= %d)"
+EDGES_ONCE = EDGES.replace("edges AS (", "edges AS MATERIALIZED (")
+#: The weight at a percentile's rank, from how often each weight occurs.
+AT_RANK = "hist AS (SELECT m, count(*) c FROM edges GROUP BY m), upto AS (SELECT m, sum(c) OVER (ORDER BY m) k, sum(c) OVER () n FROM hist), t AS (SELECT min(m) least_m FROM upto WHERE k > least(CAST(floor(n * %d / 100.0) AS BIGINT), n - 1))"
 SIZES = "sizes AS (SELECT bx, count(*) n FROM inc GROUP BY bx)"
 THRESHOLD = "ranked AS (SELECT df, row_number() OVER (ORDER BY df) - 1 r, count(*) OVER () n FROM df), q AS (SELECT max(df) FILTER (r = n // 4) q1, max(df) FILTER (r = 3 * n // 4) q3 FROM ranked), thr AS (SELECT q1, q3, q3 + CAST(floor(1.5 * (q3 - q1)) AS BIGINT) threshold FROM q)"
 COMPONENTS = """sym AS (SELECT u a, v b FROM edges UNION SELECT v, u FROM edges), ids AS (SELECT bx id FROM sizes),
@@ -127,7 +130,7 @@ SET_SQL = {
     "overlap": f"WITH {INC}, {EDGES % MIN_M} SELECT u, v, m FROM edges",
     "overlap_vertices": f"WITH {INC}, {SIZES} SELECT bx id, n m FROM sizes",
     "filter_edges": f"WITH {INC}, {EDGES % MIN_M} SELECT u, v, m FROM edges WHERE m >= {EGO_M}",
-    "filter_overlap": f"WITH {INC}, {EDGES % MIN_M}, r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 i, count(*) OVER () n FROM edges), t AS (SELECT max(m) FILTER (i = least(CAST(floor(n * 90 / 100.0) AS BIGINT), n - 1)) least_m FROM r) SELECT u, v, m FROM edges, t WHERE m >= least_m",
+    "filter_overlap": f"WITH {INC}, {EDGES_ONCE % MIN_M}, {AT_RANK % 90} SELECT u, v, m FROM edges WHERE m >= (SELECT least_m FROM t)",
     "degree_top5": f"WITH {INC}, {EDGES % MIN_M} SELECT id, count(*) degree FROM (SELECT unnest([u, v]) id FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 5",
     "isolated_removed": f"WITH {INC}, {SIZES}, {EDGES % EGO_M} SELECT bx id, n m FROM sizes WHERE bx IN (SELECT u FROM edges UNION SELECT v FROM edges)",
     "graph_stats": f"WITH {INC}, {SIZES}, {EDGES % MIN_M} SELECT (SELECT count(*) FROM sizes) n_vertices, count(*) n_edges, CAST(coalesce(sum(m), 0) AS BIGINT) total_m FROM edges",
@@ -195,7 +198,7 @@ def index_long_reads(s, d):
 
 
 def _repeats(s, d):
-    return repeats.repeated_kmers(repeats.kmer_counts(sequences.kmer_codes(X.reads(s, d), X.K, [])), REPEAT_TIMES * 30)
+    return repeats.repeated_kmers(repeats.kmer_counts(X.reads(s, d), X.K), REPEAT_TIMES * 30)
 
 
 def minimizers_filtered(s, d):
@@ -232,11 +235,11 @@ def protocol_detect(s, d):
 
 
 def kmer_histogram(s, d):
-    return repeats.histogram(repeats.kmer_counts(sequences.kmer_codes(X.reads(s, d), X.K, [])))
+    return repeats.histogram(repeats.kmer_counts(X.reads(s, d), X.K))
 
 
 def histogram_mode(s, d):
-    return repeats.mode_frame(repeats.histogram(repeats.kmer_counts(sequences.kmer_codes(X.reads(s, d), X.K, []))))
+    return repeats.mode_frame(repeats.histogram(repeats.kmer_counts(X.reads(s, d), X.K)))
 
 
 def repeat_kmers(s, d):
@@ -298,6 +301,7 @@ SEQ_SQL = {
     "kmer_histogram": f"WITH {READ_KMERS}, {_COUNTS}, {_HIST} SELECT mult, freq FROM hist",
     "histogram_mode": f"WITH {READ_KMERS}, {_COUNTS}, {_HIST}, d AS (SELECT r.mult, coalesce(freq, 0) freq FROM (SELECT unnest(range(1, (SELECT max(mult) FROM hist) + 1)) mult) r LEFT JOIN hist USING (mult)), e AS (SELECT *, freq > lag(freq) OVER (ORDER BY mult) rise FROM d), v AS (SELECT coalesce(min(mult) FILTER (rise) - 1, 1) valley FROM e) SELECT mult AS mode FROM d, v WHERE mult >= valley ORDER BY freq DESC, mult DESC LIMIT 1",
     "repeat_kmers": f"WITH {READ_KMERS}, {_COUNTS} SELECT {X.signed('code')} AS code, n FROM counts WHERE n >= {REPEAT_TIMES * 30}",
+    "long_kmers": f"WITH {X.CONTIGS_SQL}, {X.long_kmers_sql('contigs', 'name', 40)} SELECT name, pos, {X.signed('h')} AS mx FROM kmers",
     "unsigned_text": f"WITH {CONTIG_KMERS} SELECT DISTINCT {X.signed('h')} AS mx, CAST(h AS VARCHAR) AS text, {X.signed('h')} AS back FROM kmers",
 }
 SEQ_QUERIES: dict[str, Query] = {
@@ -370,8 +374,21 @@ _SYM = "sym AS (SELECT u a, v b FROM edges UNION ALL SELECT v, u FROM edges)"
 _EGO = "ego AS (SELECT x.a ego, x.b a, y.b b FROM sym x JOIN sym y ON x.a = y.a AND x.b < y.b JOIN edges e ON e.u = x.b AND e.v = y.b)"
 _EGO_CC = """eb AS (SELECT ego, a, b FROM ego UNION ALL SELECT ego, b, a FROM ego), walk(ego, a, x) AS (SELECT a, b, b FROM sym UNION SELECT w.ego, w.a, eb.b FROM walk w JOIN eb ON eb.ego = w.ego AND eb.a = w.x), parts AS (SELECT ego, a, min(x) part FROM walk GROUP BY 1, 2)"""
 _ASG = """sized AS (SELECT ego, part, count(*) n FROM parts GROUP BY 1, 2), numbered AS (SELECT *, row_number() OVER (PARTITION BY ego ORDER BY n DESC, part) - 1 mol FROM sized), asg AS (SELECT p.ego u, p.a v, mol FROM parts p JOIN numbered USING (ego, part) WHERE n > 1)"""
+# a vertex is an articulation point if, without it, some neighbour's component falls apart: its component has more parts than one
+_CUT = """steps AS (SELECT ego, a, b FROM ego UNION ALL SELECT ego, b, a FROM ego),
+ seeds AS (SELECT ego, a gone, min(b) b FROM steps GROUP BY ego, a HAVING count(*) > 1), roam(ego, gone, x) AS (SELECT ego, gone, b FROM seeds UNION SELECT r.ego, r.gone, s.b FROM roam r JOIN steps s ON s.ego = r.ego AND s.a = r.x WHERE s.b <> r.gone),
+ cut AS (SELECT DISTINCT s.ego, s.a FROM steps s JOIN seeds USING (ego) WHERE seeds.gone = s.a AND NOT EXISTS (SELECT 1 FROM roam r WHERE r.ego = s.ego AND r.gone = s.a AND r.x = s.b)),
+ stay AS (SELECT a ego, b a FROM sym ANTI JOIN cut ON cut.ego = sym.a AND cut.a = sym.b), kept AS (SELECT s.ego, s.a, s.b FROM steps s ANTI JOIN cut c ON c.ego = s.ego AND c.a = s.a ANTI JOIN cut d ON d.ego = s.ego AND d.a = s.b),
+ walk(ego, a, x) AS (SELECT ego, a, a FROM stay UNION SELECT w.ego, w.a, k.b FROM walk w JOIN kept k ON k.ego = w.ego AND k.a = w.x), parts AS (SELECT ego, a, min(x) part FROM walk GROUP BY 1, 2)"""
+# triangles that share an edge are one part; an edge stands for its part
+_K3 = """tri AS (SELECT x.ego, x.a, x.b, y.b c FROM ego x JOIN ego y ON y.ego = x.ego AND y.a = x.b JOIN ego z ON z.ego = x.ego AND z.a = x.a AND z.b = y.b),
+ te AS (SELECT ego, a || ' ' || b || ' ' || c t, unnest([a || ' ' || b, a || ' ' || c, b || ' ' || c]) e FROM tri), next_e AS (SELECT DISTINCT p.ego, p.e e, q.e f FROM te p JOIN te q ON q.ego = p.ego AND q.t = p.t),
+ reach_e(ego, e, f) AS (SELECT ego, e, f FROM next_e UNION SELECT r.ego, r.e, n.f FROM reach_e r JOIN next_e n ON n.ego = r.ego AND n.e = r.f), of_e AS (SELECT ego, e, min(f) part FROM reach_e GROUP BY 1, 2),
+ inside AS (SELECT DISTINCT ego, part, unnest(string_split(e, ' ')) a FROM of_e), sized AS (SELECT ego, part, count(*) n, list_sort(list(a)) l FROM inside GROUP BY 1, 2),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY ego ORDER BY n DESC, l) - 1 mol FROM sized), asg AS (SELECT ego u, a v, min(mol) mol FROM inside JOIN numbered USING (ego, part) GROUP BY 1, 2)"""
 _MOL = """mol_e AS (SELECT e.u || '_' || x.mol p, e.v || '_' || y.mol q, m FROM edges e JOIN asg x ON x.u = e.u AND x.v = e.v JOIN asg y ON y.u = e.v AND y.v = e.u), mol_edges AS (SELECT least(p, q) u, greatest(p, q) v, m FROM mol_e)"""
 _EGO_ALL = f"WITH RECURSIVE {INC}, {SIZES}, {EDGES % EGO_M}, {_SYM}, {_EGO}, {_EGO_CC}"
+_EGO_BARE = f"WITH RECURSIVE {INC}, {SIZES}, {EDGES % EGO_M}, {_SYM}, {_EGO}"
 _BX = "regexp_replace({0}, '_[^_]*$', '')"
 _LISTS = "lists AS (SELECT bx name, row_number() OVER (PARTITION BY bx ORDER BY mx) - 1 qpos, mx FROM inc)"
 
@@ -379,6 +396,9 @@ MOL_SQL = {
     "ego_edges": f"WITH {INC}, {EDGES % EGO_M}, {_SYM}, {_EGO} SELECT ego, a, b FROM ego",
     "ego_cc": f"{_EGO_ALL} SELECT ego, a, part FROM parts",
     "molecules_cc": f"{_EGO_ALL}, {_ASG} SELECT u, v, mol FROM asg",
+    "molecules_bc": f"{_EGO_BARE}, {_CUT}, {_ASG} SELECT u, v, mol FROM asg",
+    "molecules_bc_cc": f"{_EGO_BARE}, {_CUT}, {_ASG} SELECT u, v, mol FROM asg",
+    "molecules_k3": f"{_EGO_BARE}, {_K3} SELECT u, v, mol FROM asg",
     "molecule_edges": f"{_EGO_ALL}, {_ASG}, {_MOL} SELECT u, v, m FROM mol_edges",
     "molecule_graph": f"{_EGO_ALL}, {_ASG}, {_MOL}, ends AS (SELECT u id FROM mol_edges UNION SELECT v FROM mol_edges) SELECT id, n m, CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) mol FROM ends JOIN sizes ON bx = {_BX.format('id')}",
     "split_minimizers": f"""{_EGO_ALL}, {_ASG}, {_MOL}, {_LISTS}, near AS (SELECT DISTINCT mol, {_BX.format('o')} near FROM (SELECT u mol, v o FROM mol_edges UNION ALL SELECT v, u FROM mol_edges)),
@@ -473,7 +493,12 @@ _EVIDENCE = f"""hits AS (SELECT f.bx mol, e.mol em, e.tid, e.is_end, count(*) c
 _LINKS = f"""strong_links AS (SELECT e.* FROM evidence e JOIN sizes x ON x.tid = a JOIN sizes y ON y.tid = b WHERE bridges >= {MERGE.min_bridges} AND least(x.n, y.n) >= {MERGE.min_path_size} AND bridges / least(x.n, y.n) >= {MERGE.min_bridge_density}),
  per_end AS (SELECT t, x, count(*) c FROM (SELECT a t, a_end x FROM strong_links UNION ALL SELECT b, b_end FROM strong_links) GROUP BY 1, 2), links AS (SELECT * FROM strong_links WHERE (a, a_end) IN (SELECT (t, x) FROM per_end WHERE c <= {MERGE.max_links_per_endpoint}) AND (b, b_end) IN (SELECT (t, x) FROM per_end WHERE c <= {MERGE.max_links_per_endpoint}))"""
 
+# an edge is in the forest unless its ends are joined by edges that come before it
+_FOREST = """ranked AS (SELECT u, v, m, row_number() OVER (ORDER BY m DESC, u, v) r FROM edges), by_end AS (SELECT r, u a, v b FROM ranked UNION ALL SELECT r, v, u FROM ranked),
+ ways(r, x) AS (SELECT r, u FROM ranked UNION SELECT w.r, e.b FROM ways w JOIN by_end e ON e.a = w.x AND e.r < w.r), forest AS (SELECT u, v, m FROM ranked f WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.r = f.r AND w.x = f.v))"""
+
 PATH_SQL = {
+    "spanning_forest": f"WITH RECURSIVE {INC}, {EDGES % EGO_M}, {_FOREST} SELECT u, v, m FROM forest",
     "adjacent_ends": f"""WITH {X.TILES_SQL}, {EDGES % TILE_M}, {_tile_paths_sql(gap=1)}, {_SYM}, sizes AS (SELECT tid, count(*) n FROM paths GROUP BY tid HAVING count(*) >= 2), ends AS (SELECT mol x, tid, tpos > 0 is_last FROM paths JOIN sizes USING (tid) WHERE tpos = 0 OR tpos = n - 1),
  hop AS (SELECT a, b FROM sym UNION SELECT s.a, t.b FROM sym s JOIN sym t ON t.a = s.b WHERE s.b NOT IN (SELECT mol FROM paths)) SELECT DISTINCT p.tid a, q.tid b, p.is_last a_last, q.is_last b_last FROM hop JOIN ends p ON p.x = hop.a JOIN ends q ON q.x = hop.b WHERE p.tid <> q.tid""",
     "bridge_evidence": f"WITH {X.TILES_SQL}, {_tile_paths_sql()}, {_ENDS}, {_EVIDENCE} SELECT a, a_end, b, b_end, bridges FROM evidence",
@@ -481,8 +506,7 @@ PATH_SQL = {
     # tiles in a row: every path is joined to the next, so one path holds them all in order
     "merge_paths": f"WITH {X.TILES_SQL}, {_tile_paths_sql()} SELECT CAST(0 AS BIGINT) tid, row_number() OVER (ORDER BY tid, tpos) - 1 tpos, mol FROM paths",
     "merge_adjacent": f"WITH {X.TILES_SQL}, {_tile_paths_sql(gap=1)} SELECT CAST(0 AS BIGINT) tid, row_number() OVER (ORDER BY tid, tpos) - 1 tpos, mol FROM paths",
-    # the heaviest edges of the tiling are those between neighbours
-    "spanning_forest_tiles": f"WITH {X.TILES_SQL}, {EDGES % TILE_M} SELECT u, v, m FROM edges WHERE CAST(substr(v, 2) AS BIGINT) - CAST(substr(u, 2) AS BIGINT) = 1",
+    "spanning_forest_tiles": f"WITH RECURSIVE {X.TILES_SQL}, {EDGES % TILE_M}, {_FOREST} SELECT u, v, m FROM forest",
     "backbone_tiles": f"WITH {X.TILES_SQL} SELECT CAST(0 AS BIGINT) tid, row_number() OVER (ORDER BY bx) - 1 tpos, bx mol FROM (SELECT DISTINCT bx FROM inc)",
 }
 PATH_QUERIES: dict[str, Query] = {
@@ -689,5 +713,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     flag = f"""WITH {INC.replace('inc AS', 'a0 AS')}, d0 AS (SELECT mx FROM a0 GROUP BY mx HAVING count(*) >= 2), a1 AS (SELECT bx, mx FROM a0 JOIN d0 USING (mx)), s1 AS (SELECT bx FROM a1 GROUP BY bx HAVING count(*) >= {MIN_N} AND count(*) < {MAX_N}), a2 AS (SELECT bx, mx FROM a1 JOIN s1 USING (bx)),
- df AS (SELECT mx, count(*) df FROM a2 GROUP BY mx), {THRESHOLD}, inc AS (SELECT bx, mx FROM a2 JOIN df USING (mx), thr WHERE df < threshold), {EDGES % MIN_M}, r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 i, count(*) OVER () n FROM edges), t AS (SELECT max(m) FILTER (i = least(n * 50 // 100, n - 1)) least_m FROM r) SELECT u, v, m FROM edges, t WHERE m >= least_m"""
+ df AS (SELECT mx, count(*) df FROM a2 GROUP BY mx), {THRESHOLD}, inc AS (SELECT bx, mx FROM a2 JOIN df USING (mx), thr WHERE df < threshold), {EDGES_ONCE % MIN_M}, {AT_RANK % 50} SELECT u, v, m FROM edges WHERE m >= (SELECT least_m FROM t)"""
     return {"flagship": flag} | SET_SQL | SEQ_SQL | MOL_SQL | PATH_SQL | MAP_SQL

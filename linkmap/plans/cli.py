@@ -57,7 +57,7 @@ def index(s, a):
 
 def repeat_filter(s, a):
     reads = tables.read_fastx(s, a.inputs)
-    counts = repeats.kmer_counts(sequences.kmer_codes(reads, a.k, []))
+    counts = repeats.kmer_counts(reads, a.k)
     hist = repeats.histogram(counts)
     sinks.write_lines(sinks.histogram_lines(hist, a.k), f"{a.out}.hist", ["mult"], one_file=True)
     mode = repeats.histogram_mode(hist)

@@ -33,8 +33,8 @@ BARCODE_SQL = """CASE WHEN regexp_matches(header, '(^|\\s)BX:Z:') THEN regexp_ex
 TOKEN_SQL = "regexp_extract(header, '^\\s*(\\S*)', 1)"
 
 
-def kmers_sql(source: str, keys: str, k: int = K) -> str:
-    """kmers(keys, pos, code, h): canonical codes and their mix, unsigned; bases compare as their codes do."""
+def _mixed_sql() -> str:
+    """SELECT all of coded, and x: the mix of code, unsigned."""
     steps = [
         "(CAST(18446744073709551615 AS UHUGEINT) - x + x * 2097152) % m",
         "CAST(xor(CAST(x AS UBIGINT), CAST(x // 16777216 AS UBIGINT)) AS UHUGEINT)",
@@ -47,6 +47,21 @@ def kmers_sql(source: str, keys: str, k: int = K) -> str:
     chain = "SELECT *, CAST(code AS UHUGEINT) AS x FROM coded"
     for s in steps:
         chain = f"SELECT * REPLACE ({s.replace('% m', '% CAST(18446744073709551616 AS UHUGEINT)')} AS x) FROM ({chain})"
+    return chain
+
+
+def long_kmers_sql(source: str, keys: str, k: int) -> str:
+    """kmers(keys, pos, h) for more than 32 bases: the lesser hash of both strands' letters, mixed; letters keep their case."""
+    fnv = "CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, %d + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS UHUGEINT))), lambda a, b: (CAST(xor(CAST(a AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * 1099511628211) %% CAST(18446744073709551616 AS UHUGEINT)) AS UBIGINT)" % k
+    return f"""all_kmers AS (SELECT {keys}, pos, substr(seq, pos + 1, {k}) AS s FROM (SELECT *, unnest(range(length(seq) - {k} + 1)) AS pos FROM {source} WHERE length(seq) >= {k})),
+ good AS (SELECT * FROM all_kmers WHERE regexp_full_match(s, '[ACGTacgt]+')),
+ coded AS (SELECT s, least({fnv.format('s')}, {fnv.format("reverse(translate(upper(s), 'ACGT', 'TGCA'))")}) AS code FROM (SELECT DISTINCT s FROM good)),
+ mixed AS (SELECT s, CAST(x AS UBIGINT) AS h FROM ({_mixed_sql()})), kmers AS (SELECT {keys}, pos, h FROM good JOIN mixed USING (s))"""
+
+
+def kmers_sql(source: str, keys: str, k: int = K) -> str:
+    """kmers(keys, pos, code, h): canonical codes and their mix, unsigned; bases compare as their codes do."""
+    chain = _mixed_sql()
     return f"""all_kmers AS (SELECT {keys}, pos, upper(substr(seq, pos + 1, {k})) AS s FROM (SELECT *, unnest(range(length(seq) - {k} + 1)) AS pos FROM {source} WHERE length(seq) >= {k})),
  good AS (SELECT *, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS c FROM all_kmers WHERE regexp_full_match(s, '[ACGT]+')),
  codes AS (SELECT c, CAST(list_sum(list_transform(range({k}), lambda i: (instr('ACGT', substr(c, {k} - i, 1)) - 1) * (CAST(1 AS HUGEINT) << (2 * i)))) AS UBIGINT) AS code FROM (SELECT DISTINCT c FROM good)),
@@ -107,4 +122,5 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, cust, s = F.concat(F.lit("r"), F.col("rec_no")), F.col("cust"), F.col("s")
     header = F.when(F.col("rec_no") % 4 == 0, F.concat(r, F.lit(" BX:Z:"), cust, F.lit("-1"))).when(F.col("rec_no") % 4 == 1, F.concat(r, F.lit("#"), cust, F.lit("_1_2 x"))).when(F.col("rec_no") % 4 == 2, F.concat(r, F.lit("#0_0_0"))).otherwise(r)
     seq = F.when(F.col("rec_no") % 7 == 0, F.lower(s)).when(F.col("rec_no") % 11 == 0, F.concat(F.substring(s, 1, 75), F.lit("N"), F.substring(s, 77, 150))).otherwise(s)
-    return met.select("rec_no", header.alias("header"), seq.alias("seq"))
+    # a small table's joins come out in one partition; reads are for all cores
+    return met.select("rec_no", header.alias("header"), seq.alias("seq")).repartition(2 * spark.sparkContext.defaultParallelism)

@@ -37,7 +37,7 @@ class PhysicalMap:
 
 def repeats_of(reads: DataFrame, k: int, multiplier: int) -> DataFrame | None:
     """K-mers that occur at least multiplier times as often as most do."""
-    counts = cut_lineage(repeats.kmer_counts(sequences.kmer_codes(reads, k, [])), "kmers")
+    counts = cut_lineage(repeats.kmer_counts(reads, k), "kmers")
     mode = repeats.histogram_mode(repeats.histogram(counts))
     return None if mode is None else repeats.repeated_kmers(counts, repeats.threshold(mode, multiplier))
 
