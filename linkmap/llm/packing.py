@@ -3,20 +3,29 @@
 A document longer than the largest length gives full sequences and a rest, so
 nothing is cut off.  Rests are dealt into blocks of bounded size by hash, and
 each block is packed by itself: longest first, into the open bin with the
-least room that suffices.  Where none suffices a bin is opened whose size has
-the least cost per token that it can expect to hold, given what is still to
-be packed; at the end every bin shrinks to the least permitted size that
+least room that suffices.  Where none suffices a bin is opened, and its size is
+chosen with regard to the lengths that are left: for each permitted size it is
+reckoned which of them would fill it, longest first, and what the bin would
+cost for each token after it shrinks to its contents.  Which size is cheapest
+for one bin isn't always best for all, so a block is packed once more for each
+permitted size, with bins of at least that size, and the cheapest of these
+packings counts.  At the end every bin shrinks to the least permitted size that
 holds its contents.  Blocks lose at most a few partly filled bins each.
 
+The items are written once, with their lengths, so texts are read once.
+
 Defined results: a length that is null or not positive has no tokens and its
-row has no bin; repeated rows are items of their own; an empty table gives an
-empty table; other columns pass through on every segment's row.
+row has no bin; repeated rows are items of their own; items of one length are
+told apart by their order; an empty table gives an empty table; other columns
+pass through on every segment's row, and ``segment``, ``start``, ``n_tokens``,
+``bin_id``, ``bin_capacity`` and ``bin_offset`` replace columns of that name.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmap.llm.common import SPACE_CLASS, tune
+from linkmap.llm.common import SPACE_CLASS, materialise, tune
 
 #: Items that one task packs together.
 BLOCK_ITEMS = 20_000
@@ -43,15 +52,49 @@ class Sizes:
         return self.fixed + capacity + self.quadratic * capacity * capacity
 
 
-def pack_block(lengths: list[int], sizes: Sizes) -> tuple[list[int], list[int], list[int]]:
-    """For items of given lengths: bin, offset in it, and the final capacity of each bin."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+class Left:
+    """How many items of each length are still to be packed."""
+
+    def __init__(self, lengths: list[int]):
+        self.count = Counter(lengths)
+        self.sizes = sorted(self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            del self.count[n]
+            self.sizes.pop(bisect_left(self.sizes, n))
+
+    def fill(self, room: int) -> int:
+        """Tokens of the items that would go into a bin with so much room, longest first."""
+        used, k = 0, len(self.sizes)
+        while True:
+            k = bisect_right(self.sizes, room - used, 0, k)
+            if not k or used == room:
+                return used
+            k -= 1
+            n = self.sizes[k]
+            used += n * min(self.count[n], (room - used) // n)
+
+
+def _packed(lengths: list[int], order: list[int], sizes: Sizes, least: int | None) -> tuple[float, list[int], list[int], list[int]]:
+    """Cost, bins, offsets and final capacities, with bins of at least a size, or (None) of the size that is cheapest with what is left."""
     bin_of, offset = [0] * len(lengths), [0] * len(lengths)
     used: list[int] = []
     room: list[int] = []  # distinct free amounts, ascending
     by_room: dict[int, list[int]] = {}
     caps = sorted(sizes.capacities)
-    left = sum(lengths)
+    left = Left(lengths)
+
+    def shrunk(n: int) -> int:
+        return caps[bisect_left(caps, n)]
+
+    def opened(n: int) -> int:
+        fit = caps[bisect_left(caps, n) :]
+        if least is not None:
+            return max(fit[0], least)
+        full = {c: n + left.fill(c - n) for c in fit}
+        return min(fit, key=lambda c: (sizes.cost(shrunk(full[c])) / full[c], c))
 
     def put(b: int, free: int) -> None:
         if free:
@@ -62,6 +105,7 @@ def pack_block(lengths: list[int], sizes: Sizes) -> tuple[list[int], list[int],
 
     for i in order:
         n = lengths[i]
+        left.take(n)
         k = bisect_left(room, n)
         if k < len(room):
             free = room[k]
@@ -70,14 +114,19 @@ def pack_block(lengths: list[int], sizes: Sizes) -> tuple[list[int], list[int],
                 del by_room[free]
                 room.pop(k)
         else:
-            free = min((c for c in caps if c >= n), key=lambda c: (sizes.cost(c) / min(c, left), c))
-            b = len(used)
+            free, b = opened(n), len(used)
             used.append(0)
         bin_of[i], offset[i] = b, used[b]
         used[b] += n
-        left -= n
         put(b, free - n)
-    return bin_of, offset, [caps[bisect_left(caps, u)] for u in used]
+    final = [shrunk(u) for u in used]
+    return sum(map(sizes.cost, final)), bin_of, offset, final
+
+
+def pack_block(lengths: list[int], sizes: Sizes) -> tuple[list[int], list[int], list[int]]:
+    """For items of given lengths: bin, offset in it, and the final capacity of each bin."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    return min((_packed(lengths, order, sizes, least) for least in (None, *sorted(sizes.capacities))), key=lambda x: x[0])[1:]
 
 
 def word_tokens(text: Column) -> Column:
@@ -92,10 +141,11 @@ def pack(items: DataFrame, length_column: str, sizes: Sizes | None = None, id_co
     largest = max(sizes.capacities)
     own = ("segment", "start", "n_tokens", "bin_id", "bin_capacity", "bin_offset")
     n = F.greatest(F.coalesce(F.col(length_column).cast("long"), F.lit(0)), F.lit(0))
-    base = items.withColumn("__n", n).drop(*[x for x in own if x != id_column])
+    # written once: what follows reads lengths, not texts
+    base = materialise(items.withColumn("__n", n).drop(*[x for x in own if x != id_column]), "items")
     last = F.floor(F.greatest(F.col("__n") - 1, F.lit(0)) / largest)
     segments = base.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("start", F.col("segment") * largest).withColumn("n_tokens", F.least(F.lit(largest), F.col("__n") - F.col("start"))).drop("__n")
-    count = items.count()
+    count = base.count()
     blocks = max(1, math.ceil(count / block_items))
     # the row's own number keeps repeated rows from one block
     block = F.pmod(F.xxhash64(F.col(id_column), F.monotonically_increasing_id()), F.lit(blocks))
