@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkmap.operators import forest as T
 from linkmap.operators.components import cut_lineage
+from linkmap.operators.numbers import row_numbers
 from linkmap.types import BackboneParams
 
 
@@ -83,11 +83,11 @@ def peel(t: T.Tree, p: BackboneParams) -> list[list[str]]:
 def numbered(paths: DataFrame) -> DataFrame:
     """(tid, tpos, mol) of rows with arrays, longest first, then by first name.
 
-    Only names and lengths of paths pass through the ordering window; there
-    are far fewer paths than molecules.
+    Only names and lengths of paths are put in order; there are far fewer paths
+    than molecules.
     """
     heads = paths.select(F.size("path").alias("n"), F.element_at("path", 1).alias("head"), F.element_at("path", -1).alias("tail"))
-    tid = heads.withColumn("tid", F.row_number().over(W.orderBy(F.desc("n"), "head", "tail")).cast("long") - 1)
+    tid = row_numbers(heads, [F.desc("n"), "head", "tail"], "tid")
     body = paths.select(F.element_at("path", 1).alias("head"), F.posexplode("path").alias("tpos", "mol"))
     return tid.select("head", "tid").join(body, "head").select("tid", F.col("tpos").cast("long").alias("tpos"), "mol")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkmap.functions import columns as C
+from linkmap.operators.numbers import row_numbers
 from linkmap.types import ScaffoldParams
 
 
@@ -27,8 +28,8 @@ def scaffolds(contigs: DataFrame, paths: DataFrame, params: ScaffoldParams | Non
     made = joined.select(F.lit(0).alias("kind"), F.col("tid").alias("key"), F.lit("").alias("cname"), F.array_join(body, "N" * p.gap).alias("seq"), "xn")
     single = contigs.join(used_rows.select("name").distinct(), "name", "left_anti").select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.col("name").alias("cname"), "seq", F.lit(1).cast("long").alias("xn"))
     rows = made.unionByName(single).where(F.length("seq") >= p.min_length)
-    # only keys pass through the window that numbers scaffolds
-    number = rows.select("kind", "key", "cname").withColumn("id", F.row_number().over(W.orderBy("kind", "key", "cname")) - 1)
+    # only keys are put in order
+    number = row_numbers(rows.select("kind", "key", "cname"), ["kind", "key", "cname"], "id").withColumn("id", F.col("id").cast("int"))
     return rows.join(number, ["kind", "key", "cname"]).select("id", F.concat(F.format_string("%07d", "id"), F.lit(" LN:i:"), F.length("seq"), F.lit(" xn:i:"), "xn").alias("name"), "seq")
 
 

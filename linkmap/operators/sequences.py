@@ -95,7 +95,7 @@ def minimizer_positions(df: DataFrame, k: int, w: int, keep: list[str], seq: str
 def _repeat_bits(repeats: DataFrame) -> np.ndarray:
     """A bitmap of 2**FILTER_BITS bits over the mixed codes; what comes back is a word for each 64 bits that are not all clear."""
     slot = F.shiftrightunsigned(C.mix64(F.col("code")), 64 - FILTER_BITS)
-    words = repeats.select(F.shiftright(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    words = repeats.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     for w, bits in words.collect():
         out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkmap.functions import columns as C
 from linkmap.operators import backbone, chain, components, ego, filters, forest, mapping, merge, molecules, overlap, repeats, scaffold, sequences
 from linkmap.plans import fixtures as X
+from linkmap.sources import simulate
 from linkmap.types import BackboneParams, MergeParams, MoleculeParams, ScaffoldParams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,6 +247,10 @@ def repeat_kmers(s, d):
     return _repeats(s, d)
 
 
+def simulated_reads(s, d):
+    return simulate.simulate_reads(X.contigs(s, d).select("name", "seq"), simulate.Simulation(barcodes=60, molecule_size=1500.0, molecule_spread=300.0, reads=20, read_length=100))
+
+
 def long_kmers(s, d):
     return sequences.kmer_hashes(X.contigs(s, d), 40, ["name"])
 
@@ -326,6 +331,7 @@ SEQ_QUERIES: dict[str, Query] = {
     "histogram_mode": histogram_mode,
     "repeat_kmers": repeat_kmers,
     "long_kmers": long_kmers,
+    "simulated_reads": simulated_reads,
     "unsigned_text": unsigned_text,
 }
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkmap.functions.columns import first_token, from_unsigned_text
+from linkmap.operators.numbers import row_numbers
 from linkmap.types import BED, PAF, POSITIONS, READS
 
 
@@ -20,60 +21,96 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.withColumn("line_no", F.struct("block", "id")).drop("block", "id")
 
 
-def read_fastx(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Reads of FASTA or FASTQ files, told by each record's first letter; a file is read as a stream by one task, for gzip can't be split."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").distinct()
-    names = [r["path"] for r in files.collect()]  # file names only
-    rows = spark.createDataFrame([(n,) for n in names] or [("",)], "path string").repartition(max(1, len(names)))
+#: Bytes of a plain sequence file that one task reads.
+SPLIT = 64 << 20
+
+
+def read_fastx(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
+    """Reads of FASTA or FASTQ files, told by each record's first letter; rec_no is where the record begins in its file's text.
+
+    Plain files are read in stretches of ``split`` bytes: a task takes the
+    records that begin in its stretch.  Compressed ones can't be split and are
+    streamed by one task each.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").distinct()
+    spans = [(r["path"], a, a + split if not r["path"].endswith(".gz") else -1) for r in files.collect() for a in range(0, 1 if r["path"].endswith(".gz") else max(r["length"], 1), split)]  # names only
+    rows = spark.createDataFrame(spans or [("", 0, -1)], "path string, a long, b long").repartition(max(1, len(spans)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        for b in batches:
-            for name in b.column(0).to_pylist():
+        for batch in batches:
+            for name, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not name:
                     continue
                 system, p = fs.FileSystem.from_uri(name)
-                with system.open_input_stream(p, compression="gzip" if p.endswith(".gz") else None) as raw:
-                    yield from _batches(name, parse_fastx(_text_lines(raw)))
+                if b < 0:
+                    with system.open_input_stream(p, compression="gzip") as raw:
+                        yield from _batches(name, parse_fastx(_text_lines(raw, 0)))
+                else:
+                    with system.open_input_file(p) as raw:
+                        yield from _batches(name, _records_in(raw, a, b))
 
     return rows.mapInArrow(run, READS)
 
 
-def _text_lines(raw) -> Iterator[str]:
+def _records_in(raw, a: int, b: int) -> Iterator[tuple[int, str, str, str | None]]:
+    """The records of a file that begin from byte a to byte b."""
+    first = raw.read(1).decode("latin-1")
+    raw.seek(max(a - 1, 0))
+    lines = _text_lines(raw, max(a - 1, 0))
+    if a:
+        next(lines, None)  # the end of a line that another stretch has
+    for r in parse_fastx(_from_record(lines, first) if a else lines):
+        if r[0] >= b:
+            return
+        yield r
+
+
+def _from_record(lines: Iterator[tuple[int, str]], first: str) -> Iterator[tuple[int, str]]:
+    """Lines from the first one on that begins a record of a file with that first letter: a quality line that looks like a header has no + two lines below."""
+    held = list(islice(lines, 3))
+    while held and not (held[0][1].startswith(first) and (first == ">" or len(held) > 2 and held[2][1].startswith("+"))):
+        held = held[1:] + list(islice(lines, 1))
+    return chain(held, lines)
+
+
+def _text_lines(raw, at: int) -> Iterator[tuple[int, str]]:
+    """(place, line) of a stream that is at a place."""
     rest = b""
     while data := raw.read(1 << 20):
         *lines, rest = (rest + data).split(b"\n")
         for x in lines:
-            yield x.rstrip(b"\r").decode("utf-8", "replace")
+            yield at, x.rstrip(b"\r").decode("utf-8", "replace")
+            at += len(x) + 1
     if rest:
-        yield rest.rstrip(b"\r").decode("utf-8", "replace")
+        yield at, rest.rstrip(b"\r").decode("utf-8", "replace")
 
 
-def parse_fastx(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
-    """(header, sequence, quality or None) of each record."""
-    header, seq = None, []
+def parse_fastx(lines: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str, str, str | None]]:
+    """(place, header, sequence, quality or None) of each record."""
+    begin, header, seq = 0, None, []
     lines = iter(lines)
-    for x in lines:
+    after = lambda: next(lines, (0, ""))[1]
+    for at, x in lines:
         if header is None and x.startswith("@"):
-            name, s = x[1:], next(lines, "")
-            next(lines, "")
-            yield name, s, next(lines, "")
+            s, _, q = after(), after(), after()
+            yield at, x[1:], s, q
         elif x.startswith(">"):
             if header is not None:
-                yield header, "".join(seq), None
-            header, seq = x[1:], []
+                yield begin, header, "".join(seq), None
+            begin, header, seq = at, x[1:], []
         elif header is not None:
             seq.append(x.strip())
     if header is not None:
-        yield header, "".join(seq), None
+        yield begin, header, "".join(seq), None
 
 
-def _batches(name: str, records: Iterator[tuple[str, str, str | None]]) -> Iterator[pa.RecordBatch]:
+def _batches(name: str, records: Iterator[tuple[int, str, str, str | None]]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for i, r in enumerate(records):
-        held.append((i, *r))
-        size += len(r[1])
+    for r in records:
+        held.append(r)
+        size += len(r[2])
         if len(held) == 10_000 or size > 8 << 20:
             yield _batch(name, held)
             held, size = [], 0
@@ -126,8 +163,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
     """(tid, tpos, mol) of a file with a path on each line; empty lines are no paths."""
     rows = _lines(spark, path).withColumn("x", F.filter(F.split("line", r"\s+"), lambda t: t != "")).where(F.size("x") > 0)
-    key = rows.select("line_no").withColumn("tid", F.row_number().over(W.orderBy("line_no")).cast("long") - 1)
-    return rows.join(key, "line_no").select("tid", F.posexplode("x").alias("tpos", "mol")).select("tid", F.col("tpos").cast("long").alias("tpos"), "mol")
+    return row_numbers(rows.select("file", "line_no", "x"), ["file", "line_no"], "tid").select("tid", F.posexplode("x").alias("tpos", "mol")).select("tid", F.col("tpos").cast("long").alias("tpos"), "mol")
 
 
 def _delimited(spark: SparkSession, path: str, schema: T.StructType, least: int, defaults: dict | None = None) -> DataFrame:

@@ -1,17 +1,38 @@
-"""Graph operators: known facts and models."""
+"""Graph operators against plain models on random graphs, trees and paths."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkmap.operators import backbone, components, ego, filters, forest, merge, molecules, overlap
 from linkmap.types import BackboneParams, MergeParams, MoleculeParams, with_defaults
 
-BOWTIE = ego.Ego(5, [(0, 1), (0, 2), (1, 2), (2, 3), (2, 4), (3, 4)])
-PATH4 = ego.Ego(4, [(0, 1), (1, 2), (2, 3)])
-K4 = [(a, b) for a in range(4) for b in range(a)]
-TWO_K4 = ego.Ego(8, K4 + [(a + 4, b + 4) for a, b in K4] + [(3, 4)])
+
+def random_graph(rng, n, p):
+    return ego.Ego(n, [(a, b) for a in range(n) for b in range(a) if rng.random() < p])
+
+
+def random_tree(rng, n, weights=(1, 2, 3)):
+    """n vertices t00, t01...: a tree, by each vertex's choice of an earlier one, mostly a near one."""
+    rows = [(f"t{rng.randrange(max(0, i - rng.choice([1, 1, 3, i])), i):02}", f"t{i:02}", rng.choice(weights)) for i in range(1, n)]
+    return forest.tree_of(rows)
+
+
+def united(parts):
+    """Sets that overlap, joined until none do."""
+    parts = [set(p) for p in parts]
+    out = []
+    while parts:
+        p = parts.pop()
+        while meet := [q for q in parts if p & q]:
+            for q in meet:
+                p |= q
+                parts.remove(q)
+        out.append(p)
+    return out
 
 
 def edges(spark, rows):
@@ -25,24 +46,52 @@ def test_components_of_a_path_and_loops(spark):
     assert got == {"lonely": "lonely", "x": "x", "n004": "n000"}
 
 
-def test_communities():
-    assert ego.cc(PATH4, [0, 1, 3]) == [[0, 1], [3]]
-    assert ego.bc(ego.Ego(3, [(0, 1), (0, 2), (1, 2)]), [0, 1, 2]) == [[0, 1, 2]]
-    assert ego.bc(PATH4, [0, 1, 2]) == [[0], [2]] and ego.bc(PATH4, [0, 1, 2, 3]) == [[0], [3]] and ego.bc(BOWTIE, list(range(5))) == [[0, 1], [3, 4]]
-    assert ego.k3(BOWTIE, list(range(5))) == [[0, 1, 2], [2, 3, 4]] and ego.k3(PATH4, [0, 1, 2, 3]) == []
-    assert ego.k3(ego.Ego(4, K4), list(range(4))) == [[0, 1, 2, 3]] and ego.k3(ego.Ego(4, [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]), list(range(4))) == [[0, 1, 2, 3]]
-    assert ego.sqcos(PATH4, [0, 1, 2, 3], 0.5, 10) == [[0, 1, 2, 3]]
-    k5 = ego.Ego(5, [(a, b) for a in range(5) for b in range(a)])
-    assert ego.sqcos(k5, list(range(5)), 0.5, 2) == [[0, 1, 2, 3, 4]] and len(ego.sqcos(TWO_K4, list(range(8)), 0.5, 2)) >= 2
-    for n, want in ((10, 1), (100, 3), (200, 5)):
-        b = ego.bins(list(range(n)), 50, 42)
-        assert len(b) == want and sorted(x for p in b for x in p) == list(range(n)) and max(map(len, b)) - min(map(len, b)) <= 1
-    two = ego.Ego(10, [(a, b) for a in range(5) for b in range(5, 6)])
-    assert len(ego.merge(two, [[0, 1, 2, 3, 4], [5]], 3)) == 1 and len(ego.merge(two, [[0], [5]], 5)) == 2 and len(ego.merge(two, [[0, 1, 2, 3, 4], [5]], -1)) == 2
-    p = MoleculeParams(strategy="distributed")
-    assert ego.communities(BOWTIE, list(range(5)), p) == [] and ego.communities(TWO_K4, list(range(8)), p)
-    assert ego.parse_strategy("bc+nope+k3") == ["bc", "k3"] and ego.parse_strategy("") == []
-    assert ego.assignment([[3, 4], [0, 1, 2], [2, 5], [9]]) == {0: 0, 1: 0, 2: 0, 5: 1, 3: 2, 4: 2}
+def test_communities_equal_their_definitions():
+    rng = random.Random(11)
+    for _ in range(150):
+        g = random_graph(rng, rng.randint(1, 14), rng.choice([0.1, 0.25, 0.5, 0.8]))
+        nodes = sorted(rng.sample(range(len(g.adj)), rng.randint(1, len(g.adj))))
+        pairs = [{x, y} for x, y in combinations(nodes, 2) if y in g.adj[x]]
+        assert sorted(ego.cc(g, nodes)) == sorted(map(sorted, united(pairs + [{x} for x in nodes])))
+        # triangles as sets of edges: those that share one are one part
+        triangles = [{(x, y), (x, z), (y, z)} for x, y, z in combinations(nodes, 3) if y in g.adj[x] and z in g.adj[x] and z in g.adj[y]]
+        assert sorted(ego.k3(g, nodes)) == sorted(sorted({x for e in t for x in e}) for t in united(triangles))
+        for threshold, least in ((0.3, 1), (0.75, 4)):
+            m = np.array([[float(y in g.adj[x]) for y in nodes] for x in nodes])
+            two = m @ m
+            norm = np.maximum(np.linalg.norm(two, axis=1), 1e-30)
+            cosine = two @ two.T / norm[:, None] / norm
+            near = abs(cosine - threshold) < 1e-6
+            if len(nodes) < max(least, 2):
+                assert ego.sqcos(g, nodes, threshold, least) == [nodes]
+            elif not (near & (m > 0)).any():
+                kept = [{nodes[i], nodes[j]} for i, j in zip(*np.nonzero((m > 0) & (cosine >= threshold)), strict=True)]
+                assert sorted(map(sorted, ego.sqcos(g, nodes, threshold, least))) == sorted(map(sorted, united(kept + [{x} for x in nodes])))
+        parts = [rng.sample(nodes, rng.randint(1, len(nodes))) for _ in range(rng.randint(0, 5))]
+        cutoff = rng.choice([-1, 0, 1, 3, 8])
+        joined = [{i, j} for i, j in combinations(range(len(parts)), 2) if cutoff >= 0 and sum(y in g.adj[x] for x in parts[i] for y in parts[j]) > cutoff]
+        want = sorted(sorted(x for i in u for x in parts[i]) for u in united(joined + [{i} for i in range(len(parts))]))
+        assert sorted(sorted(p) for p in ego.merge(g, parts, cutoff)) == want
+
+
+def test_bins_deal_all_nodes_evenly():
+    rng = random.Random(5)
+    for _ in range(60):
+        nodes, largest, seed = sorted(rng.sample(range(500), rng.randint(1, 120))), rng.randint(2, 40), rng.randrange(1000)
+        b = ego.bins(nodes, largest, seed)
+        assert len(b) == 1 + len(nodes) // largest and sorted(x for p in b for x in p) == nodes
+        assert max(map(len, b)) - min(map(len, b)) <= 1 and b == ego.bins(nodes, largest, seed)
+    assert ego.bins(list(range(90)), 30, 1) != ego.bins(list(range(90)), 30, 2)
+
+
+def test_assignment_goes_by_size_and_least_member():
+    rng = random.Random(6)
+    for _ in range(200):
+        found = [sorted(rng.sample(range(20), rng.randint(1, 6))) for _ in range(rng.randint(0, 6))]
+        order = sorted(found, key=lambda c: (-len(c), c[0]))
+        want = {x: min(i for i, c in enumerate(order) if x in c and len(c) > 1) for x in range(20) if any(x in c and len(c) > 1 for c in order)}
+        assert ego.assignment(found) == want
+    assert ego.parse_strategy("k3 + what+cc") == ["k3", "cc"] and ego.parse_strategy(" ") == []
 
 
 def test_bc_alone_equals_bc_then_cc():
@@ -93,34 +142,111 @@ def test_forest_in_rounds_equals_local(spark):
     local = {tuple(r) for r in forest.spanning_forest(e).collect()}
     assert local == {tuple(r) for r in forest.spanning_forest(e, local_edges=0).collect()}
     assert {tuple(r) for r in backbone.remove_bridges(e, 4, 2).collect()} == {tuple(r) for r in backbone.remove_bridges(e, 4, 2, local_edges=0).collect()}
-    assert {tuple(r) for r in forest.spanning_forest(edges(spark, [("a", "b", 3), ("b", "c", 5), ("a", "c", 7)])).collect()} == {("a", "c", 7), ("b", "c", 5)}
-
-
-def test_trees():
-    star = forest.tree_of([("b", "a", 10), ("b", "c", 5), ("b", "d", 3)])
-    assert forest.diameter(star, star) == ["a", "b", "c"]
-    assert forest.branch_lengths(star)["b", "a"] == 1 and forest.branch_lengths(star)["a", "b"] == 2
-    assert forest.prune(star, 2) == 3 and list(star) == ["b"]
-    long = forest.tree_of([(f"p{i}", f"p{i + 1}", 1) for i in range(9)] + [("p5", "x", 1)])
-    assert forest.prune(long, 2) == 1 and len(long) == 10
-    cross = forest.tree_of([("j", f"{a}0", 1) for a in "abc"] + [(f"{a}{i}", f"{a}{i + 1}", 1) for a in "abc" for i in range(3)])
-    found = backbone.peel(cross, BackboneParams(prune_branch_size=1, prune_junction_size=3))
-    assert sorted(map(len, found)) == [1, 4, 4, 4]
-    h = forest.tree_of([("j", "a", 1), ("j", "b", 1), ("j", "m", 1), ("m", "n", 1), ("n", "k", 1), ("k", "c", 1), ("k", "d", 1)])
-    assert backbone.bridges(h, 3) == {"m", "n"} and backbone.bridges(h, 2) == set()
-
-
-def test_merge_paths_known_case(spark):
-    """Two paths of 60 whose facing ends share three minimizers with three bridges each become one of 120, in order."""
-    paths = spark.createDataFrame([(t, i, f"{'ab'[t]}{i}") for t in range(2) for i in range(60)], "tid long, tpos long, mol string")
-    inc = [(f"a{i}", 1000 + j) for i in range(50, 60) for j in range(3)] + [(f"b{i}", 2000 + j) for i in range(10) for j in range(3)]
-    inc += [(f"x{k}", base + j) for k in range(3) for base in (1000, 2000) for j in range(3)]
-    mx = spark.createDataFrame(inc, "mol string, mx long")
-    p = MergeParams(endpoint_depth=10, min_bridges=2, min_bridge_density=0.0)
-    got = [r.mol for r in merge.merge_paths(paths, mx, p).orderBy("tid", "tpos").collect()]
-    assert got == [f"a{i}" for i in range(60)] + [f"b{i}" for i in range(60)]
-    assert merge.merge_paths(paths, mx.where(~F.col("mol").startswith("x")), p).select("tid").distinct().count() == 2
-    assert merge.links_by_end(merge.merge_links(paths, mx, p)).count() == 2
+    # an edge stays unless its ends are joined by edges that come before it
+    simple = sorted({(min(u, v), max(u, v)): max(m for x, y, m in rows if {x, y} == {u, v}) for u, v, _ in rows}.items(), key=lambda x: (-x[1], x[0]))
+    want = {(*e, m) for k, (e, m) in enumerate(simple) if not any(set(e) <= p for p in united([set(x) for x, _ in simple[:k]]))}
+    assert local == want
+
+
+def ways(t, start, without):
+    """Vertices that start reaches without going over one edge."""
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        for y in t[x]:
+            if {x, y} != without and y not in seen:
+                seen.add(y)
+                todo.append(y)
+    return seen
+
+
+def distances(t, start, inside):
+    far, todo = {start: (0, 1)}, [start]
+    while todo:
+        x = todo.pop()
+        for y, m in t[x].items():
+            if y in inside and y not in far:
+                far[y] = far[x][0] + m, far[x][1] + 1
+                todo.append(y)
+    return far
+
+
+def test_trees_equal_their_definitions():
+    rng = random.Random(8)
+    for _ in range(80):
+        t = random_tree(rng, rng.randint(2, 25))
+        size = forest.branch_lengths(t)
+        for u in t:
+            for v in t[u]:
+                side = ways(t, v, {u, v})
+                assert size[u, v] == max(n for _, n in distances(t, v, side).values())
+        # the heaviest path, by all pairs
+        path = forest.diameter(t, t)
+        assert sum(t[x][y] for x, y in zip(path, path[1:], strict=False)) == max(d for x in t for d, _ in distances(t, x, set(t)).values()) and path[0] <= path[-1]
+        short = lambda g, least: [(u, v) for u in g if len(g[u]) >= 3 for v in g[u] if max(n for _, n in distances(g, v, ways(g, v, {u, v})).values()) < least]  # noqa: B023, E731
+        least = rng.randint(1, 5)
+        model = {x: dict(y) for x, y in t.items()}
+        while cut := short(model, least):
+            lost = set().union(*(ways(model, v, {u, v}) for u, v in cut))
+            model = {x: {y: m for y, m in ys.items() if y not in lost} for x, ys in model.items() if x not in lost}
+        before = len(t)
+        assert forest.prune(t, least) == before - len(t) and t == model
+
+
+def test_peeling_gives_every_vertex_once():
+    rng = random.Random(9)
+    for _ in range(40):
+        t = random_tree(rng, rng.randint(2, 30))
+        names, joined = set(t), {frozenset((u, v)) for u in t for v in t[u]}
+        found = backbone.peel(t, BackboneParams(prune_branch_size=1, prune_junction_size=rng.choice([0, 3, 6])))
+        assert sorted(x for p in found for x in p) == sorted(names) and not t
+        assert all(frozenset(e) in joined for p in found for e in zip(p, p[1:], strict=False))
+
+
+def test_bridges_equal_their_definition():
+    rng = random.Random(10)
+    for _ in range(60):
+        t, length = random_tree(rng, rng.randint(2, 25)), rng.randint(1, 5)
+        junction = {x for x in t if len(t[x]) >= 3}
+        want = {x for x in junction if junction & set(t[x])}
+        for x in set(t) - junction:  # the stretch of x between junctions
+            stretch, todo = {x}, [x]
+            while todo:
+                for y in t[todo.pop()]:
+                    if y not in stretch and y not in junction:
+                        stretch.add(y)
+                        todo.append(y)
+            if len(stretch) < length and all(len(t[y]) == 2 for y in stretch):
+                want |= stretch
+        assert backbone.bridges(t, length) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_paths_puts_a_cut_line_together(spark, seed):
+    """A line cut into pieces that lie in any order and direction; bridges join neighbours, weak and crowded links are turned down."""
+    rng = random.Random(seed)
+    line = [[f"m{c}x{i:02}" for i in range(rng.randint(24, 40))] for c in range(5)]
+    lie = [(tid, c, rng.random() < 0.5) for tid, c in enumerate(rng.sample(range(5), 5))]
+    paths = [(tid, i, m) for tid, c, turned in lie for i, m in enumerate(line[c][::-1] if turned else line[c])]
+    place, inc = {}, []
+    for m in sorted(x for p in line for x in p):
+        place[m] = 10 * len(place)
+        inc += [(m, place[m] + j) for j in range(3)]
+
+    def bridge(name, *ends):
+        return [(name, place[m] + j) for end in ends for m in end[:2] for j in range(3)]
+
+    for c in range(4):  # two or three bridges between neighbours
+        for k in range(rng.choice([2, 3])):
+            inc += bridge(f"b{c}x{k}", line[c][-3:], line[c + 1][:3])
+    inc += bridge("weak", line[0][:3], line[4][-3:])  # one bridge only
+    p = MergeParams(endpoint_depth=8, min_shared_mx=3, min_bridges=2, min_path_size=10, min_bridge_density=0.0, min_endpoint_hits=2)
+    df, mx = spark.createDataFrame(paths, "tid long, tpos long, mol string"), spark.createDataFrame(inc, "mol string, mx long")
+    got = [r.mol for r in merge.merge_paths(df, mx, p).orderBy("tid", "tpos").collect()]
+    whole = [m for piece in line for m in piece]
+    assert got in (whole, whole[::-1])
+    assert merge.merge_paths(df, mx.where(~F.col("mol").startswith("b")), p).select("tid").distinct().count() == 5
+    assert merge.links_by_end(merge.merge_links(df, mx, p)).count() == 8
 
 
 def test_start_to_start_joins():

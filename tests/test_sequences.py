@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from linkmap.functions import columns as C
 from linkmap.functions import kernels as K
-from linkmap.operators import repeats, sequences
-from linkmap.sources import sinks, tables
+from linkmap.operators import numbers, repeats, sequences
+from linkmap.sources import simulate, sinks, tables
 
 M = (1 << 64) - 1
 DNA = st.text(alphabet="ACGTacgtN", max_size=90)
@@ -53,23 +54,41 @@ def test_kernels_equal_the_model(s, k, w):
     at, x = K.canonical_kmers(s.encode(), k)
     assert list(zip(at.tolist(), x.tolist(), strict=True)) == model
     h = [(mix(v), i) for i, v in model]
-    assert K.kmer_hashes(s.encode(), k)[1].tolist() == [v for v, _ in h]
-    mins = [min(h[i : i + w]) for i in range(len(h) - w + 1)]
-    assert K.minimizers(s.encode(), k, w).tolist() == list(dict.fromkeys(v for v, _ in mins))
-    assert K.minimizer_positions(s.encode(), k, w).tolist() == list(dict.fromkeys(i for _, i in mins))
     short, starts = K.compress_runs(s.encode())
     assert starts.tolist() == [i for i in range(len(s)) if not i or s[i] != s[i - 1]] and short.decode() == "".join(s[i] for i in starts)
 
 
-def test_known_facts():
-    assert len(K.kmer_hashes(b"ACGTACGT", 4)[0]) == 5 and K.kmer_hashes(b"ACGTAC", 4)[0].tolist() == [0, 1, 2]
-    for s, k in ((b"ACG", 4), (b"ACGT", 0), (b"ACGT", 33)):
-        assert len(K.kmer_hashes(s, k)[0]) == 0
-    assert len(K.minimizers(b"ACGTNNNNACGT", 4, 1)) and not len(K.minimizers(b"ACGT", 8, 4))
-    for s, short in ((b"AAACCCGGG", b"ACG"), (b"AAAA", b"A"), (b"AAACGTTTAAC", b"ACGTAC"), (b"AAANNNACGT", b"ANACGT"), (b"", b"")):
-        assert K.compress_runs(s)[0] == short
-    few = np.array([5, 3, 9], np.uint64)
-    assert K.minimizers_of_hashes(few, 5).tolist() == [3] and K.minimizers_of_hashes(few[:0], 5).tolist() == []
+@settings(max_examples=120, deadline=None)
+@given(st.lists(DNA, max_size=6), st.sampled_from([1, 4, 16, 32, 33]), st.integers(0, 9))
+def test_many_sequences_equal_the_model_of_each(seqs, k, w):
+    data = [s.encode() for s in seqs]
+    row, at, x = K.kmers_of(data, k)
+    found = [K.minimizers_of(data, k, w), K.minimizer_positions_of(data, k, w), K.minimizers_of_hashes(row, K.mix64(x), w)]
+    for i, s in enumerate(seqs):
+        model = kmers(s, k)
+        assert list(zip(at[row == i].tolist(), x[row == i].tolist(), strict=True)) == model
+        h = [(mix(v), j) for j, v in model]
+        mins = [min(h[j : j + w]) for j in range(len(h) - w + 1)] if w else []
+        loose = [min(h[j : j + w])[0] for j in range(max(1, len(h) - w + 1))] if h and w else []
+        want = [list(dict.fromkeys(v for v, _ in mins)), list(dict.fromkeys(j for _, j in mins)), [v for j, v in enumerate(loose) if not j or v != loose[j - 1]]]
+        assert [v[r == i].tolist() for r, v in found] == want
+
+
+def test_counts_and_sketches_of_reads(spark):
+    rng = random.Random(7)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    reads = [genome[i : i + 60].lower() if i % 3 else genome[i : i + 60] for i in range(0, 340, 7)] * 2
+    df = spark.createDataFrame([(s,) for s in reads], "seq string").repartition(3)
+    count = Counter(v for s in reads for _, v in kmers(s, 9))
+    got = {r.code & M: r.n for r in repeats.kmer_counts(df, 9).collect()}
+    assert got == count
+    least = 12
+    want = {v for v, n in count.items() if n >= least}
+    near = {r.code & M for r in repeats.approximate_repeats(df, 9, least, 1 << 14).collect()}
+    assert want <= near and len(near - want) <= 3
+    sketch = repeats.approximate_counts(df, 9, 1 << 17)
+    codes = np.array(list(count), np.uint64)
+    assert (sketch.query(codes) >= np.array([count[int(c)] for c in codes])).all()
 
 
 def test_columns(spark):
@@ -122,6 +141,52 @@ def test_sketches():
     assert (c.merge(c).query(x) == 65_535).all()
 
 
+def test_simulated_reads_are_of_the_reference(spark):
+    rng = random.Random(3)
+    ref = {f"s{i}": "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((3000, 70_000, 1200, 140_000))}
+    df = spark.createDataFrame(list(ref.items()), "name string, seq string")
+    comp = str.maketrans("ACGT", "TGCA")
+    p = simulate.Simulation(barcodes=80, molecules=3.0, molecule_size=4000.0, molecule_spread=1500.0, reads=12, read_length=90, error_rate=0.0, seed=5)
+    rows = simulate.simulate_reads(df, p).collect()
+    assert len({r.rec_no for r in rows}) == len(rows) == 12 * len({(r.barcode, r.molecule) for r in rows}) and len({r.barcode for r in rows}) == 80
+    for r in rows:
+        forward = r.seq.translate(comp)[::-1] if r.reverse else r.seq
+        assert ref[r.name][r.start : r.start + 90] == forward and r.header == f"read{r.rec_no} BX:Z:{r.barcode}" and len(r.qual) == 90
+    share = sum(r.name == "s3" for r in rows) / len(rows)
+    assert 0.4 < share < 0.9 and 0.4 < sum(r.reverse for r in rows) / len(rows) < 0.6
+    again = simulate.simulate_reads(df.repartition(3), p)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    noisy = {r.rec_no: r.seq for r in simulate.simulate_reads(df, simulate.Simulation(**{**p.__dict__, "error_rate": 0.05})).collect()}
+    wrong = sum(x != y for r in rows for x, y in zip(r.seq, noisy[r.rec_no], strict=True)) / (90 * len(rows))
+    assert 0.04 < wrong < 0.06
+    assert simulate.simulate_reads(df.limit(0), p).count() == 0
+
+
+def test_stretches_of_files_give_each_record_once(spark, tmp_path):
+    rng = random.Random(2)
+    quals = ["@" + "I" * 7, "+IIIIIII", "@@@@+@@+", ">IIIIIII"]
+    fq = [(f"r{i} x", "".join(rng.choice("ACGT") for _ in range(8)), rng.choice(quals)) for i in range(200)]
+    fa = [(f"c{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    (tmp_path / "a.fq").write_text("".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in fq))
+    (tmp_path / "b.fa").write_text("".join(f">{h}\n{s[:30]}\n{s[30:]}\n" for h, s in fa))
+    for split in (1 << 20, 700, 37):
+        got = [tuple(r)[2:] for r in tables.read_fastx(spark, str(tmp_path / "a.fq"), split).orderBy("rec_no").collect()]
+        assert got == fq
+        got = [(r.header, r.seq) for r in tables.read_fastx(spark, str(tmp_path / "b.fa"), split).orderBy("rec_no").collect()]
+        assert got == fa
+
+
+def test_numbers_and_sums_go_over_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(numbers, "STRETCH", 7)
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 9)) for i in rng.sample(range(1000), 150)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    rows.sort()
+    assert [tuple(r) for r in numbers.row_numbers(df, [F.desc("k")], "n").orderBy("n").collect()] == [(*x, i) for i, x in enumerate(rows[::-1])]
+    assert {r.k: r.s for r in numbers.running_sums(df, ["k"], "v", "s").collect()} == {k: sum(v for _, v in rows[: i + 1]) for i, (k, _) in enumerate(rows)}
+    assert numbers.row_numbers(df.limit(0), ["k"], "n").count() == 0
+
+
 def test_files(spark, tmp_path):
     fq = tmp_path / "a.fq.gz"
     fq.write_bytes(gzip.compress(b"@r1 BX:Z:b1\nACGT\n+\n@III\n@r2#c\nGG\n+\nII\n"))
