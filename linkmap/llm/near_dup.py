@@ -18,12 +18,13 @@ meet in a bucket; what meets is verified with the true similarity.
   shingles can, whatever the corpus, and these are broadcast.
 * Equal texts are one text from the start; copies only get their class.
 * Each text is paired with its bucket's hub, the member that meets most others
-  over all bands.  Where that leaves several classes in a bucket, all pairs of
-  texts of different classes are tried: finer samples tell which to verify,
-  the nearest few of each text come first, and what they join needs no more.
-  Large buckets are cut into parts, and all pairs of parts are compared.
-* Only texts that have a pair are shuffled for verification; a bitmap of fixed
-  size keeps the others out.
+  over all bands.  Where that leaves several classes in a bucket, its members
+  are compared exactly, all with all, by products of matrices over the shingles
+  that they share; only links that join two classes are written.  Large buckets
+  are cut into parts, and all pairs of parts are compared, so a task holds two
+  parts and no row stands for a pair that isn't a link.
+* Only texts that have a pair, or a bucket that is left open, are shuffled; a
+  bitmap of fixed size keeps the others out.
 * Links are joined into classes by distributed connected components.
 
 Defined results: a text of fewer than five words is one shingle; a null text
@@ -58,12 +59,12 @@ RARE = 1024
 DF_BITS, LOADS = 20, 4
 #: The share of samples that a pair must have in common to be verified: a pair at the threshold has fewer about once in ten million.
 LEAST_SHARED = 0.4
-#: Samples of texts that their hub leaves open, and how many a pair must share to be verified: at the threshold fewer about once in ten million.
-FINE, FINE_SHARED = 128, 78
-#: Nearest members that each of these texts is verified with before all others.
-FIRST_TRIED = 4
 #: Members of a large bucket that are dealt together; a task compares two such parts at a time.
-BLOCK = 1000
+BLOCK = 500
+#: Shingles that so many texts of a block share at most are counted pair by pair, the others by products of matrices.
+FEW = 24
+#: Similarities are sums of weights, which may come out this much too low.
+ROUNDING = 1e-12
 #: Shingles that are sampled at a time.
 CHUNK = 1 << 16
 
@@ -345,7 +346,7 @@ def verify(pairs: DataFrame, rows: DataFrame, idf: Weights, threshold: float) ->
                     last, of_last = q, shingles(q or b"")
                 found.append(jaccard(shingles(p or b""), of_last, table.value))
             s = pa.array(found, pa.float64())
-            keep = pa.array([v >= threshold for v in found], pa.bool_())
+            keep = pa.array([v >= threshold - ROUNDING for v in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep), s.filter(keep)], names=["a", "b", "similarity"])
 
     one = texts.withColumnsRenamed({"__id": "a", "__text": "ta"})
@@ -353,60 +354,86 @@ def verify(pairs: DataFrame, rows: DataFrame, idf: Weights, threshold: float) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def _candidates(most: int | None):
-    """Rows sorted by block: pairs of texts of different classes whose fine samples agree often enough.
+def similarities(bags: list[tuple[np.ndarray, np.ndarray]], idf: Weights) -> np.ndarray:
+    """The weighted Jaccard similarity of all pairs of documents, given by their shingles: exact, above the diagonal."""
+    m = len(bags)
+    doc = np.repeat(np.arange(m), [len(x) for x, _ in bags])
+    h, n = np.concatenate([x for x, _ in bags]), np.concatenate([x for _, x in bags])
+    w = idf(h).astype(np.float64)
+    total = np.bincount(doc, weights=n * w, minlength=m)
+    if n.max(initial=0) > 1:  # a shingle's second occurrence is a shingle of its own, and so on
+        at = np.repeat(np.arange(len(h)), n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        h, doc, w = np.where(k > 0, mix(h[at] + k.astype(np.uint64) * _R), h[at]), doc[at], w[at]
+    order = np.argsort(h, kind="stable")
+    h, doc, w = h[order], doc[order], w[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(h)))
+    rest = np.repeat(start + size, size) - np.arange(len(h))  # of the shingle's documents, this one and those behind it
+    few = np.flatnonzero(np.repeat(size <= FEW, size))
+    shared = np.zeros(m * m)
+    for d in range(1, FEW):
+        few = few[rest[few] > d]
+        if not len(few):
+            break
+        shared += np.bincount(doc[few] * m + doc[few + d], weights=w[few], minlength=m * m)
+    shared = shared.reshape(m, m)
+    many = np.flatnonzero(size > FEW)
+    for a in range(0, len(many), 1024):
+        x = np.zeros((m, len(many[a : a + 1024])))
+        for c, f in enumerate(many[a : a + 1024]):
+            x[doc[start[f] : start[f] + size[f]], c] = 1
+        shared += (x * w[start[many[a : a + 1024]]]) @ x.T
+    return np.triu(shared / np.maximum(total[:, None] + total - shared, 1e-300), 1)
+
+
+def _block_links(idf, threshold: float):
+    """Rows sorted by block: verified pairs of texts of different classes that join these."""
+
+    def joins(ids: list[int], classes: list[int], bags: list) -> list[tuple[int, int, float]]:
+        root = {c: c for c in classes}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        if len(root) > 1:
+            s = similarities(bags, idf.value)
+            for i, j in zip(*np.nonzero(s >= threshold - ROUNDING), strict=True):
+                x, y = find(classes[i]), find(classes[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), float(s[i, j])))
+        return out
 
-    With ``most``, only the best few of each text that isn't in the block's largest class.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, classes, bags = None, [], [], []
 
-    def pairs(ids: np.ndarray, cls: np.ndarray, fine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, size = np.unique(cls, return_counts=True)
-        for k in range(len(ids)) if len(names) > 1 else ():
-            if most is None:
-                others = k + 1 + np.flatnonzero(cls[k + 1 :] != cls[k])
-            elif cls[k] != names[np.argmax(size)]:
-                others = np.flatnonzero(cls != cls[k])
-            else:
-                continue
-            shared = np.count_nonzero(fine[others] == fine[k], axis=1)
-            at = np.flatnonzero(shared >= FINE_SHARED)
-            if most is not None and len(at) > most:
-                at = at[np.argpartition(-shared[at], most)[:most]]
-            if len(at):
-                yield np.full(len(at), ids[k]), ids[others[at]]
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-        held: list[dict] = []
-        last = None
-        for b in batches:
-            for r in b.to_pylist():
-                key = (r["bucket"], *r["block"].values())
-                if key != last and held:
-                    yield held
-                    held = []
-                last = key
-                held.append(r)
-        if held:
-            yield held
+        def batch(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+            a, b, s = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, n = [], [], 0
-        for g in groups(batches):
-            for x, y in pairs(np.array([r["rep"] for r in g]), np.array([r["class"] for r in g]), np.array([np.frombuffer(r["fine"], np.uint8) for r in g])):
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-                n += len(x)
-                if n > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for x in batches:
+            texts = x.column(x.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()
+            others = [x.column(x.schema.get_field_index(c)).to_pylist() for c in ("bucket", "block", "rep", "class")]
+            for bucket, block, rep, cls, t in zip(*others, texts, strict=True):
+                key = (bucket, *block.values())
+                if key != last:
+                    yield batch(joins(ids, classes, bags))
+                    last, ids, classes, bags = key, [], [], []
+                ids.append(rep)
+                classes.append(cls)
+                bags.append(shingles(t or b""))
+        yield batch(joins(ids, classes, bags))
 
     return run
 
 
-def _fine(reps: DataFrame, rows: DataFrame, idf: Weights) -> DataFrame:
-    """(rep, fine): one byte of each of FINE samples, of the texts in reps only."""
+def _needed_texts(reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, __text): the different texts of the ids in reps."""
     bitmap = rows.sparkSession.sparkContext.broadcast(key_filter(reps.select("rep")))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,12 +441,7 @@ def _fine(reps: DataFrame, rows: DataFrame, idf: Weights) -> DataFrame:
             i = b.column(0)
             yield b.filter(pa.array(has(bitmap.value, np.array(i.fill_null(0))) & np.array(i.is_valid())))
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["rep", "fine"])
-
-    texts = rows.select("__id", "digest", "__text").mapInArrow(needed, "__id long, digest binary, __text string")
-    return signatures(texts, idf, FINE).select("__id", "sketch").mapInArrow(low, "rep long, fine binary").distinct()
+    return rows.select("__id", "digest", "__text").mapInArrow(needed, "__id long, digest binary, __text string").dropDuplicates(["__id", "digest"]).select(F.col("__id").alias("rep"), "__text")
 
 
 def _unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
@@ -470,21 +492,15 @@ def links(reps: DataFrame, rows: DataFrame, idf: Weights, threshold: float, band
     member = materialise(member.join(materialise(hubs, "hubs"), "bucket"), "members")
     stars = _alike(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps, LEAST_SHARED)
     found = materialise(verify(materialise(stars, "stars"), rows, idf, threshold), "links")
-    # what is left: all pairs of a bucket that aren't of one class, first the nearest few of each text, then all others
-    tried = member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    fine = None
-    for most in (FIRST_TRIED, None):
-        left = materialise(_unsettled(member, found), "unsettled")
-        if left.isEmpty():
-            break
-        if fine is None:
-            fine = materialise(_fine(left, rows, idf).join(left.select("rep").distinct(), "rep", "left_semi"), "fine")
-        pairs = _dealt(left).join(fine, "rep").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_candidates(most), "a long, b long").distinct()
-        more = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "nearest")
-        if not more.isEmpty():
-            found = found.unionByName(materialise(verify(more, rows, idf, threshold), "links"))
-            tried = tried.unionByName(more)
-    return found
+    # what is left: members of a bucket that aren't of one class, all with all
+    left = materialise(_unsettled(member, found), "unsettled")
+    if left.isEmpty():
+        return found
+    table = spark.sparkContext.broadcast(idf)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _dealt(left).join(_needed_texts(left, rows), "rep").repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+    more = blocks.mapInArrow(_block_links(table, threshold), "a long, b long, similarity double")
+    return found.unionByName(materialise(more.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
