@@ -32,6 +32,8 @@ from linkmap.llm.common import tune
 
 #: Pieces and words that a worker remembers; beyond it the older half is forgotten.
 CACHE = 400_000
+#: Longer ones are not remembered, so what a worker remembers has a bound in bytes.
+LONG = 64
 PAIRS = 1_000_000
 
 #: Fixed: how byte-level BPE files cut a text before merging.
@@ -46,7 +48,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Recent(dict):
-    """A memo of two generations with a bounded number of entries."""
+    """A memo of two generations with a bounded number of entries, none of them for a key longer than LONG."""
 
     def __init__(self, make, limit: int):
         super().__init__()
@@ -56,6 +58,8 @@ class _Recent(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        if not isinstance(key, int) and len(key) > LONG:
+            return found
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

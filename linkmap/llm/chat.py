@@ -11,8 +11,9 @@ Conversations are sorted by their path of turn hashes and then by id, which is
 the depth-first order, and are range-partitioned by that: a first turn that a
 third of all conversations share, or a conversation that as many repeat, is
 cut between tasks, at the price of writing the shared path once more for each
-cut.  Nothing holds more than one path of a tree at a time, and a
-conversation's turns stream through in order.
+cut.  Nothing holds more than one path of a tree at a time; one
+conversation, whose turns are one row there, is the largest unit that a task
+holds.
 
 Texts can hold anything: ``<|`` and its escapes get a backslash more, which
 is taken away on reading, so no text forms a control string.  Loss falls on
@@ -20,7 +21,8 @@ the texts of assistant turns and nothing else.
 
 Defined results: a null text or role is empty; turns are ordered by number,
 nulls first, then role, then text; repeated rows are turns of their own; rows
-without conv_id form one conversation without id; an empty table gives none.
+without conv_id form one conversation without id; an empty table gives none;
+other columns, whatever their names, aren't carried.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def _path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(items: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(
-            [{"conv_id": i, "path": p, "turns": t} for i, p, t in items],
+            [{"conv_id": i, "path": bytes(p), "turns": t} for i, p, t in items],
             schema=pa.schema([("conv_id", pa.int64()), ("path", pa.binary()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))]),
         )
 
@@ -118,7 +120,7 @@ def _path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not begun or conv != state[0]:
                 if begun:
                     out.append(tuple(state))
-                state, begun = [conv, b"", []], True
+                state, begun = [conv, bytearray(), []], True
             one = hashlib.blake2b(f"{len(role)}:{role}{text}".encode("utf-8", "surrogatepass"), digest_size=12).digest()
             state[1] += one
             state[2].append({"role": role, "text": text})

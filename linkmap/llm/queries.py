@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,13 @@ BYTE_BPE = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; asked for only by the queries that need one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,7 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
+    path = vocabulary(BYTE_BPE)
     ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
     return bpe.decode(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -50,7 +56,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_RANKS))
+    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(BYTE_RANKS))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
