@@ -164,7 +164,7 @@ def chain_adjacent(sizes: dict[int, int], links: list[tuple], fix_direction: boo
 def _rebuilt(spark: SparkSession, paths: DataFrame, chains: list[list[tuple[int, bool]]], min_size: int) -> DataFrame:
     rows = [(c, k, tid, turned) for c, chain in enumerate(chains) for k, (tid, turned) in enumerate(chain)]
     plan = spark.createDataFrame(rows, "chain long, k long, tid long, turned boolean") if rows else spark.createDataFrame([], "chain long, k long, tid long, turned boolean")
-    placed = paths.join(F.broadcast(plan), "tid")  # a row for each path
+    placed = paths.join(plan, "tid")  # a row for each path: Spark broadcasts it while it is small
     where = F.when(F.col("turned"), -F.col("tpos")).otherwise(F.col("tpos"))
     arrays = placed.groupBy("chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", where.alias("p"), "mol"))), lambda x: x["mol"]).alias("path"))
     return numbered(cut_lineage(arrays.where(F.size("path") >= min_size), "paths"))
