@@ -386,6 +386,12 @@ _CUT = """steps AS (SELECT ego, a, b FROM ego UNION ALL SELECT ego, b, a FROM eg
  cut AS (SELECT DISTINCT s.ego, s.a FROM steps s JOIN seeds USING (ego) WHERE seeds.gone = s.a AND NOT EXISTS (SELECT 1 FROM roam r WHERE r.ego = s.ego AND r.gone = s.a AND r.x = s.b)),
  stay AS (SELECT a ego, b a FROM sym ANTI JOIN cut ON cut.ego = sym.a AND cut.a = sym.b), kept AS (SELECT s.ego, s.a, s.b FROM steps s ANTI JOIN cut c ON c.ego = s.ego AND c.a = s.a ANTI JOIN cut d ON d.ego = s.ego AND d.a = s.b),
  walk(ego, a, x) AS (SELECT ego, a, a FROM stay UNION SELECT w.ego, w.a, k.b FROM walk w JOIN kept k ON k.ego = w.ego AND k.a = w.x), parts AS (SELECT ego, a, min(x) part FROM walk GROUP BY 1, 2)"""
+# an edge stays if its ends' rows of the squared adjacency have a cosine of 0.75, in single precision; fewer than four are one part
+_SQCOS = """steps AS (SELECT ego, a, b FROM ego UNION ALL SELECT ego, b, a FROM ego), members AS (SELECT a ego, b a FROM sym), per_ego AS (SELECT ego, count(*) k FROM members GROUP BY ego),
+ sq AS (SELECT p.ego, p.a, q.b c, count(*) w FROM steps p JOIN steps q ON q.ego = p.ego AND q.a = p.b GROUP BY 1, 2, 3), norms AS (SELECT ego, a, CAST(sqrt(CAST(sum(w * w) AS REAL)) AS REAL) l FROM sq GROUP BY 1, 2),
+ dots AS (SELECT s.ego, s.a, s.b, sum(x.w * y.w) d FROM steps s JOIN sq x ON x.ego = s.ego AND x.a = s.a JOIN sq y ON y.ego = s.ego AND y.a = s.b AND y.c = x.c GROUP BY 1, 2, 3),
+ kept AS (SELECT d.ego, d.a, d.b FROM dots d JOIN norms m ON m.ego = d.ego AND m.a = d.a JOIN norms k ON k.ego = d.ego AND k.a = d.b WHERE CAST(d.d AS REAL) / (m.l * k.l) >= CAST(0.75 AS REAL)),
+ walk(ego, a, x) AS (SELECT ego, a, a FROM members UNION SELECT w.ego, w.a, k.b FROM walk w JOIN kept k ON k.ego = w.ego AND k.a = w.x), parts AS (SELECT ego, a, CASE WHEN k < 4 THEN '' ELSE min(x) END part FROM walk JOIN per_ego USING (ego) GROUP BY ego, a, k)"""
 # triangles that share an edge are one part; an edge stands for its part
 _K3 = """tri AS (SELECT x.ego, x.a, x.b, y.b c FROM ego x JOIN ego y ON y.ego = x.ego AND y.a = x.b JOIN ego z ON z.ego = x.ego AND z.a = x.a AND z.b = y.b),
  te AS (SELECT ego, a || ' ' || b || ' ' || c t, unnest([a || ' ' || b, a || ' ' || c, b || ' ' || c]) e FROM tri), next_e AS (SELECT DISTINCT p.ego, p.e e, q.e f FROM te p JOIN te q ON q.ego = p.ego AND q.t = p.t),
@@ -404,6 +410,7 @@ MOL_SQL = {
     "molecules_cc": f"{_EGO_ALL}, {_ASG} SELECT u, v, mol FROM asg",
     "molecules_bc": f"{_EGO_BARE}, {_CUT}, {_ASG} SELECT u, v, mol FROM asg",
     "molecules_bc_cc": f"{_EGO_BARE}, {_CUT}, {_ASG} SELECT u, v, mol FROM asg",
+    "molecules_sqcos": f"{_EGO_BARE}, {_SQCOS}, {_ASG} SELECT u, v, mol FROM asg",
     "molecules_k3": f"{_EGO_BARE}, {_K3} SELECT u, v, mol FROM asg",
     "molecule_edges": f"{_EGO_ALL}, {_ASG}, {_MOL} SELECT u, v, m FROM mol_edges",
     "molecule_graph": f"{_EGO_ALL}, {_ASG}, {_MOL}, ends AS (SELECT u id FROM mol_edges UNION SELECT v FROM mol_edges) SELECT id, n m, CAST(regexp_extract(id, '_([0-9]+)$', 1) AS BIGINT) mol FROM ends JOIN sizes ON bx = {_BX.format('id')}",
@@ -503,7 +510,24 @@ _LINKS = f"""strong_links AS (SELECT e.* FROM evidence e JOIN sizes x ON x.tid =
 _FOREST = """ranked AS (SELECT u, v, m, row_number() OVER (ORDER BY m DESC, u, v) r FROM edges), by_end AS (SELECT r, u a, v b FROM ranked UNION ALL SELECT r, v, u FROM ranked),
  ways(r, x) AS (SELECT r, u FROM ranked UNION SELECT w.r, e.b FROM ways w JOIN by_end e ON e.a = w.x AND e.r < w.r), forest AS (SELECT u, v, m FROM ranked f WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.r = f.r AND w.x = f.v))"""
 
+
+
+def _pruned_sql(rounds: int) -> str:
+    """pruned(u, v, m): branches of one or two vertices' depth go from vertices of degree three and more, all at once, so many times."""
+    steps = ["t0 AS (SELECT u a, v b, m FROM forest UNION ALL SELECT v, u, m FROM forest)"]
+    for k in range(rounds):
+        steps += [
+            f"deg{k} AS MATERIALIZED (SELECT a, count(*) d FROM t{k} GROUP BY a)",
+            f"deep{k} AS MATERIALIZED (SELECT y.a v, y.b w FROM t{k} y JOIN deg{k} g ON g.a = y.b WHERE g.d > 1)",
+            f"short{k} AS MATERIALIZED (SELECT x.a u, x.b v FROM t{k} x JOIN deg{k} g ON g.a = x.a WHERE g.d >= 3 AND NOT EXISTS (SELECT 1 FROM deep{k} z WHERE z.v = x.b AND z.w <> x.a))",
+            f"lost{k} AS MATERIALIZED (SELECT v x FROM short{k} UNION SELECT y.b FROM short{k} s JOIN t{k} y ON y.a = s.v AND y.b <> s.u)",
+            f"t{k + 1} AS MATERIALIZED (SELECT * FROM t{k} WHERE a NOT IN (SELECT x FROM lost{k}) AND b NOT IN (SELECT x FROM lost{k}))",
+        ]
+    return ", ".join([*steps, f"pruned AS (SELECT a u, b v, m FROM t{rounds} WHERE a < b)"])
+
+
 PATH_SQL = {
+    "prune": f"WITH RECURSIVE {INC}, {EDGES % EGO_M}, {_FOREST}, {_pruned_sql(8)} SELECT u, v, m FROM pruned",
     "spanning_forest": f"WITH RECURSIVE {INC}, {EDGES % EGO_M}, {_FOREST} SELECT u, v, m FROM forest",
     "adjacent_ends": f"""WITH {X.TILES_SQL}, {EDGES % TILE_M}, {_tile_paths_sql(gap=1)}, {_SYM}, sizes AS (SELECT tid, count(*) n FROM paths GROUP BY tid HAVING count(*) >= 2), ends AS (SELECT mol x, tid, tpos > 0 is_last FROM paths JOIN sizes USING (tid) WHERE tpos = 0 OR tpos = n - 1),
  hop AS (SELECT a, b FROM sym UNION SELECT s.a, t.b FROM sym s JOIN sym t ON t.a = s.b WHERE s.b NOT IN (SELECT mol FROM paths)) SELECT DISTINCT p.tid a, q.tid b, p.is_last a_last, q.is_last b_last FROM hop JOIN ends p ON p.x = hop.a JOIN ends q ON q.x = hop.b WHERE p.tid <> q.tid""",
