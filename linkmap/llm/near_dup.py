@@ -98,8 +98,13 @@ PIECE = 1 << 18
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word of a text, by prefix sums; long texts go in pieces that end between words."""
-    out, at = [], 0
+    """A hash of each word of a text."""
+    return word_spans(text)[0]
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of a text, by prefix sums, and where it begins and ends; long texts go in pieces that end between words."""
+    out, spans, at = [], [], 0
     while at < len(text):
         end = min(len(text), at + PIECE)
         if end < len(text):
@@ -117,8 +122,10 @@ def word_hashes(text: bytes) -> np.ndarray:
         start = np.flatnonzero(gap[:-1] & ~gap[1:])
         stop = np.flatnonzero(~gap[:-1] & gap[1:])
         out.append(mix((total[stop] - total[start]) * down[start]))
+        spans.append((start + at, stop + at))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([none, *(x for x, _ in spans)]), np.concatenate([none, *(y for _, y in spans)])
 
 
 def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
