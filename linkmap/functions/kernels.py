@@ -107,6 +107,93 @@ def kmers_of(seqs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, at - begin[row], x
 
 
+def _canonical(c: np.ndarray, k: int) -> np.ndarray:
+    """The lesser of both strands at all starts, valid or not, of bases' codes."""
+    c = c & 3
+    return np.minimum(_wide(c, k), _wide((3 - c)[::-1].copy(), k)[::-1])
+
+
+def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each window of w, by doubling."""
+    width = 1
+    while 2 * width <= w:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[: width - w], h[w - width :]) if width < w else h
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1... for n places each."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+#: Buckets of k-mers, and which share of a piece's k-mers makes a bucket hot, where it has so many.
+BUCKETS, HOT_SHARE, HOT_LEAST = 2048, 32, 4096
+
+
+def packed_kmers(seqs: list[bytes], k: int) -> list[tuple[int, bool, bytes, bytes]]:
+    """(bucket, counted, n, data): the canonical k-mers, k at most 32, by a bucket that their least inner word makes.
+
+    Neighbours mostly share it, so a bucket's k-mers are runs of bases: n has a
+    byte for each run's k-mers but one, data two bits for each base.  A hot
+    bucket has its distinct k-mers in data and their counts in n.
+    """
+    buf, _ = joined(seqs)
+    c = _CODE[np.frombuffer(buf, np.uint8)]
+    if len(c) < k:
+        return []
+    at = _wholly_valid(c > 3, k)
+    if not len(at):
+        return []
+    m = min(k, 6 + k // 8)
+    bucket = (mix64(_window_minima(mix64(_canonical(c, m)), k - m + 1)[at]) % np.uint64(BUCKETS)).astype(np.int64)
+    out = []
+    n = np.bincount(bucket, minlength=BUCKETS)
+    for x in np.flatnonzero(n > max(HOT_LEAST, len(at) // HOT_SHARE)).tolist():
+        mine = bucket == x
+        code, times = np.unique(_canonical(c, k)[at[mine]], return_counts=True)
+        out.append((x, True, times.astype("<i8").tobytes(), code.astype("<u8").tobytes()))
+        at, bucket = at[~mine], bucket[~mine]
+    if not len(at):
+        return out
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (bucket[1:] != bucket[:-1])])
+    first = np.flatnonzero(new | (numbered(np.cumsum(new)) % 256 == 0))
+    n = np.diff(np.append(first, len(at)))
+    order = np.argsort(bucket[first], kind="stable")
+    first, n = first[order], n[order]
+    owner = bucket[first]
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    stop = np.append(begin[1:], len(owner))
+    bases = n + k - 1
+    size = -(-np.add.reduceat(bases, begin) // 4) * 4  # each bucket's bases begin with a byte
+    to = np.cumsum(bases) - bases
+    to += np.repeat(np.cumsum(size) - size - to[begin], stop - begin)
+    flat = np.zeros(int(size.sum()), np.uint8)
+    flat[_spread(to, bases)] = c[_spread(at[first], bases)]
+    packed = (flat[0::4] << 6 | flat[1::4] << 4 | flat[2::4] << 2 | flat[3::4]).tobytes()
+    n = (n - 1).astype(np.uint8)
+    for x, a, z, p, q in zip(owner[begin].tolist(), begin.tolist(), stop.tolist(), ((np.cumsum(size) - size) // 4).tolist(), (np.cumsum(size) // 4).tolist(), strict=True):
+        out.append((x, False, n[a:z].tobytes(), packed[p:q]))
+    return out
+
+
+def unpacked_kmers(n: list[bytes], data: list[bytes], k: int) -> np.ndarray:
+    """The canonical k-mers of runs in packed_kmers' form."""
+    if not n:
+        return EMPTY[1]
+    packed = np.frombuffer(b"".join(data), np.uint8)
+    flat = np.empty(4 * len(packed), np.uint8)
+    for i in range(4):
+        flat[i::4] = packed >> (6 - 2 * i) & 3
+    runs = np.frombuffer(b"".join(n), np.uint8).astype(np.int64) + 1
+    count = np.array([len(x) for x in n])
+    bases = runs + k - 1
+    begin = np.cumsum(bases) - bases
+    size = np.array([4 * len(x) for x in data])
+    begin += np.repeat(np.cumsum(size) - size - begin[np.cumsum(count) - count], count)
+    return _canonical(flat, k)[_spread(begin, runs)]
+
+
 def _leftmost_minima(h: np.ndarray, w: int) -> np.ndarray:
     """Index of the leftmost least hash of each window of w hashes, by doubling."""
     if w <= 0 or len(h) < w:

@@ -13,14 +13,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkmap.functions import kernels as K
 from linkmap.operators import sequences
 
 CAP, MOST = 10_000, 65_535
 
 
+#: Bytes of packed k-mers, and distinct ones, that a task counts at a time.
+COUNTED, HELD = 1 << 20, 1 << 19
+
+
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(code, n) of the reads' canonical k-mers, with counts capped as a 16-bit counter is."""
-    return sequences.kmer_tallies(reads, k).groupBy("code").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
+    """(code, n) of the reads' canonical k-mers, with counts capped as a 16-bit counter is.
+
+    Up to 32 bases k-mers move as packed runs by bucket, some two bytes each, and
+    a task has all of its buckets' k-mers and holds one bucket's distinct ones.
+    """
+    if not 0 < k <= 32:
+        return sequences.kmer_tallies(reads, k).groupBy("code").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        rows: list[tuple[bool, bytes, bytes]] = []
+        size, last = 0, None
+
+        def add() -> None:
+            nonlocal code, times, rows, size
+            runs = [x for x in rows if not x[0]]
+            found, n = np.unique(K.unpacked_kmers([x[1] for x in runs], [x[2] for x in runs], k), return_counts=True)
+            told = [x for x in rows if x[0]]
+            code = np.concatenate([code, found, *(np.frombuffer(x[2], "<u8") for x in told)])
+            times = np.concatenate([times, n, *(np.frombuffer(x[1], "<i8") for x in told)])
+            order = np.argsort(code, kind="stable")
+            code, times = code[order], times[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            code, times = code[first], np.add.reduceat(times, first) if len(first) else times
+            rows, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal code, times
+            n = np.minimum(times, MOST)
+            for a in range(0, len(code), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + HELD].view(np.int64)), pa.array(n[a : a + HELD])], names=["code", "n"])
+            code, times = code[:0], times[:0]
+
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size > COUNTED:
+                    add()
+                if bucket != last and len(code) > HELD:
+                    add()
+                    yield from out()
+                last = bucket
+                rows.append(tuple(row))
+                size += len(row[1]) + len(row[2])
+        add()
+        yield from out()
+
+    n_parts = min(K.BUCKETS, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = sequences.packed_kmers(reads, k).repartitionById(n_parts, F.pmod("bucket", F.lit(n_parts)).cast("int")).sortWithinPartitions("bucket")
+    return packed.mapInArrow(count, "code long, n long")
 
 
 def approximate_counts(reads: DataFrame, k: int, width: int, depth: int = 4) -> CountMin:

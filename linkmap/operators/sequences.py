@@ -19,6 +19,10 @@ from linkmap.functions import kernels as K
 PIECE = 1 << 20
 #: Bits of the filter of repeated k-mers.
 FILTER_BITS = 24
+#: Repeated k-mers up to which each task has them all.
+EXACT = 1 << 22
+#: Reads of a barcodes' bucket up to which a barcode's reads meet in one task, and buckets.
+TOGETHER, BARCODE_BUCKETS = 1 << 17, 1 << 12
 
 Kernel = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -78,6 +82,18 @@ def kmer_tallies(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return df.select(F.col(seq).alias("__seq")).mapInArrow(run, "code long, n long")
 
 
+def packed_kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(bucket, counted, n, data): canonical k-mers in the form of the kernel of that name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, seqs in _pieces(b, "__seq"):
+                if found := K.packed_kmers(seqs, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "counted", "n", "data"])
+
+    return df.select(F.col(seq).alias("__seq")).mapInArrow(run, "bucket int, counted boolean, n binary, data binary")
+
+
 def _numbered(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[0], K.numbered(found[0]), found[1]
 
@@ -102,12 +118,40 @@ def _repeat_bits(repeats: DataFrame) -> np.ndarray:
     return out
 
 
-def minimizers_filtered(df: DataFrame, k: int, w: int, keep: list[str], repeats: DataFrame, seq: str = "seq") -> DataFrame:
+def _filtered(repeats: DataFrame, k: int, w: int, exact: int) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None:
+    """The kernel of minimizers that leaves out the repeats, if there are at most ``exact``."""
+    found = repeats.select("code").limit(exact + 1).toPandas()["code"].to_numpy(np.int64)
+    if len(found) > exact:
+        return None
+    h = np.unique(K.mix64(found.view(np.uint64)))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    shared = repeats.sparkSession.sparkContext.broadcast((h, np.packbits(bits)))
+
+    def make(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        known, bits = shared.value
+        row, _, x = K.kmers_of(seqs, k)
+        h = K.mix64(x)
+        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        at = np.flatnonzero(bits[slot >> 3] << (slot & 7).astype(np.uint8) & 128)
+        if len(at):
+            keep = np.ones(len(h), bool)
+            keep[at] = known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] != h[at]
+            row, h = row[keep], h[keep]
+        return K.minimizers_of_hashes(row, h, w)
+
+    return make
+
+
+def minimizers_filtered(df: DataFrame, k: int, w: int, keep: list[str], repeats: DataFrame, seq: str = "seq", exact: int = EXACT) -> DataFrame:
     """The same over the k-mers that are not in repeats (column code), which may be of any size.
 
-    A bitmap of fixed size clears most sequences, which are done on the spot;
-    only those with a k-mer that it marks meet the repeats in an anti-join.
+    Up to ``exact`` repeats each task has them all.  Of more a bitmap of fixed
+    size clears most sequences, which are done on the spot; only those with a
+    k-mer that it marks meet the repeats in an anti-join.
     """
+    if exact >= 0 and (make := _filtered(repeats, k, w, exact)):
+        return _exploded(df, seq, keep, "mx", lambda s: _numbered(make(s)))
     bits = df.sparkSession.sparkContext.broadcast(_repeat_bits(repeats))
     source = df.select(*[F.col(c) for c in keep], F.col(seq).alias("__seq"))
     kept = [source.schema[c] for c in keep]
@@ -157,11 +201,59 @@ def read_key(header: str = "header"):
     return F.coalesce(C.barcode(F.col(header)), C.first_token(F.col(header)))
 
 
-def index_linked(reads: DataFrame, k: int, w: int, repeats: DataFrame | None = None) -> DataFrame:
+def _together(rows: DataFrame, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], together: int) -> DataFrame:
+    """(bx, mx): the distinct minimizers of the rows (bx, seq), which make gives of some sequences.
+
+    Sequences are far smaller than their minimizers, so a barcode's sequences
+    meet in one task, sorted, and give each minimizer once.  Barcodes of buckets
+    with more than ``together`` reads are too many for a task; their minimizers
+    are told apart by a shuffle.
+    """
+    bucket = F.pmod(F.xxhash64("bx"), F.lit(BARCODE_BUCKETS)).cast("int")
+    hot = [r[0] for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).collect()]
+    schema = T.StructType([rows.schema["bx"], T.StructField("mx", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = None, np.zeros(0, np.uint64)  # the barcode before, and its minimizers so far
+        begun = False
+        for b in batches:
+            names = b.column(0)
+            for begin, seqs in _pieces(b, "seq"):
+                code = names.slice(begin, len(seqs)).dictionary_encode(null_encoding="encode")
+                own = np.array(code.indices)
+                row, h = make(seqs)
+                order = np.lexsort((h, own[row]))
+                group, h = own[row[order]], h[order]
+                if len(h):
+                    first = np.concatenate([[True], (group[1:] != group[:-1]) | (h[1:] != h[:-1])])
+                    group, h = group[first], h[first]
+                keys = code.dictionary.to_pylist()
+                if begun and keys[own[0]] == last:
+                    new = (group != own[0]) | ~np.isin(h, given)
+                    group, h = group[new], h[new]
+                else:
+                    given = given[:0]
+                mine = h[group == own[-1]]
+                given = np.concatenate([given, mine]) if own[-1] == own[0] else mine
+                last, begun = keys[own[-1]], True
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(group)), pa.array(h.view(np.int64))], names=schema.names)
+
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.where(~bucket.isin(hot)).repartition(n_parts, "bx").sortWithinPartitions("bx").mapInArrow(run, schema)
+    if hot:
+        out = out.unionByName(_exploded(rows.where(bucket.isin(hot)), "seq", ["bx"], "mx", lambda s: _numbered(make(s))).select("bx", "mx").distinct())
+    return out
+
+
+def _index(rows: DataFrame, k: int, w: int, repeats: DataFrame | None, together: int, exact: int) -> DataFrame:
+    make = (lambda s: K.minimizers_of(s, k, w)) if repeats is None else _filtered(repeats, k, w, exact)
+    return _together(rows, make, together) if make else minimizers_filtered(rows, k, w, ["bx"], repeats, exact=-1).select("bx", "mx").distinct()
+
+
+def index_linked(reads: DataFrame, k: int, w: int, repeats: DataFrame | None = None, together: int = TOGETHER, exact: int = EXACT) -> DataFrame:
     """incidence(bx, mx) of linked reads: the union of their minimizers by barcode."""
-    rows = reads.select(read_key().alias("bx"), "seq")
-    mx = minimizers(rows, k, w, ["bx"]) if repeats is None else minimizers_filtered(rows, k, w, ["bx"], repeats)
-    return mx.select("bx", "mx").distinct()
+    return _index(reads.select(read_key().alias("bx"), "seq"), k, w, repeats, together, exact)
 
 
 def index_long(reads: DataFrame, k: int, w: int, repeats: DataFrame | None = None) -> DataFrame:

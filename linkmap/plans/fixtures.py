@@ -118,9 +118,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contigs(spark, sf_dir)
     n = c.agg(F.count(F.lit(1)).alias("n"))  # one row
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_no"), F.col("o_custkey").cast("string").alias("cust")).join(F.broadcast(n)).withColumn("ord", F.col("rec_no") % F.col("n"))
+    # a small table comes in one partition; reads are for all cores, and orders are smaller to move
+    o = o.repartition(2 * spark.sparkContext.defaultParallelism, "ord")
     met = o.join(c, "ord").withColumn("s", F.substring("seq", ((37 * F.col("rec_no")) % (F.length("seq") - 150) + 1).cast("int"), F.lit(150)))
     r, cust, s = F.concat(F.lit("r"), F.col("rec_no")), F.col("cust"), F.col("s")
     header = F.when(F.col("rec_no") % 4 == 0, F.concat(r, F.lit(" BX:Z:"), cust, F.lit("-1"))).when(F.col("rec_no") % 4 == 1, F.concat(r, F.lit("#"), cust, F.lit("_1_2 x"))).when(F.col("rec_no") % 4 == 2, F.concat(r, F.lit("#0_0_0"))).otherwise(r)
     seq = F.when(F.col("rec_no") % 7 == 0, F.lower(s)).when(F.col("rec_no") % 11 == 0, F.concat(F.substring(s, 1, 75), F.lit("N"), F.substring(s, 77, 150))).otherwise(s)
-    # a small table's joins come out in one partition; reads are for all cores
-    return met.select("rec_no", header.alias("header"), seq.alias("seq")).repartition(2 * spark.sparkContext.defaultParallelism)
+    return met.select("rec_no", header.alias("header"), seq.alias("seq"))

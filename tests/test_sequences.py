@@ -91,6 +91,56 @@ def test_counts_and_sketches_of_reads(spark):
     assert (sketch.query(codes) >= np.array([count[int(c)] for c in codes])).all()
 
 
+def test_packed_kmers_are_few_bytes_and_give_back_all(monkeypatch):
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGTacgtN" if j % 5 == 0 else "ACGT") for _ in range(rng.choice([0, 3, 40, 150]))).encode() for j in range(300)] + [b"A" * 900]
+    for k in (1, 9, 16, 31, 32):
+        for least in (50, 1 << 30):  # with and without hot buckets
+            monkeypatch.setattr(K, "HOT_LEAST", least)
+            got = Counter()
+            packed = K.packed_kmers(seqs, k)
+            for bucket in {x[0] for x in packed}:
+                for _, counted, n, data in (x for x in packed if x[0] == bucket):
+                    found = {v: int(c) for v, c in zip(np.frombuffer(data, "<u8"), np.frombuffer(n, "<i8"))} if counted else Counter(K.unpacked_kmers([n], [data], k).tolist())
+                    got.update({int(v): c for v, c in found.items()})
+            assert got == Counter(K.kmers_of(seqs, k)[2].tolist()), (k, least)
+    reads = ["".join(rng.choice("ACGT") for _ in range(150)).encode() for _ in range(2000)]
+    packed = K.packed_kmers(reads, 16)
+    assert sum(len(n) + len(data) for _, _, n, data in packed) < 2 * 135 * 2000  # they were 16 bytes each
+    assert K.packed_kmers([], 5) == K.packed_kmers([b"ACG"], 5) == K.packed_kmers([b"NNNNNNN"], 5) == []
+
+
+def test_incidence_is_told_apart_before_it_moves(spark):
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(600))
+    rows = []
+    for i in range(300):
+        a = rng.randrange(500)
+        rows.append((i, [f"r{i} BX:Z:hot", f"r{i} BX:Z:b{i % 7}", f"r{i}", None][i % 4], None if i % 50 == 1 else genome[a : a + 80]))
+    df = spark.createDataFrame(rows, "rec_no long, header string, seq string").repartition(3)
+    counts = Counter(v for _, _, s in rows if s for _, v in kmers(s, 9))
+    drop = {v for v, n in counts.items() if n >= 30}
+    rep = repeats.repeated_kmers(repeats.kmer_counts(df, 9), 30)
+    for some in (None, rep):
+        want = set()
+        for i, head, s in rows:
+            key = None if head is None else head.split("Z:")[1] if "Z:" in head else head
+            h = [mix(v) for _, v in kmers(s or "", 9) if some is None or v not in drop]
+            starts = range(max(1, len(h) - 4)) if some is not None and h else range(len(h) - 4)
+            want |= {(key, min(h[j : j + 5])) for j in starts}
+        for more in ({}, {"together": 20}, {"exact": 3}):
+            got = [(r.bx, r.mx & M) for r in sequences.index_linked(df, 9, 5, some, **more).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, more
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a barcode in several batches
+    try:
+        got = [(r.bx, r.mx & M) for r in sequences.index_linked(df, 9, 5, rep).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = sequences.index_linked(df, 9, 5, rep)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1  # reads move, not their minimizers
+
+
 def test_columns(spark):
     heads = ["read1 BX:Z:ACGTACGT-1 more", "read1#123_456_789", "r#0", "r#0_0_0", "plain", "a#b BX:Z:x", "r BX:Z: y"]
     got = [r.b for r in spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string").orderBy("i").select(C.barcode(F.col("h")).alias("b")).collect()]
