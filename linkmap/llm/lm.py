@@ -275,6 +275,14 @@ class Attention:
         rows = np.zeros((voc.begin + 1, voc.classes)) if rows is None else rows
         self.last = np.log((rows + PRIOR * voc.share) / (rows.sum(1, keepdims=True) + PRIOR)).astype(np.float32)
 
+    def _hold(self, x: np.ndarray) -> np.ndarray | None:
+        """Hold exponents within the bounds; says which were beyond them, if any were."""
+        if x.max(initial=0) <= self._MOST and x.min(initial=0) >= -self._MOST:
+            return None
+        out = np.abs(x) > self._MOST
+        np.clip(x, -self._MOST, self._MOST, out=x)
+        return out
+
     def forward(self, seen: np.ndarray):
         p = self.p
         x = p["embed"][seen]
@@ -282,7 +290,7 @@ class Attention:
         q, k, v = np.matmul(x.reshape(1, -1, WIDTH), p["qkv"]).reshape(3, *x.shape)
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(WIDTH**-0.5)
-        np.clip(s, -self._MOST, self._MOST, out=s)
+        self.held = self._hold(s)
         np.exp(s, out=s)
         s *= self._PAST
         s /= s @ np.ones((WINDOW, 1), np.float32)
@@ -292,7 +300,7 @@ class Attention:
     def exponents(self, h: np.ndarray, seen: np.ndarray) -> np.ndarray:
         z = h @ self.p["classes"]
         z += self.last.take(seen, axis=0)
-        np.clip(z, -self._MOST, self._MOST, out=z)
+        self.held_logits = self._hold(z)
         return np.exp(z, out=z)
 
     def log_classes(self, seen: np.ndarray, scored: np.ndarray, cls: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -316,6 +324,8 @@ class Attention:
         loss = -float((np.log(np.maximum(own, 1e-30)) * weight).sum())
         z *= weight[:, None] / total
         z[at, target.ravel()] -= weight
+        if self.held_logits is not None:
+            z[self.held_logits] = 0
         g = {"classes": h.T @ z}
         dh = z @ p["classes"].T
         dh *= 1 - h * h
@@ -326,6 +336,8 @@ class Attention:
         ds -= (dc * c).sum(-1, keepdims=True)
         ds *= s
         ds *= scale
+        if self.held is not None:  # what is held doesn't change with its arguments
+            ds[self.held] = 0
         d = np.stack([ds @ k, ds.transpose(0, 2, 1) @ q, dv]).reshape(3, -1, WIDTH)
         g["qkv"] = x.reshape(1, -1, WIDTH).transpose(0, 2, 1) @ d
         dx = (d @ p["qkv"].transpose(0, 2, 1)).sum(0)
