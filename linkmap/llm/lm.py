@@ -16,9 +16,10 @@ What is learned from the corpus, all of it from all training texts:
 
 * word counts, by an aggregate that combines before it shuffles;
 * counts of neighbouring ids, by another; the model's tables (classes, the last
-  id's logits, ids within classes) are the likeliest ones by these counts.  A
-  model has the ``PAIRS`` most frequent pairs within classes, and the others by
-  their ids' frequencies;
+  id's logits, ids within classes) are the likeliest ones by these counts.  All
+  pairs of an input and an id have their probability within the id's class: the
+  ``PAIRS`` most frequent are broadcast, and words with others meet these in a
+  join;
 * the attention's weights, by gradient steps.  Texts are dealt by a hash of id
   and text into shards of about ``SHARD`` ids (more from ``MOST_SHARDS`` on, so
   that what is gathered has a bound) and into ``ROUNDS`` rounds.  In each round
@@ -61,7 +62,7 @@ WINDOW, STRIDE, WIDTH = 16, 12, 8
 OWN_CLASSES, MORE_CLASSES = 32, 16
 #: Ids with embeddings of their own, and embeddings that the others share.
 OWN_INPUTS, SHARED_INPUTS = 4096, 256
-#: Pairs of neighbouring ids whose own probability within the second one's class a model has.
+#: Pairs of an input and an id that are broadcast with the model.
 PAIRS = 1 << 20
 #: Taken off a pair's count, and classes' frequencies as so many sightings, where a row of counts is smoothed.
 DISCOUNT, PRIOR = 0.75, 8.0
@@ -191,16 +192,24 @@ class Vocabulary:
 
 
 class Pairs:
-    """Probabilities of ids within their class after the last input: those of frequent pairs, and what their rows leave to frequencies."""
+    """Probabilities of ids within their class after the last input: those of the pairs given, and what all pairs leave to frequencies."""
 
-    def __init__(self, voc: Vocabulary, seen: np.ndarray, ids: np.ndarray, n: np.ndarray, rows: np.ndarray):
-        """Pairs (input, id, count), and the counts of all (input, class), whether their pairs are given or not."""
+    def __init__(self, voc: Vocabulary, seen: np.ndarray, ids: np.ndarray, n: np.ndarray, rows: np.ndarray, distinct: np.ndarray | None = None):
+        """Pairs (input, id, count), the counts of all (input, class), and of how many pairs these are, if others are elsewhere."""
         self.n = len(voc.cls)
         cls = voc.cls[ids]
         total = rows[seen, cls]
         share = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
-        self.left = 1.0 - np.bincount(seen * voc.classes + cls, weights=share, minlength=rows.size).reshape(rows.shape)
+        given = np.bincount(seen * voc.classes + cls, minlength=rows.size).reshape(rows.shape)
+        if distinct is None:
+            distinct = given
+            self.left = 1.0 - np.bincount(seen * voc.classes + cls, weights=share, minlength=rows.size).reshape(rows.shape)
+        else:
+            self.left = np.where(distinct > 0, DISCOUNT * distinct / np.maximum(rows, 1), 1.0)
         np.clip(self.left, 1e-6, 1, out=self.left)
+        #: Which (input, class) have pairs that are elsewhere.
+        self.partial = distinct > given
+        self.all_given = not self.partial.any()
         self.keys, self.share = seen * self.n + ids, share
         self.bits = max(4, int(np.ceil(np.log2(len(n) + 1))) + 2)
 
@@ -222,6 +231,10 @@ class Pairs:
             todo, slot = todo[rest], (slot[rest] + 1) & full
 
     def log_within(self, seen: np.ndarray, ids: np.ndarray, voc: Vocabulary) -> np.ndarray:
+        return np.log(self.within(seen, ids, voc)[0])
+
+    def within(self, seen: np.ndarray, ids: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities by the pairs given, and the places whose pair may be elsewhere."""
         keys = seen * self.n + ids
         slot = self._slots(keys)
         found, todo = np.zeros(len(keys)), np.arange(len(keys))
@@ -231,7 +244,8 @@ class Pairs:
             found[todo[hit]] = self.value[slot[hit]]
             rest = ~hit & (have >= 0)
             todo, slot = todo[rest], (slot[rest] + 1) & (len(self.at) - 1)
-        return np.log(found + self.left[seen, voc.cls[ids]] * voc.within[ids])
+        open_at = np.flatnonzero((found == 0) & self.partial[seen, voc.cls[ids]]) if not self.all_given else todo
+        return found + self.left[seen, voc.cls[ids]] * voc.within[ids], open_at
 
 
 def last_inputs(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary) -> np.ndarray:
@@ -481,32 +495,53 @@ def pair_counts(texts: DataFrame, end: int) -> DataFrame:
     return texts.select("ids").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def learn_tables(pairs: DataFrame, begins: np.ndarray, end: int) -> tuple[Vocabulary, np.ndarray, Pairs]:
-    """Vocabulary, the counts of (input, class), and the model's pairs, from the counts of all pairs of ids."""
+def learn_tables(pairs: DataFrame, begins: np.ndarray, end: int, most: int | None = None) -> tuple[Vocabulary, np.ndarray, Pairs, DataFrame | None]:
+    """Vocabulary, the counts of (input, class), the model's pairs, and, if there are more than are broadcast, (key, share) of the others; from the counts of all pairs of ids."""
+    most = PAIRS if most is None else most
     counts = np.zeros(end + 1)
     for i, n in pairs.groupBy("b").agg(F.sum("n")).collect():  # a row for each id
         counts[i] = n
     voc = Vocabulary(counts, begins)
-    shared = pairs.sparkSession.sparkContext.broadcast(voc)
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast(voc)
 
-    def seen(a: np.ndarray, voc: Vocabulary) -> np.ndarray:
-        return np.where(a == end, voc.begin, voc.inputs[a])
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        for b in batches:
+            a, i, n = (np.array(c) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(a == end, voc.begin, voc.inputs[a])), pa.array(i.astype(np.int64)), pa.array(n)], names=["seen", "id", "n"])
+
+    # ids that share an input share its pairs
+    pairs = materialise(pairs.select("a", "b", "n").mapInArrow(take, "seen long, id long, n long").groupBy("seen", "id").agg(F.sum("n").alias("n")), "inputs")
+    shape = (voc.begin + 1, voc.classes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
-        total = np.zeros((voc.begin + 1, voc.classes))
+        total = np.zeros((2, *shape))
         for b in batches:
-            a, i, n = (np.array(c) for c in b.columns)
-            np.add.at(total, (seen(a, voc), voc.cls[i]), n)
+            seen, i, n = (np.array(c) for c in b.columns)
+            np.add.at(total[0], (seen, voc.cls[i]), n)
+            np.add.at(total[1], (seen, voc.cls[i]), 1)
         yield _parts(total.ravel())
 
     found = _sum_parts(pairs.mapInArrow(add, SUMS))
-    shape = (voc.begin + 1, voc.classes)
-    rows = np.concatenate([found[k] for k in sorted(found)]).reshape(shape) if found else np.zeros(shape)
-    top = pairs.orderBy(F.desc("n"), "a", "b").limit(PAIRS).toPandas()
-    a, i, n = (top[c].to_numpy(np.int64) for c in ("a", "b", "n"))
-    own = (a == end) | (voc.inputs[a] < OWN_INPUTS)  # inputs that several ids share have no pairs
-    return voc, rows, Pairs(voc, seen(a, voc)[own], i[own], n[own], rows)
+    rows, distinct = np.concatenate([found[k] for k in sorted(found)]).reshape(2, *shape) if found else np.zeros((2, *shape))
+    top = pairs.orderBy(F.desc("n"), "seen", "id").limit(most).toPandas()
+    seen, i, n = (top[c].to_numpy(np.int64) for c in ("seen", "id", "n"))
+    held = Pairs(voc, seen, i, n, rows, distinct)
+    if held.all_given:
+        return voc, rows, held, None
+    s, j, k = (int(x[-1]) for x in (seen, i, n)) if len(n) else (-1, -1, 1 << 62)
+    others = pairs.where((F.col("n") < k) | ((F.col("n") == k) & ((F.col("seen") > s) | ((F.col("seen") == s) & (F.col("id") > j)))))
+    totals = spark.sparkContext.broadcast(rows)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        for b in batches:
+            seen, i, n = (np.array(c) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(seen * len(voc.cls) + i), pa.array((n - DISCOUNT) / totals.value[seen, voc.cls[i]])], names=["key", "share"])
+
+    return voc, rows, held, others.mapInArrow(share, "key long, share double")
 
 
 def train(texts: DataFrame, voc: Vocabulary, counts: np.ndarray) -> Attention:
@@ -548,10 +583,15 @@ def train(texts: DataFrame, voc: Vocabulary, counts: np.ndarray) -> Attention:
     return model
 
 
-def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs: Pairs) -> list[np.ndarray]:
-    """The model's log probability of each word of each text, and of its end."""
+def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs: Pairs, elsewhere: list | None = None) -> list[np.ndarray]:
+    """The model's log probability of each word of each text, and of its end.
+
+    ``elsewhere`` takes arrays (word, key, probability) of the ids whose pair
+    may be among those not given; words and ends count on over all texts, and
+    the probability is the one within the class without that pair's share.
+    """
     out: list[np.ndarray] = []
-    a = 0
+    a = before = 0
     while a < len(ids):
         b, size = a, 0
         while b < len(ids) and (b == a or size < 1 << 18):
@@ -564,10 +604,15 @@ def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs:
         for seen, place, scored in windows(flat, starts, voc):
             at = place[scored]
             own[at], begin[at] = model.log_classes(seen, scored, cls[at], voc)
-        own += pairs.log_within(last_inputs(flat, starts, voc), flat.astype(np.int64), voc)
+        inputs, long = last_inputs(flat, starts, voc), flat.astype(np.int64)
+        within, open_at = pairs.within(inputs, long, voc)
+        own += np.log(within)
         # a word: its ids, the first among those that begin words, and then an id that begins the next
         first = np.flatnonzero(voc.begins[flat])
         word = np.add.reduceat(own, first) - begin[first]
+        if elsewhere is not None and len(open_at):
+            elsewhere.append((np.searchsorted(first, open_at, "right") - 1 + before, inputs[open_at] * pairs.n + long[open_at], within[open_at]))
+        before += len(first)
         last = np.zeros(len(first), bool)
         last[np.searchsorted(first, np.append(starts[1:], len(flat)) - 1)] = True
         after = np.append(begin[first[1:]], 0.0)
@@ -582,6 +627,17 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 SCORED = "__id long, __row long, h long, tf int, sub double, own struct<held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
+#: What a row has besides where pairs are elsewhere: the word's place in its text, its count if known, the pair and the probability without it.
+ELSEWHERE = ", pair struct<word:long,n:long,key:long,p:double>"
+
+
+def with_others(scored: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows with one row for each word that waited for its pairs, and ``told``, the count of those that need no join for it."""
+    pairs = scored.where(F.col("pair").isNotNull()).select("__id", "__row", "h", "sub", "pair.*").join(others, "key", "left")
+    words = pairs.groupBy("__id", "__row", "word").agg(F.max("h").alias("h"), F.max("n").alias("told"), (F.sum("sub") + F.sum(F.log1p(F.coalesce("share", F.lit(0.0)) / F.col("p")))).alias("sub"))
+    # frequent words have their count, and would be hot keys
+    words = words.withColumn("h", F.when(F.col("told").isNull(), F.col("h")).otherwise(F.xxhash64("__row", "word")))
+    return scored.where(F.col("pair").isNull()).drop("pair").unionByName(words.drop("word").withColumn("tf", F.lit(1)), allowMissingColumns=True)
 
 
 def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", heavy_bits: int = HEAVY_BITS) -> DataFrame:
@@ -600,11 +656,12 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     top = by_hash.where(F.col("n") >= floor).toPandas() if floor > 1 else by_hash.limit(1 << heavy_bits).toPandas()  # 2**heavy_bits rows at most
     top = top.sort_values("h") if len(top) else top
     texts = cut_ids(training, path, end)
-    voc, counts, pairs = learn_tables(materialise(pair_counts(texts, end), "pairs"), begins_word(path), end)
+    voc, counts, pairs, others = learn_tables(materialise(pair_counts(texts, end), "pairs"), begins_word(path), end)
     model = train(texts, voc, counts)
     below = float(np.log10(n_all + 0.5 * (v_all + 1)))
     end_log = float(np.log10(n_train + 0.5))
     weight = SMOOTHING
+    has_others = others is not None
     shared = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), voc, model, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -612,6 +669,7 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
         pairs.table()
         logs = np.log10(n_heavy + 0.5)
         kind = pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        pair_kind = pa.struct([("word", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("p", pa.float64())])
         for b in larger(batches):
             ids, numbers = b.column(0).to_pylist(), b.column(1).to_pylist()
             cut = Cut(lowered(b.column(2)), path, end)
@@ -619,30 +677,56 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
             at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
             hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
             hashes, places, hits = (cut.split(x) for x in (cut.hashes.view(np.int64), at[cut.which], hit[cut.which]))
-            subs = word_scores(cut.ids, voc, own, pairs)
-            size, out_h, out_sub, own_rows = [], [], [], []
+            elsewhere: list = []
+            subs = word_scores(cut.ids, voc, own, pairs, elsewhere)
+            open_word, key, p = (np.concatenate(x) for x in zip(*elsewhere, strict=True)) if elsewhere else (np.zeros(0, np.int64),) * 3
+            size, out_h, out_sub, own_rows, out_pairs = [], [], [], [], []
+            begin = 0  # the text's first word among all
             for i, r, h, at, found, sub in zip(ids, numbers, hashes, places, hits, subs, strict=True):
                 sub = sub + np.log(1 - weight)
+                # words with pairs that are elsewhere, and the end if it is such, wait for these
+                a, z = np.searchsorted(open_word, [begin, begin + len(sub)]) if elsewhere else (0, 0)
+                waits, begin = open_word[a:z] - begin, begin + len(sub)
                 here = np.append(n_heavy[at[found]], n_train)
+                done, rare = np.append(found, True), ~found
+                if len(waits):
+                    n_here = np.full(len(sub), -1)
+                    n_here[done] = here
+                    done[waits] = False
+                    rare[waits[waits < len(h)]] = False
+                    here = n_here[done]
+                ends = bool(done[-1])
                 known = np.log(np.maximum(weight * here / max(n_all, 1), 1e-300))
-                score = float(np.logaddexp(known, sub[np.append(found, True)]).sum()) / np.log(10)
-                base = float(logs[at[found]].sum()) + end_log - (len(h) + 1) * below
+                score = float(np.logaddexp(known, sub[done]).sum()) / np.log(10)
+                base = float(logs[at[done[:-1]]].sum()) + end_log * ends - (len(h) + 1) * below
+                if len(waits):  # a row for each such pair; the word's first one has its sum
+                    first = np.append(True, waits[1:] != waits[:-1])
+                    out_h.append(np.append(h, 0)[waits])
+                    out_sub.append(np.where(first, sub[waits], 0.0))
+                    out_pairs += [{"word": w, "n": None if n < 0 else n, "key": x, "p": y} for w, n, x, y in zip(waits.tolist(), n_here[waits].tolist(), key[a:z].tolist(), p[a:z].tolist(), strict=True)]
                 # behind its rare words the text's own row, with a key that no word has weight for
-                out_h += [h[~found], mix(np.array([r + 1], np.uint64)).view(np.int64)]
-                out_sub += [sub[:-1][~found], [0.0]]
-                size.append(len(out_h[-2]) + 1)
-                own_rows.append({"held_out": is_held_out(i), "n_tokens": len(h) + 1, "n_known": int(found.sum()) + (n_train > 0), "base": base, "score": score})
+                out_h += [h[rare], mix(np.array([r + 1], np.uint64)).view(np.int64)]
+                out_sub += [sub[:-1][rare], [0.0]]
+                size.append(len(waits) + len(out_h[-2]) + 1)
+                if has_others:
+                    out_pairs += [None] * (len(out_h[-2]) + 1)
+                own_rows.append({"held_out": is_held_out(i), "n_tokens": len(h) + 1, "n_known": int(done[:-1].sum()) + (ends and n_train > 0), "base": base, "score": score})
             if size:
                 text = np.repeat(np.arange(len(size)), size)
                 is_own = np.zeros(len(text), bool)
                 is_own[np.cumsum(size) - 1] = True
+                more = [pa.array(out_pairs, pair_kind)] if has_others else []
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(np.concatenate(out_h)), pa.array((~is_own).astype(np.int32)), pa.array(np.concatenate(out_sub)), pa.array(own_rows, kind).take(pa.array(text, mask=~is_own))],
-                    names=["__id", "__row", "h", "tf", "sub", "own"],
+                    [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(np.concatenate(out_h)), pa.array((~is_own).astype(np.int32)), pa.array(np.concatenate(out_sub)), pa.array(own_rows, kind).take(pa.array(text, mask=~is_own)), *more],
+                    names=["__id", "__row", "h", "tf", "sub", "own", "pair"][: 6 + len(more)],
                 )
 
-    scored = rows.select("__id", F.monotonically_increasing_id().alias("__row"), "__text").mapInArrow(run, SCORED)
-    known = scored.join(by_hash, "h", "left").select("__id", "__row", "tf", "sub", "own", F.coalesce("n", F.lit(0)).alias("c"))
+    scored = rows.select("__id", F.monotonically_increasing_id().alias("__row"), "__text").mapInArrow(run, SCORED + ELSEWHERE * has_others)
+    told = F.lit(None).cast("long")
+    if has_others:
+        scored = with_others(materialise(scored, "scored"), others)
+        told = F.col("told")
+    known = scored.join(by_hash, "h", "left").select("__id", "__row", "tf", "sub", "own", F.coalesce(told, "n", F.lit(0)).alias("c"))
     # a word that is far too long for exp() has no frequency beside it either
     mixed = F.when(F.col("c") > 0, F.log10(F.lit(weight / max(n_all, 1)) * F.col("c") + F.exp("sub"))).otherwise(F.col("sub") / F.lit(float(np.log(10))))
     total = known.groupBy("__id", "__row").agg(

@@ -353,6 +353,46 @@ def test_lm_gradients():
             assert abs((sides[0] - sides[1]) / 2e-5 - g[k][i]) < 1e-6, k
 
 
+def test_lm_pairs_beyond_the_broadcast_count_in_full(spark, monkeypatch):
+    """Scores don't depend on how many pairs are broadcast, and inputs that ids share have pairs too."""
+    rng = random.Random(3)
+    names = ["red", "fox", "runs", "blue", "bird", "sings", "überlang", "internationalization", "qzx" * 9]
+    docs = [(i, " ".join(rng.choice(names) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, "never seen xylophones"), (62, "red " * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "OWN_INPUTS", 8)
+    monkeypatch.setattr(lm, "SHARED_INPUTS", 4)
+
+    def run(most, **more):
+        monkeypatch.setattr(lm, "PAIRS", most)
+        return {r.doc_id: r for r in lm.score(df, lm_path(), **more).collect()}
+
+    want = run(1 << 20)
+    for most, more in ((25, {}), (6, {"heavy_bits": 3}), (0, {"heavy_bits": 3})):
+        got = run(most, **more)
+        assert set(got) == set(want)
+        for i, w in want.items():
+            assert (got[i].n_tokens, got[i].n_known) == (w.n_tokens, w.n_known), i
+            assert np.isclose(got[i].base_score, w.base_score, rtol=1e-9) and np.isclose(got[i].score, w.score, rtol=1e-6), (most, i, got[i], w)
+
+
+def test_lm_tables_have_all_pairs(spark):
+    begins = np.array([True, False] * 30 + [True])
+    rng = random.Random(1)
+    n = {(rng.randrange(61), rng.randrange(61)): rng.randrange(1, 9) for _ in range(400)}
+    pairs = spark.createDataFrame([(*k, c) for k, c in n.items()], "a int, b int, n long")
+    voc, rows, all_of, none = lm.learn_tables(pairs, begins, 60)
+    _, _, some, others = lm.learn_tables(pairs, begins, 60, most=50)
+    assert none is None and all_of.all_given and len(all_of.keys) == len(n)
+    rest = {r.key: r.share for r in others.collect()}
+    assert len(rest) == len(n) - 50 and np.array_equal(some.left, all_of.left)
+    share = dict(zip(all_of.keys.tolist(), all_of.share.tolist()))
+    assert {k: share[k] for k in rest} == rest and set(rest) | set(some.keys.tolist()) == set(share)
+    all_of.table()
+    for x in (0, 5, voc.begin):  # a distribution over each class's ids
+        p = np.exp(all_of.log_within(np.full(61, voc.inputs[x] if x != voc.begin else x), np.arange(61), voc))
+        assert np.allclose(np.bincount(voc.cls, weights=p)[np.unique(voc.cls)], 1)
+
+
 # --- near-duplicates ----------------------------------------------------------------
 
 
