@@ -27,8 +27,8 @@ What is learned from the corpus, all of it from all training texts:
   the shards' weights are averaged.  How rows lie in partitions thus makes no
   difference.
 
-Both scores need each word's count.  Words that make up at least
-``2**-20`` of all tokens are at most ``2**20`` whatever the corpus, and are
+Both scores need each word's count.  The ``2**20`` most frequent words, among
+them all that make up at least ``2**-20`` of all tokens, are
 broadcast; the others meet their counts in a join, and none of them is a hot
 key.
 
@@ -125,6 +125,24 @@ def lowered(c: pa.Array) -> list[bytes]:
     return [t.lower() for t in c.cast(pa.binary()).to_pylist()]
 
 
+def alike(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct hash is, and which of them each hash is; only hashes whose place in a table another one took are sorted."""
+    n = len(hashes)
+    bits = max(1, n.bit_length() - 1)
+    slot, step = (hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange(n, dtype=np.int32)
+    table = np.empty(1 << bits, np.int32)
+    table[slot] = step
+    own = table[slot]
+    at = np.flatnonzero(own == step)
+    number = np.empty(n, np.int64)
+    number[at] = np.arange(len(at))
+    which = number[own]
+    rest = np.flatnonzero(hashes[own] != hashes)
+    _, first, more = np.unique(hashes[rest], return_index=True, return_inverse=True)
+    which[rest] = len(at) + more
+    return np.append(at, rest[first]), which
+
+
 class Cut:
     """Words and subword ids of some texts.  Each distinct word is looked at once: what most words cost is a hash and a place in a table."""
 
@@ -135,7 +153,8 @@ class Cut:
         #: The first word of each text.
         self.first = np.searchsorted(start, offsets)
         #: The distinct hashes, and which of them each word has.
-        self.distinct, at, self.which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        at, self.which = alike(self.hashes)
+        self.distinct = self.hashes[at]
         memo, encode, found = _memo(path), _subwords(path).encode_ordinary, []
         if len(memo) >= CACHE:
             memo.clear()
@@ -235,6 +254,10 @@ class Pairs:
 
     def within(self, seen: np.ndarray, ids: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """The probabilities by the pairs given, and the places whose pair may be elsewhere."""
+        step = 1 << 14  # what a step holds stays in the processor's cache
+        if len(ids) > step:
+            parts = [(a, *self.within(seen[a : a + step], ids[a : a + step], voc)) for a in range(0, len(ids), step)]
+            return np.concatenate([x for _, x, _ in parts]), np.concatenate([a + x for a, _, x in parts])
         keys = seen * self.n + ids
         slot = self._slots(keys)
         found, todo = np.zeros(len(keys)), np.arange(len(keys))
@@ -262,6 +285,9 @@ def windows(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary, stride: int =
     count = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     text = np.repeat(np.arange(len(n)), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    if stride < WINDOW:  # texts' first windows together, as only they have all places scored
+        order = np.argsort(number > 0, kind="stable")
+        text, number = text[order], number[order]
     begin, end = starts[text] + number * stride, starts[text] + n[text]
     inputs = last_inputs(ids, starts, voc)
     step = np.arange(WINDOW)
@@ -297,17 +323,19 @@ class Attention:
         np.clip(x, -self._MOST, self._MOST, out=x)
         return out
 
-    def forward(self, seen: np.ndarray):
+    def forward(self, seen: np.ndarray, since: int = 0):
+        """What the layer makes of windows; of their places from since on."""
         p = self.p
-        x = p["embed"][seen]
+        x = p["embed"].take(seen, axis=0)
         x += p["place"]
         q, k, v = np.matmul(x.reshape(1, -1, WIDTH), p["qkv"]).reshape(3, *x.shape)
-        s = q @ k.transpose(0, 2, 1)
+        q = q[:, since:]
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         s *= np.float32(WIDTH**-0.5)
         self.held = self._hold(s)
         np.exp(s, out=s)
-        s *= self._PAST
-        s /= s @ np.ones((WINDOW, 1), np.float32)
+        s *= self._PAST[since:]
+        s /= (s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(len(s), -1, 1)
         c = s @ v
         return x, q, k, v, s, c, np.tanh(c.reshape(-1, WIDTH) @ p["out"])
 
@@ -319,8 +347,9 @@ class Attention:
 
     def log_classes(self, seen: np.ndarray, scored: np.ndarray, cls: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """The logarithms of what the scored targets' classes are given, and of what all classes that begin words are."""
-        at = np.flatnonzero(scored)
-        z = self.exponents(self.forward(seen)[-1][at], seen.ravel()[at])
+        since = 0 if scored[:, : WINDOW - STRIDE].any() else WINDOW - STRIDE
+        at = np.flatnonzero(scored[:, since:])
+        z = self.exponents(self.forward(seen, since)[-1].take(at, axis=0), seen[:, since:].ravel()[at])
         total, begin = (z @ np.stack([np.ones(voc.classes), voc.class_begins], 1).astype(np.float32)).astype(np.float64).T
         own = z[np.arange(len(cls)), cls] / total
         begin = begin / total
@@ -356,7 +385,8 @@ class Attention:
         g["qkv"] = x.reshape(1, -1, WIDTH).transpose(0, 2, 1) @ d
         dx = (d @ p["qkv"].transpose(0, 2, 1)).sum(0)
         g["place"] = dx.reshape(x.shape).sum(0)
-        g["embed"] = np.stack([np.bincount(flat, weights=dx[:, j], minlength=len(p["embed"])) for j in range(WIDTH)], 1).astype(dx.dtype)
+        cell = (flat[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        g["embed"] = np.bincount(cell, weights=dx.ravel(), minlength=p["embed"].size).reshape(-1, WIDTH).astype(dx.dtype)
         return loss, g
 
 
@@ -440,8 +470,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for b in larger(batches):
             buf = b" ".join(lowered(b.column(0)))
             hashes, start, stop = word_spans(buf)
-            distinct, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            for h, k, a, z in zip(distinct.tolist(), n.tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
+            at, which = alike(hashes)
+            for h, k, a, z in zip(hashes[at].tolist(), np.bincount(which).tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
                 if h in held:
                     held[h] += k
                 else:
@@ -526,8 +556,8 @@ def learn_tables(pairs: DataFrame, begins: np.ndarray, end: int, most: int | Non
 
     found = _sum_parts(pairs.mapInArrow(add, SUMS))
     rows, distinct = np.concatenate([found[k] for k in sorted(found)]).reshape(2, *shape) if found else np.zeros((2, *shape))
-    top = pairs.orderBy(F.desc("n"), "seen", "id").limit(most).toPandas()
-    seen, i, n = (top[c].to_numpy(np.int64) for c in ("seen", "id", "n"))
+    top = pairs.orderBy(F.desc("n"), "seen", "id").limit(most).toArrow()
+    seen, i, n = (top[c].to_numpy() for c in ("seen", "id", "n"))
     held = Pairs(voc, seen, i, n, rows, distinct)
     if held.all_given:
         return voc, rows, held, None
@@ -622,6 +652,17 @@ def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs:
     return out
 
 
+def least_count(by_hash: DataFrame, most: int) -> int:
+    """The least count from which on there are no more than ``most`` words."""
+    left, floor = most, None
+    for n, words in sorted(by_hash.groupBy("n").count().collect(), reverse=True):  # few: their sum is at most that of all counts
+        left -= words
+        if left < 0:
+            return n + 1
+        floor = n
+    return floor or 1
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
@@ -647,14 +688,13 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     held_out = F.crc32(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     training = rows.where(~held_out)
-    words = materialise(word_counts(training), "words")
+    words = materialise(word_counts(training).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "words")
     n_train = training.count()
-    by_hash = words.groupBy("h").agg(F.sum("n").alias("n"))
-    v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    by_hash = words.select("h", "n")
+    v, n = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n")]).first()
     n_all, v_all = n + n_train, v + (n_train > 0)
-    floor = max(1.0, n / (1 << heavy_bits))
-    top = by_hash.where(F.col("n") >= floor).toPandas() if floor > 1 else by_hash.limit(1 << heavy_bits).toPandas()  # 2**heavy_bits rows at most
-    top = top.sort_values("h") if len(top) else top
+    floor = least_count(by_hash, 1 << heavy_bits)
+    top = by_hash.where(F.col("n") >= floor).toArrow().sort_by("h")  # 2**heavy_bits rows at most; as Arrow, for rows of Python take many times that
     texts = cut_ids(training, path, end)
     voc, counts, pairs, others = learn_tables(materialise(pair_counts(texts, end), "pairs"), begins_word(path), end)
     model = train(texts, voc, counts)
@@ -662,7 +702,7 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     end_log = float(np.log10(n_train + 0.5))
     weight = SMOOTHING
     has_others = others is not None
-    shared = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), voc, model, pairs))
+    shared = spark.sparkContext.broadcast((top["h"].to_numpy(), top["n"].to_numpy(), voc, model, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, n_heavy, voc, own, pairs = shared.value

@@ -353,6 +353,33 @@ def test_lm_gradients():
             assert abs((sides[0] - sides[1]) / 2e-5 - g[k][i]) < 1e-6, k
 
 
+def test_lm_does_no_work_twice(spark):
+    """Words are told apart without sorting all, no place that another window scores is computed, and as many words as fit are known to all tasks."""
+    rng = np.random.default_rng(5)
+    for n, kinds in ((0, 1), (1, 1), (3000, 1), (3000, 40), (3000, 2500), (3000, 1 << 60)):
+        h = rng.integers(0, kinds, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at, which = lm.alike(h)
+        assert len(at) == len(np.unique(h)) and (h[at][which] == h).all()
+
+    class Voc:
+        begin, classes, share = 20, 12, np.full(12, 1 / 12)
+        inputs = np.arange(20)
+
+    m = lm.Attention(Voc)
+    seen = rng.integers(0, 21, (5, lm.WINDOW))
+    since = lm.WINDOW - lm.STRIDE
+    part, full = m.forward(seen, since)[-1], m.forward(seen)[-1]
+    assert np.allclose(part.reshape(5, -1, lm.WIDTH), full.reshape(5, -1, lm.WIDTH)[:, since:], atol=1e-6)
+    starts = np.arange(0, 12_000, 200)
+    firsts = [bool(scored[:, :since].any()) for _, _, scored in lm.windows(rng.integers(0, 20, 12_000), starts, Voc)]
+    assert len(firsts) > 2 and firsts == [True] + [False] * (len(firsts) - 1)
+
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 2, 2, 2, 1])], "h long, n long")
+    for most, floor in ((8, 1), (7, 2), (6, 3), (4, 3), (3, 6), (1, 10)):
+        assert lm.least_count(counts, most) == floor
+    assert lm.least_count(counts.limit(0), 4) == 1
+
+
 def test_lm_pairs_beyond_the_broadcast_count_in_full(spark, monkeypatch):
     """Scores don't depend on how many pairs are broadcast, and inputs that ids share have pairs too."""
     rng = random.Random(3)
