@@ -41,6 +41,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -148,34 +149,38 @@ class Cut:
 
     def __init__(self, texts: list[bytes], path: str, end: int):
         buf = b" ".join(texts)
-        self.hashes, start, stop = word_spans(buf)
-        offsets = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-        #: The first word of each text.
-        self.first = np.searchsorted(start, offsets)
-        #: The distinct hashes, and which of them each word has.
-        at, self.which = alike(self.hashes)
-        self.distinct = self.hashes[at]
+        hashes, start, stop = word_spans(buf)
+        first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]))
+        at, which = alike(hashes)
+        #: The distinct hashes, and which of them each token has; a text's end is one more.
+        self.distinct = hashes[at]
+        self._buf, self._start, self._stop = buf, start[at].tolist(), stop[at].tolist()
+        self.which = np.insert(which, np.append(first[1:], len(hashes)), len(at))
+        #: The first token of each text.
+        self.first = first + np.arange(len(texts))
         memo, encode, found = _memo(path), _subwords(path).encode_ordinary, []
         if len(memo) >= CACHE:
             memo.clear()
-        for h, a, b in zip(self.distinct.tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
+        for h, a, b in zip(self.distinct.tolist(), self._start, self._stop, strict=True):
             ids = memo.get(h)
             if ids is None:
                 ids = memo[h] = array("H", encode(" " + buf[a:b].decode("utf-8", "replace"))).tobytes()
             found.append(ids)
         table = np.append(np.frombuffer(b"".join(found), np.uint16), np.uint16(end))
-        size = np.append(np.array([len(x) // 2 for x in found], np.int64), 1)
-        begin = np.cumsum(size) - size
-        word = np.insert(self.which, np.append(self.first[1:], len(self.hashes)), len(found))  # a text's end is one more word
-        n = size[word]
+        size = np.append(np.fromiter(map(len, found), np.int32, len(found)) // 2, np.int32(1))
+        begin = np.cumsum(size, dtype=np.int32) - size
+        n = size.take(self.which)
         place = np.cumsum(n) - n
-        flat = table[np.repeat(begin[word] - place, n) + np.arange(int(n.sum()))]
+        source = np.repeat(begin.take(self.which) - place, n)
+        source += np.arange(len(source))
         #: The ids of each text.
-        self.ids = np.split(flat, place[self.first[1:] + np.arange(1, len(texts))])
+        self.ids = np.split(table.take(source), place[self.first[1:]])
 
-    def split(self, of_words: np.ndarray) -> list[np.ndarray]:
-        """What each text's words have."""
-        return np.split(of_words, self.first[1:])
+    def counts(self) -> pa.RecordBatch:
+        """(h, word, n) of the distinct words."""
+        n = np.bincount(self.which, minlength=len(self.distinct))[: len(self.distinct)]
+        words = [self._buf[a:z] for a, z in zip(self._start, self._stop, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(self.distinct.view(np.int64)), pa.array(words, pa.binary()), pa.array(n)], names=["h", "word", "n"])
 
 
 def text_ids(text: bytes, path: str, end: int) -> np.ndarray:
@@ -260,27 +265,34 @@ class Pairs:
             return np.concatenate([x for _, x, _ in parts]), np.concatenate([a + x for a, _, x in parts])
         keys = seen * self.n + ids
         slot = self._slots(keys)
-        found, todo = np.zeros(len(keys)), np.arange(len(keys))
+        have = self.at.take(slot)
+        hit = have == keys
+        found = self.value.take(slot) * hit
+        # most are told at once
+        todo = np.flatnonzero(~hit & (have >= 0))
+        slot = slot[todo]
         while len(todo):
+            slot = (slot + 1) & (len(self.at) - 1)
             have = self.at[slot]
             hit = have == keys[todo]
             found[todo[hit]] = self.value[slot[hit]]
             rest = ~hit & (have >= 0)
-            todo, slot = todo[rest], (slot[rest] + 1) & (len(self.at) - 1)
-        open_at = np.flatnonzero((found == 0) & self.partial[seen, voc.cls[ids]]) if not self.all_given else todo
-        return found + self.left[seen, voc.cls[ids]] * voc.within[ids], open_at
+            todo, slot = todo[rest], slot[rest]
+        cell = seen * voc.classes + voc.cls.take(ids)
+        open_at = np.flatnonzero((found == 0) & self.partial.ravel().take(cell)) if not self.all_given else todo
+        return found + self.left.ravel().take(cell) * voc.within.take(ids), open_at
 
 
 def last_inputs(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary) -> np.ndarray:
     """The input before each id of texts that begin at starts."""
     out = np.empty(len(ids), np.int64)
-    out[1:] = voc.inputs[ids[:-1]]
+    out[1:] = voc.inputs.take(ids[:-1])
     out[starts] = voc.begin
     return out
 
 
-def windows(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary, stride: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, places of the targets, whether scored here) of the windows of texts that begin at starts, some at a time."""
+def windows(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary, stride: int = STRIDE, inputs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, places of the targets, whether scored here) of the windows of texts that begin at starts, some at a time; inputs: those of all ids, if known."""
     n = np.diff(np.append(starts, len(ids)))
     count = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     text = np.repeat(np.arange(len(n)), count)
@@ -289,14 +301,14 @@ def windows(ids: np.ndarray, starts: np.ndarray, voc: Vocabulary, stride: int =
         order = np.argsort(number > 0, kind="stable")
         text, number = text[order], number[order]
     begin, end = starts[text] + number * stride, starts[text] + n[text]
-    inputs = last_inputs(ids, starts, voc)
+    inputs = last_inputs(ids, starts, voc) if inputs is None else inputs
     step = np.arange(WINDOW)
     for a in range(0, len(text), BATCH):
         place = begin[a : a + BATCH, None] + step
         scored = place < end[a : a + BATCH, None]
         scored[:, : WINDOW - stride] &= (number[a : a + BATCH] == 0)[:, None]
         np.minimum(place, len(ids) - 1, out=place)
-        yield inputs[place], place, scored
+        yield inputs.take(place), place, scored
 
 
 class Attention:
@@ -306,6 +318,8 @@ class Attention:
     _PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     #: Exponents are held within this, so no maximum has to be taken out of them.
     _MOST = np.float32(30)
+    #: Whether logits are known to be within it.
+    within_bounds = False
 
     def __init__(self, voc: Vocabulary, rows: np.ndarray | None = None, seed: int = 11):
         """rows: the counts of (input, class); without them the last input says nothing."""
@@ -323,73 +337,140 @@ class Attention:
         np.clip(x, -self._MOST, self._MOST, out=x)
         return out
 
+    def joined(self) -> np.ndarray:
+        """The matrices of queries (with the scale of their products), keys and values side by side."""
+        q, k, v = self.p["qkv"]
+        return np.concatenate([q * q.dtype.type(WIDTH**-0.5), k, v], axis=1)
+
+    def project(self, seen: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+        """The windows' inputs, and their queries, keys and values side by side."""
+        x = self.p["embed"].take(seen, axis=0)
+        x += self.p["place"]
+        return x, (x.reshape(-1, WIDTH) @ self.joined()).reshape(*seen.shape, 3 * WIDTH)
+
+    def head(self, c: np.ndarray) -> np.ndarray:
+        return np.tanh(c.reshape(-1, WIDTH) @ self.p["out"])
+
     def forward(self, seen: np.ndarray, since: int = 0):
         """What the layer makes of windows; of their places from since on."""
-        p = self.p
-        x = p["embed"].take(seen, axis=0)
-        x += p["place"]
-        q, k, v = np.matmul(x.reshape(1, -1, WIDTH), p["qkv"]).reshape(3, *x.shape)
-        q = q[:, since:]
-        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        s *= np.float32(WIDTH**-0.5)
+        x, d = self.project(seen)
+        q, k, v = d[:, since:, :WIDTH], d[:, :, WIDTH : 2 * WIDTH], d[:, :, 2 * WIDTH :]
+        s = q @ turned(k)
         self.held = self._hold(s)
         np.exp(s, out=s)
         s *= self._PAST[since:]
-        s /= (s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(len(s), -1, 1)
+        total = (s.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), s.dtype)).reshape(len(s), -1, 1)
         c = s @ v
-        return x, q, k, v, s, c, np.tanh(c.reshape(-1, WIDTH) @ p["out"])
+        c /= total
+        return x, q, k, v, s, total, c, self.head(c)
 
     def exponents(self, h: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        z = h @ self.p["classes"]
-        z += self.last.take(seen, axis=0)
-        self.held_logits = self._hold(z)
+        """In room that the next call takes again."""
+        classes = self.p["classes"]
+        z = np.matmul(h, classes, out=room("logits", len(h), classes.shape[1], h.dtype))
+        z += self.last.take(seen, axis=0, out=room("last", len(h), classes.shape[1], self.last.dtype), mode="clip")
+        self.held_logits = None if self.within_bounds else self._hold(z)
         return np.exp(z, out=z)
 
-    def log_classes(self, seen: np.ndarray, scored: np.ndarray, cls: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """The logarithms of what the scored targets' classes are given, and of what all classes that begin words are."""
-        since = 0 if scored[:, : WINDOW - STRIDE].any() else WINDOW - STRIDE
-        at = np.flatnonzero(scored[:, since:])
-        z = self.exponents(self.forward(seen, since)[-1].take(at, axis=0), seen[:, since:].ravel()[at])
-        total, begin = (z @ np.stack([np.ones(voc.classes), voc.class_begins], 1).astype(np.float32)).astype(np.float64).T
-        own = z[np.arange(len(cls)), cls] / total
-        begin = begin / total
-        return np.log(TRUST * own + (1 - TRUST) * voc.share[cls]), np.log(TRUST * begin + (1 - TRUST) * voc.share_begins)
-
     def gradients(self, seen: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
         """The mean loss over the scored targets, and its gradients; that of ``embed`` is a row for each input."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        x, q, k, v, s, c, h = self.forward(seen)
+        p = self.p
+        x, q, k, v, s, all_past, c, h = self.forward(seen)
         flat = seen.ravel()
         z = self.exponents(h, flat)
-        at, weight = np.arange(len(z)), scored.ravel() / np.float32(max(1, int(scored.sum())))
+        weight = scored.ravel() / np.float32(max(1, int(scored.sum())))
         total = z @ np.ones((z.shape[1], 1), z.dtype)
-        own = z[at, target.ravel()] / total[:, 0]
-        loss = -float((np.log(np.maximum(own, 1e-30)) * weight).sum())
-        z *= weight[:, None] / total
-        z[at, target.ravel()] -= weight
+        own = target.ravel() + np.arange(0, z.size, z.shape[1])
+        loss = -float((np.log(np.maximum(z.ravel().take(own) / total[:, 0], 1e-30)) * weight).sum())
+        # what each place's logits get, times its total and over its weight
+        z.ravel()[own] -= total[:, 0]
         if self.held_logits is not None:
             z[self.held_logits] = 0
-        g = {"classes": h.T @ z}
-        dh = z @ p["classes"].T
+        weight = weight[:, None] / total
+        g = {"classes": product(h * weight, z)}
+        dh = z @ np.ascontiguousarray(p["classes"].T)
+        dh *= weight
         dh *= 1 - h * h
-        g["out"] = c.reshape(-1, WIDTH).T @ dh
-        dc = (dh @ p["out"].T).reshape(c.shape)
-        ds = dc @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dc
-        ds -= (dc * c).sum(-1, keepdims=True)
+        g["out"] = product(c.reshape(-1, WIDTH), dh)
+        dc = (dh @ np.ascontiguousarray(p["out"].T)).reshape(c.shape)
+        dc /= all_past
+        ds = dc @ turned(v)
+        ds -= ((dc * c).reshape(-1, WIDTH) @ np.ones((WIDTH, 1), c.dtype)).reshape(all_past.shape)
         ds *= s
-        ds *= scale
         if self.held is not None:  # what is held doesn't change with its arguments
             ds[self.held] = 0
-        d = np.stack([ds @ k, ds.transpose(0, 2, 1) @ q, dv]).reshape(3, -1, WIDTH)
-        g["qkv"] = x.reshape(1, -1, WIDTH).transpose(0, 2, 1) @ d
-        dx = (d @ p["qkv"].transpose(0, 2, 1)).sum(0)
+        d = np.empty((*x.shape[:2], 3 * WIDTH), x.dtype)
+        np.matmul(ds, k, out=d[:, :, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(s.transpose(0, 2, 1), dc, out=d[:, :, 2 * WIDTH :])
+        d = d.reshape(-1, 3 * WIDTH)
+        g["qkv"] = product(x.reshape(-1, WIDTH), d).reshape(WIDTH, 3, WIDTH).transpose(1, 0, 2)
+        g["qkv"][0] *= d.dtype.type(WIDTH**-0.5)
+        dx = d @ np.ascontiguousarray(self.joined().T)
         g["place"] = dx.reshape(x.shape).sum(0)
-        cell = (flat[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        cell = cells(len(p["embed"])).take(flat, axis=0).ravel()
         g["embed"] = np.bincount(cell, weights=dx.ravel(), minlength=p["embed"].size).reshape(-1, WIDTH).astype(dx.dtype)
         return loss, g
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a's columns times b's, a window's rows after another's: in one piece such long and thin products take several times as long."""
+    step = math.gcd(len(a), 16 * WINDOW)
+    return np.matmul(a.reshape(-1, step, a.shape[1]).transpose(0, 2, 1), b.reshape(-1, step, b.shape[1])).sum(0)
+
+
+@lru_cache(maxsize=8)
+def _room(name: str, columns: int, kind: np.dtype) -> np.ndarray:
+    return np.empty((BATCH * WINDOW, columns), kind)
+
+
+def room(name: str, rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+    """An array that the next call takes again: asking for new memory costs as much as filling it."""
+    return _room(name, columns, kind)[:rows] if rows <= BATCH * WINDOW else np.empty((rows, columns), kind)
+
+
+@lru_cache(maxsize=1)
+def cells(rows: int) -> np.ndarray:
+    """The places of rows' values, one after another."""
+    return np.arange(rows * WIDTH).reshape(-1, WIDTH)
+
+
+class Settled(Attention):
+    """Weights that don't change any more: what they make of each input is computed once."""
+
+    def __init__(self, model: Attention, voc: Vocabulary):
+        self.p, self.last, self.voc = model.p, model.last, voc
+        w = self.joined()
+        w[:, 2 * WIDTH :] = w[:, 2 * WIDTH :] @ self.p["out"]
+        self.of_input, self.of_place = self.p["embed"] @ w, self.p["place"] @ w
+        self.sums = np.stack([np.ones(voc.classes), voc.class_begins], 1).astype(np.float32)
+        # tanh() is at most 1, so mostly no logit can be beyond the bounds
+        most = np.abs(self.p["classes"]).sum(0)
+        self.within_bounds = bool((self.last.max(0) + most).max() < self._MOST and (self.last.min(0) - most).min() > -self._MOST)
+
+    def project(self, seen: np.ndarray) -> tuple[None, np.ndarray]:
+        d = self.of_input.take(seen, axis=0)
+        d += self.of_place
+        return None, d
+
+    def head(self, c: np.ndarray) -> np.ndarray:
+        return np.tanh(c.reshape(-1, WIDTH))  # the values have gone through ``out``
+
+    def log_classes(self, seen: np.ndarray, scored: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms of what the scored targets' classes are given, and of what all classes that begin words are."""
+        voc = self.voc
+        since = 0 if scored[:, : WINDOW - STRIDE].any() else WINDOW - STRIDE
+        at = np.flatnonzero(scored[:, since:])
+        z = self.exponents(self.forward(seen, since)[-1].take(at, axis=0), seen[:, since:].ravel().take(at))
+        total, begin = (z @ self.sums).astype(np.float64).T
+        own = z.ravel().take(cls + np.arange(0, z.size, z.shape[1])) / total
+        return np.log(TRUST * own + (1 - TRUST) * voc.share.take(cls)), np.log(TRUST * (begin / total) + (1 - TRUST) * voc.share_begins)
+
+
 class Adam:
     """Steps of weights with their moments; an input's embedding has one second moment for all of its row."""
 
@@ -404,7 +485,7 @@ class Adam:
         for k, d in g.items():
             m, v = self.m[k], self.v[k]
             v *= np.float32(0.99)
-            v += np.float32(0.01 / WIDTH) * np.einsum("ij,ij->i", d, d)[:, None] if k == "embed" else np.float32(0.01) * (d * d)
+            v += np.float32(0.01 / WIDTH) * ((d * d) @ np.ones((WIDTH, 1), d.dtype)) if k == "embed" else np.float32(0.01) * (d * d)
             m *= np.float32(0.9)
             d *= np.float32(0.1)
             m += d
@@ -423,7 +504,7 @@ def train_local(texts: Iterator[np.ndarray], voc: Vocabulary, adam: Adam) -> int
         ids = np.concatenate(held)
         cls = voc.cls[ids]
         for seen, place, scored in windows(ids, starts, voc, WINDOW):
-            adam.step(adam.model.gradients(seen, cls[place], scored)[1])
+            adam.step(adam.model.gradients(seen, cls.take(place), scored)[1])
 
     for x in texts:
         held.append(x)
@@ -457,47 +538,33 @@ def _parts(vector: np.ndarray, shard: int = 0, n: int = 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["shard", "part", "data"])
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(h, word, n) of all words of ``__text``, summed up in each task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        words: dict[int, bytes] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.array(list(held), np.uint64).view(np.int64)), pa.array([words[h] for h in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["h", "word", "n"])
-
-        for b in larger(batches):
-            buf = b" ".join(lowered(b.column(0)))
-            hashes, start, stop = word_spans(buf)
-            at, which = alike(hashes)
-            for h, k, a, z in zip(hashes[at].tolist(), np.bincount(which).tolist(), start[at].tolist(), stop[at].tolist(), strict=True):
-                if h in held:
-                    held[h] += k
-                else:
-                    held[h], words[h] = k, buf[a:z]
-            if len(held) > CACHE:
-                yield out()
-                held.clear()
-                words.clear()
-        if held:
-            yield out()
-
-    return rows.select("__text").mapInArrow(count, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
-
-
-def cut_ids(rows: DataFrame, path: str, end: int) -> DataFrame:
-    """(h, ids, round) of all texts, written by round: a hash of id and text, and the text's ids as two-byte numbers."""
+def cut_ids(rows: DataFrame, path: str, end: int) -> tuple[DataFrame, DataFrame]:
+    """(h, ids, round) of all texts, written by round: a hash of id and text, and the text's ids as two-byte numbers; and (h, word, n) of their words, from the same pass."""
     folder = shared_dir(rows.sparkSession, "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(h: np.ndarray, data: list[bytes], number: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(data, pa.binary()), pa.array(number, pa.int32())], names=["h", "ids", "round"])
+
         for b in larger(batches):
-            ids = [x.tobytes() for x in Cut(lowered(b.column(1)), path, end).ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
+            cut, h = Cut(lowered(b.column(1)), path, end), b.column(0).to_numpy()
+            yield out(h, [x.tobytes() for x in cut.ids], (h >> 32) % ROUNDS)
+            # a group's words are one row, of a round of their own
+            words, sink = cut.counts(), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, words.schema) as stream:
+                stream.write_batch(words)
+            yield out(np.zeros(1, np.int64), [sink.getvalue().to_pybytes()], np.array([-1]))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield from pa.ipc.open_stream(x).read_all().to_batches()
 
-    dealt = rows.select(F.xxhash64("__id", "__text").alias("h"), "__text").mapInArrow(cut, "h long, ids binary")
-    dealt.withColumn("round", F.pmod(F.shiftright("h", 32), F.lit(ROUNDS)).cast("int")).write.partitionBy("round").parquet(folder)
-    return rows.sparkSession.read.schema("h long, ids binary, round int").parquet(folder)
+    dealt = rows.select(F.xxhash64("__id", "__text").alias("h"), "__text").mapInArrow(cut, "h long, ids binary, round int")
+    dealt.write.partitionBy("round").parquet(folder)
+    written = rows.sparkSession.read.schema("h long, ids binary, round int").parquet(folder)
+    words = written.where(F.col("round") < 0).select("ids").mapInArrow(tell, "h long, word binary, n long")
+    return written.where(F.col("round") >= 0), words.groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(texts: DataFrame, end: int) -> DataFrame:
@@ -621,6 +688,7 @@ def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs:
     the probability is the one within the class without that pair's share.
     """
     out: list[np.ndarray] = []
+    model = Settled(model, voc)
     a = before = 0
     while a < len(ids):
         b, size = a, 0
@@ -630,11 +698,10 @@ def word_scores(ids: list[np.ndarray], voc: Vocabulary, model: Attention, pairs:
         flat = np.concatenate(ids[a:b])
         starts = np.cumsum([0] + [len(x) for x in ids[a : b - 1]])
         own, begin = np.empty(len(flat)), np.empty(len(flat))
-        cls = voc.cls[flat]
-        for seen, place, scored in windows(flat, starts, voc):
+        cls, inputs, long = voc.cls[flat], last_inputs(flat, starts, voc), flat.astype(np.int64)
+        for seen, place, scored in windows(flat, starts, voc, inputs=inputs):
             at = place[scored]
-            own[at], begin[at] = model.log_classes(seen, scored, cls[at], voc)
-        inputs, long = last_inputs(flat, starts, voc), flat.astype(np.int64)
+            own[at], begin[at] = model.log_classes(seen, scored, cls.take(at))
         within, open_at = pairs.within(inputs, long, voc)
         own += np.log(within)
         # a word: its ids, the first among those that begin words, and then an id that begins the next
@@ -688,14 +755,14 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     held_out = F.crc32(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     training = rows.where(~held_out)
-    words = materialise(word_counts(training).groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "words")
+    texts, words = cut_ids(training, path, end)
+    words = materialise(words.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")), "words")
     n_train = training.count()
     by_hash = words.select("h", "n")
     v, n = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n")]).first()
     n_all, v_all = n + n_train, v + (n_train > 0)
     floor = least_count(by_hash, 1 << heavy_bits)
     top = by_hash.where(F.col("n") >= floor).toArrow().sort_by("h")  # 2**heavy_bits rows at most; as Arrow, for rows of Python take many times that
-    texts = cut_ids(training, path, end)
     voc, counts, pairs, others = learn_tables(materialise(pair_counts(texts, end), "pairs"), begins_word(path), end)
     model = train(texts, voc, counts)
     below = float(np.log10(n_all + 0.5 * (v_all + 1)))
@@ -707,59 +774,48 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, n_heavy, voc, own, pairs = shared.value
         pairs.table()
-        logs = np.log10(n_heavy + 0.5)
-        kind = pa.struct([("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        pair_kind = pa.struct([("word", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("p", pa.float64())])
+        # of the frequent words and, last, of the end
+        n_told = np.append(n_heavy, n_train)
+        logs = np.append(np.log10(n_heavy + 0.5), end_log)
+        frequency = np.maximum(weight * n_told / max(n_all, 1), 1e-300)
+        kind = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+        pair_kind = [("word", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("p", pa.float64())]
+        structs = lambda columns, fields: pa.StructArray.from_arrays([pa.array(c, t, mask=m) for (c, m), (_, t) in zip(columns, fields, strict=True)], [x for x, _ in fields])
         for b in larger(batches):
-            ids, numbers = b.column(0).to_pylist(), b.column(1).to_pylist()
             cut = Cut(lowered(b.column(2)), path, end)
             h = cut.distinct.view(np.int64)
             at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
             hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
-            hashes, places, hits = (cut.split(x) for x in (cut.hashes.view(np.int64), at[cut.which], hit[cut.which]))
+            place, told = np.append(at, len(heavy)).take(cut.which), np.append(hit, True).take(cut.which)
             elsewhere: list = []
-            subs = word_scores(cut.ids, voc, own, pairs, elsewhere)
-            open_word, key, p = (np.concatenate(x) for x in zip(*elsewhere, strict=True)) if elsewhere else (np.zeros(0, np.int64),) * 3
-            size, out_h, out_sub, own_rows, out_pairs = [], [], [], [], []
-            begin = 0  # the text's first word among all
-            for i, r, h, at, found, sub in zip(ids, numbers, hashes, places, hits, subs, strict=True):
-                sub = sub + np.log(1 - weight)
-                # words with pairs that are elsewhere, and the end if it is such, wait for these
-                a, z = np.searchsorted(open_word, [begin, begin + len(sub)]) if elsewhere else (0, 0)
-                waits, begin = open_word[a:z] - begin, begin + len(sub)
-                here = np.append(n_heavy[at[found]], n_train)
-                done, rare = np.append(found, True), ~found
-                if len(waits):
-                    n_here = np.full(len(sub), -1)
-                    n_here[done] = here
-                    done[waits] = False
-                    rare[waits[waits < len(h)]] = False
-                    here = n_here[done]
-                ends = bool(done[-1])
-                known = np.log(np.maximum(weight * here / max(n_all, 1), 1e-300))
-                score = float(np.logaddexp(known, sub[done]).sum()) / np.log(10)
-                base = float(logs[at[done[:-1]]].sum()) + end_log * ends - (len(h) + 1) * below
-                if len(waits):  # a row for each such pair; the word's first one has its sum
-                    first = np.append(True, waits[1:] != waits[:-1])
-                    out_h.append(np.append(h, 0)[waits])
-                    out_sub.append(np.where(first, sub[waits], 0.0))
-                    out_pairs += [{"word": w, "n": None if n < 0 else n, "key": x, "p": y} for w, n, x, y in zip(waits.tolist(), n_here[waits].tolist(), key[a:z].tolist(), p[a:z].tolist(), strict=True)]
-                # behind its rare words the text's own row, with a key that no word has weight for
-                out_h += [h[rare], mix(np.array([r + 1], np.uint64)).view(np.int64)]
-                out_sub += [sub[:-1][rare], [0.0]]
-                size.append(len(waits) + len(out_h[-2]) + 1)
-                if has_others:
-                    out_pairs += [None] * (len(out_h[-2]) + 1)
-                own_rows.append({"held_out": is_held_out(i), "n_tokens": len(h) + 1, "n_known": int(done[:-1].sum()) + (ends and n_train > 0), "base": base, "score": score})
-            if size:
-                text = np.repeat(np.arange(len(size)), size)
-                is_own = np.zeros(len(text), bool)
-                is_own[np.cumsum(size) - 1] = True
-                more = [pa.array(out_pairs, pair_kind)] if has_others else []
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(np.concatenate(out_h)), pa.array((~is_own).astype(np.int32)), pa.array(np.concatenate(out_sub)), pa.array(own_rows, kind).take(pa.array(text, mask=~is_own)), *more],
-                    names=["__id", "__row", "h", "tf", "sub", "own", "pair"][: 6 + len(more)],
-                )
+            subs = np.concatenate(word_scores(cut.ids, voc, own, pairs, elsewhere))
+            subs += np.log(1 - weight)
+            n_tokens = np.diff(np.append(cut.first, len(subs)))
+            text = np.repeat(np.arange(len(n_tokens)), n_tokens)
+            # tokens with pairs that are elsewhere wait for these
+            waits, key, p = (np.concatenate(x) for x in zip(*elsewhere, strict=True)) if elsewhere else (np.zeros(0, np.int64),) * 3
+            done, rare = told.copy(), ~told
+            done[waits] = rare[waits] = False
+            known = done.copy()
+            if not n_train:
+                known[cut.first + n_tokens - 1] = False
+            of_texts = lambda x: np.add.reduceat(x, cut.first)
+            score = of_texts(np.where(done, np.log(frequency[place] + np.exp(subs)), 0.0)) / np.log(10)
+            base = of_texts(np.where(done, logs[place], 0.0)) - n_tokens * below
+            own_rows = structs([(x, None) for x in ([is_held_out(i) for i in b.column(0).to_pylist()], n_tokens, of_texts(known.astype(np.int64)), base, score)], kind)
+            # a row for each such pair, of which a token's first one has its sum, one for each rare word, and the texts' own, with keys that no word has weight for
+            first = np.append(True, waits[1:] != waits[:-1])[: len(waits)]
+            rare = np.flatnonzero(rare)
+            hashes = np.append(h, 0)
+            of_text = np.concatenate([text[waits], text[rare], np.arange(len(n_tokens))])
+            is_own = np.arange(len(of_text)) >= len(waits) + len(rare)
+            out_h = np.concatenate([hashes[cut.which[waits]], hashes[cut.which[rare]], mix(b.column(1).to_numpy().astype(np.uint64) + np.uint64(1)).view(np.int64)])
+            out_sub = np.concatenate([np.where(first, subs[waits], 0.0), subs[rare], np.zeros(len(n_tokens))])
+            more = [pa.concat_arrays([structs([(waits - cut.first[text[waits]], None), (n_told[place[waits]], ~told[waits]), (key, None), (p, None)], pair_kind), pa.nulls(len(rare) + len(n_tokens), pa.struct(pair_kind))])] if has_others else []
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(of_text)), b.column(1).take(pa.array(of_text)), pa.array(out_h), pa.array((~is_own).astype(np.int32)), pa.array(out_sub), own_rows.take(pa.array(of_text, mask=~is_own)), *more],
+                names=["__id", "__row", "h", "tf", "sub", "own", "pair"][: 6 + len(more)],
+            )
 
     scored = rows.select("__id", F.monotonically_increasing_id().alias("__row"), "__text").mapInArrow(run, SCORED + ELSEWHERE * has_others)
     told = F.lit(None).cast("long")

@@ -380,6 +380,48 @@ def test_lm_does_no_work_twice(spark):
     assert lm.least_count(counts.limit(0), 4) == 1
 
 
+def test_lm_words_and_ids_come_from_one_pass(spark):
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["Red", "red", "fox", f"rare{rng.randrange(30)}"]) for _ in range(rng.randrange(40))) for i in range(40)} | {40: "", 41: "\u00dcber \U0001f98a\tfox \n"}
+    rows = spark.createDataFrame(list(texts.items()), "__id long, __text string").repartition(3)
+    end = lm.n_ids(lm_path()) - 1
+    ids, words = lm.cut_ids(rows, lm_path(), end)
+    lowered = [t.encode().lower() for t in texts.values()]
+    assert sorted(r.ids for r in ids.collect()) == sorted(lm.text_ids(t, lm_path(), end).tobytes() for t in lowered)
+    assert {r.round for r in ids.collect()} <= set(range(lm.ROUNDS))
+    count = {}
+    for w in b" ".join(lowered).split():
+        count[w] = count.get(w, 0) + 1
+    got = words.collect()
+    assert {bytes(r.word): r.n for r in got} == count and len(got) == len(count)
+    assert not set(rows.inputFiles()) & set(words.inputFiles()) and "Scan ExistingRDD" not in words._jdf.queryExecution().toString()
+    none, no_words = lm.cut_ids(rows.limit(0), lm_path(), end)
+    assert none.count() == no_words.count() == 0
+
+
+def test_lm_settled_weights_give_what_the_layer_gives():
+    rng = np.random.default_rng(7)
+    voc = lm.Vocabulary(rng.integers(1, 90, 60).astype(float), np.arange(60) % 2 == 0)
+    for size in (1, 40):  # within the bounds of exponents, and beyond
+        m = lm.Attention(voc, rng.integers(0, 50, (voc.begin + 1, voc.classes)))
+        m.p["classes"] = rng.normal(size=(lm.WIDTH, voc.classes)).astype(np.float32) * np.float32(size)
+        fixed = lm.Settled(m, voc)
+        assert fixed.within_bounds == (size == 1)
+        ids, starts = rng.integers(0, 60, 3000), np.array([0, 5, 40, 1500])
+        for seen, place, scored in lm.windows(ids, starts, voc):
+            h = m.forward(seen)[-1][scored.ravel()]
+            z = np.exp(np.clip(h @ m.p["classes"] + m.last[seen[scored]], -30, 30).astype(np.float64))
+            z /= z.sum(1, keepdims=True)
+            cls = voc.cls[ids[place[scored]]]
+            own, begin = fixed.log_classes(seen, scored, cls)
+            assert np.allclose(own, np.log(lm.TRUST * z[np.arange(len(cls)), cls] + (1 - lm.TRUST) * voc.share[cls]), atol=1e-3)
+            assert np.allclose(begin, np.log(lm.TRUST * z[:, voc.class_begins].sum(1) + (1 - lm.TRUST) * voc.share_begins), atol=1e-3)
+    for n in (0, 1, 16, 48, 4096, 4100):
+        a, b = rng.normal(size=(n, 3)), rng.normal(size=(n, 5))
+        assert np.allclose(lm.product(a, b), a.T @ b)
+    assert len(lm.room("logits", lm.BATCH * lm.WINDOW + 1, 3, np.dtype(float))) == lm.BATCH * lm.WINDOW + 1
+
+
 def test_lm_pairs_beyond_the_broadcast_count_in_full(spark, monkeypatch):
     """Scores don't depend on how many pairs are broadcast, and inputs that ids share have pairs too."""
     rng = random.Random(3)
